@@ -1,12 +1,14 @@
 """The registered queries of this subpackage and, where SQL can express them, their oracles."""
 
-from . import quality_rules, secret_scan, token_files, url_filters
+from . import packing, quality_rules, secret_scan, substring_dedup, token_files, url_filters
 
 QUERIES = {
     "op2_url_filters": url_filters.query,
     "op3_quality_rules": quality_rules.query,
     "op5_secret_scan": secret_scan.query,
     "op6_token_files": token_files.query,
+    "op7_packing": packing.query,
+    "op8_substring_dedup": substring_dedup.query,
 }
 ORACLE_SQL = {
     "op2_url_filters": url_filters.ORACLE_SQL,

@@ -19,7 +19,9 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: A batch is cut into parts of about so many bytes of text, to bound memory.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
+#: Bytes are hashed in slices of about this size, cut between words; tables of powers stay small.
+SLICE_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -105,17 +107,20 @@ def _word_bounds(buf: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, n
 def words_of_part(buf: np.ndarray, offsets: np.ndarray, double: bool = False) -> Words:
     """Words of documents buf[offsets[i]:offsets[i+1]], hashed in slices cut at white space."""
     starts, ends = _word_bounds(buf, offsets[:-1])
-    out: list[list[np.ndarray]] = [[], []]
-    at = 0
+    hashes = [bytes_hash(buf, starts, ends, which) for which in range(1 + double)]
+    return Words(np.searchsorted(starts, offsets), hashes[0], hashes[1] if double else None)
+
+
+def bytes_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hash of each buf[start:end]; ascending and disjoint ranges."""
+    out, at = [], 0
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + 2 * PART_BYTES)))
         base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES)))
         piece = buf[base : ends[to - 1]]
-        for which in range(1 + double):
-            out[which].append(_ranges_hash(_BYTE_CODES[which][piece], starts[at:to] - base, ends[at:to] - base, which))
+        out.append(_ranges_hash(_BYTE_CODES[which][piece], starts[at:to] - base, ends[at:to] - base, which))
         at = to
-    join = lambda xs: np.concatenate(xs) if xs else np.empty(0, np.uint64)
-    return Words(np.searchsorted(starts, offsets), join(out[0]), join(out[1]) if double else None)
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textvec
 from .common import materialize, slim_batches, table
 from .tokens import encoder, tokenizer_path
 
@@ -94,15 +95,13 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """Empty where the sample is too small to train on."""
     import zstandard
 
-    spark = docs.sparkSession
     sample = (
         docs.filter(F.length("text") <= SAMPLE_CHARS)
         .select("text", F.xxhash64("text").alias("h"))
         .orderBy("h").limit(SAMPLE_DOCS).select("text")
     )
     enc, width = encoder(path), id_width(path)
-    rows = [np.frombuffer(enc.encode(r["text"]), "<u4").astype(f"<u{width}").tobytes() for r in sample.collect()]  # SAMPLE_DOCS at most
-    del spark
+    rows = [enc.whole(r["text"]).astype(f"<u{width}").tobytes() for r in sample.collect()]  # SAMPLE_DOCS at most
     rows = [r for r in rows if r]
     if len(rows) < 16 or sum(map(len, rows)) < 4 * 1024:
         return b""
@@ -144,16 +143,20 @@ def write(docs: DataFrame, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k.
 
         end = np.array([end_id], f"<u{width}").tobytes()
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                raw = np.frombuffer(enc.encode(text.as_py()), "<u4").astype(f"<u{width}").tobytes() + end
-                frame = press.compress(raw)
-                ids.append(doc_id)
-                frames.append(frame)
-                counts.append(len(raw) // width)
-                size += len(frame)
-                if size >= BLOCK_BYTES:
-                    yield close()
-                    ids, frames, counts, size, number = [], [], [], 0, number + 1
+            doc_ids = b.column("doc_id").to_pylist()
+            for lo, hi, buf, offsets in textvec.parts(b.column("text")):
+                found, at = enc.encode_part(buf, offsets)
+                found = found.astype(f"<u{width}")
+                for i in range(lo, hi):
+                    raw = found[at[i - lo] : at[i - lo + 1]].tobytes() + end
+                    frame = press.compress(raw)
+                    ids.append(doc_ids[i])
+                    frames.append(frame)
+                    counts.append(len(raw) // width)
+                    size += len(frame)
+                    if size >= BLOCK_BYTES:
+                        yield close()
+                        ids, frames, counts, size, number = [], [], [], 0, number + 1
         if ids:
             yield close()
 
