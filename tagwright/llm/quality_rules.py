@@ -176,3 +176,9 @@ def measures_sql(docs: str) -> str:
 ORACLE_SQL = f"""WITH {measures_sql('documents')}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        failed_bits = 0 AS kept, n_lines, failed_bits FROM q"""
+
+
+def kept_rows(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, all columns: one narrow pass that needs no key."""
+    inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc_id"), docs["text"])
+    return apply_policy(ledger(inner), policy).filter("kept").select("doc_id.*")

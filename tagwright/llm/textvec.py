@@ -89,7 +89,7 @@ class Words:
         return _ranges_hash(self.hash if which == 0 else self.hash2, starts, ends, which)
 
 
-def _word_bounds(buf: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_bounds(buf: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[buf]
     before = np.empty(len(buf) + 1, bool)
     before[0], before[1:] = True, space
@@ -106,7 +106,10 @@ def _word_bounds(buf: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, n
 
 def words_of_part(buf: np.ndarray, offsets: np.ndarray, double: bool = False) -> Words:
     """Words of documents buf[offsets[i]:offsets[i+1]], hashed in slices cut at white space."""
-    starts, ends = _word_bounds(buf, offsets[:-1])
+    return words_at(buf, *word_bounds(buf, offsets[:-1]), offsets, double)
+
+
+def words_at(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray, double: bool = False) -> Words:
     hashes = [bytes_hash(buf, starts, ends, which) for which in range(1 + double)]
     return Words(np.searchsorted(starts, offsets), hashes[0], hashes[1] if double else None)
 
