@@ -1,7 +1,7 @@
 """Operator 1 - near-duplicates by improved consistent weighted sampling.
 
 A document is the weighted set of its five-word shingles (one shingle of all its
-words if it has fewer). A shingle weighs its count times the mean IDF of its words:
+words if it has fewer). A shingle weighs 1 + ln(its count), times the mean IDF of its words:
 
     idf(word) = 1 + ln((1 + N) / (1 + df)) / ln(1 + N)          in [1, 2]
 
@@ -15,10 +15,10 @@ logarithm hardly tells them apart, however large the vocabulary.
    seed; a sample is the least ln a, whose bits identify shingle row and level.
 2. *Exact classes*: documents with the same words (128-bit hash) form one class,
    represented by its least doc_id; only representatives go on.
-3. *Star*: in each band bucket every member is paired with the least one. A pair
+3. *Star*: in each band bucket every member is paired with its centre. A pair
    whose total weights differ too much for 0.8 is dropped (exact), and so is one
    that agrees in less than ``LOOSE`` of its samples (a pair of similarity 0.8 does
-   with a probability below 1e-10). The others are verified by exact weighted
+   with a probability of about 1e-5). The others are verified by exact weighted
    Jaccard similarity of the whole texts, and connected components are formed.
 4. *Rest*: members of one bucket that are still in different components are
    paired as well and verified, so no link between different texts that share a
@@ -50,10 +50,12 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
 DF_BUCKETS = 1 << 18
-#: Share of equal samples below which a pair is not looked at; 7 standard deviations under 0.8.
-LOOSE = 0.56
+#: Share of equal samples below which a pair is not looked at; over 4 standard deviations under 0.8.
+LOOSE = 0.66
 DRAWS = 1 << 13
 SEED = 20240229
+#: Enough samples of sa and sb agree.
+ALIKE = f"size(filter(zip_with(sa, sb, (x, y) -> x = y), z -> z)) >= {LOOSE} * size(sa)"
 _tables: dict = {}
 
 
@@ -107,7 +109,7 @@ def shingles(words: textvec.Words, idf: np.ndarray) -> tuple[np.ndarray, np.ndar
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(h)))
-    return np.searchsorted(doc[at], np.arange(len(words.n_words) + 1)), h[at], mean[at] * count
+    return np.searchsorted(doc[at], np.arange(len(words.n_words) + 1)), h[at], mean[at] * (1 + np.log(count))
 
 
 def sample(h: np.ndarray, weight: np.ndarray, samples: int) -> np.ndarray:
@@ -165,8 +167,7 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of which enough samples agree."""
     one = classes.select(F.col("rep").alias("a"), F.col("samples").alias("sa"))
     two = classes.select(F.col("rep").alias("b"), F.col("samples").alias("sb"))
-    equal = F.expr("size(filter(zip_with(sa, sb, (x, y) -> x = y), z -> z))")
-    return pairs.join(one, "a").join(two, "b").filter(equal >= LOOSE * F.size("sa")).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").filter(ALIKE).select("a", "b")
 
 
 def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -> float:
@@ -234,13 +235,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     classes = materialize(sig.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), heaviest).select("h1", "h2", "rep", "s.*"), "classes")
     nodes = classes.dropDuplicates(["rep"]).select("rep", "samples")
     members = classes.select("rep", "mass", F.explode("bands").alias("key"))
-    heads = members.groupBy("key").agg(F.min(F.struct("rep", "mass")).alias("h"), F.max("rep").alias("last")).filter("h.rep < last")
-    buckets = materialize(members.join(heads.select("key", F.col("h.rep").alias("head"), F.col("h.mass").alias("head_mass")), "key"), "buckets")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y").select("key", "n")
+    shared = materialize(members.join(sizes, "key"), "shared")  # only buckets with two classes or more
+    # the centre of a bucket is the member with the most company: what its copies were made from keeps the bands they share
+    degrees = shared.groupBy("rep").agg(F.sum("n").alias("degree"))
+    known = shared.join(degrees, "rep")
+    heads = known.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"), "mass")).alias("h"))
+    buckets = materialize(shared.join(heads.select("key", (-F.col("h.r")).alias("head"), F.col("h.mass").alias("head_mass")), "key"), "buckets")
 
     # similarity is at most the ratio of the total weights
     near = lambda x, y: F.least(x, y) >= (threshold - 1e-6) * F.greatest(x, y)
-    star = buckets.filter(F.col("head") < F.col("rep")).filter(near(F.col("mass"), F.col("head_mass")))
-    star = materialize(likely(star.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), nodes), "star")
+    star = buckets.filter(F.col("head") != F.col("rep")).filter(near(F.col("mass"), F.col("head_mass")))
+    star = star.select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")).distinct()
+    star = materialize(likely(star, nodes), "star")
 
     def verified(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -250,14 +257,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     linked = verified(star)
     labels = components(linked)
     # what the stars left apart: members of one bucket in different components
-    named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "mass", F.coalesce("label", "rep").alias("label"))
+    named = buckets.select("key", "rep", "mass").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     open_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-    apart = materialize(named.join(open_keys, "key", "left_semi"), "apart")
-    left = apart.select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("mass").alias("ma"))
-    right = apart.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("mass").alias("mb"))
-    met = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near(F.col("ma"), F.col("mb"))
-    rest = left.join(right, met).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    rest = materialize(likely(rest, nodes), "rest")
+    apart = materialize(named.join(open_keys, "key", "left_semi").join(nodes, "rep"), "apart")
+    side = lambda n: apart.select(F.col("key").alias(f"k{n}"), F.col("rep").alias(n), F.col("label").alias(f"l{n}"), F.col("mass").alias(f"m{n}"), F.col("samples").alias(f"s{n}"))
+    met = (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near(F.col("ma"), F.col("mb")) & F.expr(ALIKE)
+    rest = materialize(side("a").join(side("b"), met).select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = verified(rest)
         if not more.isEmpty():
