@@ -177,13 +177,16 @@ def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndar
     return float(both / (w1.sum() + w2.sum() - both))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose whole texts are similar enough, with ``similarity``; texts has one row per doc_id."""
+def measure(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = 0.0) -> DataFrame:
+    """a, b, similarity of the whole texts, inner (weight they share) and excess, for pairs of at least so similar texts.
+
+    excess: hashes of the shingles of b that weigh more in b than in a. texts has one row per doc_id.
+    """
     kept = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, similar = len(b), np.zeros(len(b))
+            similar, inner, excess = np.zeros(len(b)), np.zeros(len(b)), []
             # a document that stands in many pairs of the batch is parsed once
             sides = [b.column(c).dictionary_encode() if c in "ab" else b.column(c) for c in ("a", "b", "text_a", "text_b")]
             sets: dict = {}
@@ -199,14 +202,24 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
                         for i in range(lo, hi):
                             sets[values[codes[new[i]]]] = h[bounds[i - lo] : bounds[i - lo + 1]], w[bounds[i - lo] : bounds[i - lo + 1]]
             for i, (x, y) in enumerate(zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)):
-                similar[i] = weighted_jaccard(*sets[x], *sets[y])
-            good = np.flatnonzero(similar >= threshold)
-            if n and len(good):
-                yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(good)), b.column("b").take(pa.array(good)), pa.array(similar[good])], names=["a", "b", "similarity"])
+                (hx, wx), (hy, wy) = sets[x], sets[y]
+                at = np.minimum(np.searchsorted(hx, hy), len(hx) - 1)
+                base = np.where(hx[at] == hy, wx[at], 0.0)
+                inner[i] = np.minimum(base, wy).sum()
+                similar[i] = inner[i] / (wx.sum() + wy.sum() - inner[i])
+                excess.append(textvec.signed(hy[wy > base + 1e-9]) if similar[i] >= least else ())
+            good = pa.array(np.flatnonzero(similar >= least))
+            columns = [b.column("a"), b.column("b"), pa.array(similar), pa.array(inner), pa.array(excess, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([c.take(good) for c in columns], names=["a", "b", "similarity", "inner", "excess"])
 
     one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double, inner double, excess array<long>")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose whole texts are similar enough."""
+    return measure(pairs, texts, idf, threshold).select("a", "b", "similarity")
 
 
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
@@ -226,6 +239,38 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
             return labels
 
 
+def _rest(buckets: DataFrame, spokes: DataFrame, labels: DataFrame, nodes: DataFrame, near, threshold: float) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components that can still be similar.
+
+    Copies of one template are all near its centre c and differ from it by edits
+    of their own. What two of them share is what they share within c, at most
+    the lesser of their weights shared with c, and what they share beyond c. A
+    pair without common excess shingles is therefore dropped when that lesser
+    weight is below threshold / (1 + threshold) of both weights - which is exact,
+    and spares a large group of copies from meeting in all pairs. Pairs with a
+    common excess shingle are found by an equi-join on it.
+    """
+    named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    open_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+    own = spokes.select(F.col("a").alias("head"), F.col("b").alias("rep"), "inner")
+    apart = named.join(open_keys, "key", "left_semi").join(nodes, "rep").join(own, ["head", "rep"], "left")
+    apart = materialize(apart.withColumn("inner", F.when(F.col("head") == F.col("rep"), F.col("mass")).otherwise(F.col("inner"))), "apart")
+    columns = {"k": "key", "": "rep", "l": "label", "m": "mass", "s": "samples", "i": "inner"}
+    side = lambda n: apart.select(*[F.col(c).alias(p + n) for p, c in columns.items()])
+    differ = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near(F.col("ma"), F.col("mb"))
+    enough = F.least("ia", "ib") >= threshold / (1 + threshold) * (F.col("ma") + F.col("mb")) - 1e-6
+    close = F.col("ia").isNull() | F.col("ib").isNull() | enough
+    inside = side("a").join(side("b"), (F.col("ka") == F.col("kb")) & differ & close & F.expr(ALIKE)).select("a", "b").distinct()
+    # common excess: members of an open centre by shingle
+    members = apart.filter("inner IS NOT NULL AND head <> rep").select("head", "rep", "label", "mass").distinct()
+    spread = members.join(spokes.select(F.col("a").alias("head"), F.col("b").alias("rep"), F.explode("excess").alias("h")), ["head", "rep"])
+    met = spread.groupBy("head", "h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("head", "h")
+    spread = materialize(spread.join(met, ["head", "h"], "left_semi"), "excess")
+    half = lambda n: spread.select(F.col("head").alias("c" + n), F.col("h").alias("h" + n), F.col("rep").alias(n), F.col("label").alias("l" + n), F.col("mass").alias("m" + n))
+    beyond = half("a").join(half("b"), (F.col("ca") == F.col("cb")) & (F.col("ha") == F.col("hb")) & differ).select("a", "b").distinct()
+    return inside.union(likely(beyond, nodes)).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per document: doc_id, class_id (the least doc_id of its group), exact_of (the least with the same words)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -246,25 +291,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     # similarity is at most the ratio of the total weights
     near = lambda x, y: F.least(x, y) >= (threshold - 1e-6) * F.greatest(x, y)
     star = buckets.filter(F.col("head") != F.col("rep")).filter(near(F.col("mass"), F.col("head_mass")))
-    star = star.select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b")).distinct()
-    star = materialize(likely(star, nodes), "star")
+    star = materialize(likely(star.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), nodes), "star")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = materialize(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-        return materialize(verify(pairs, texts, idf, threshold), "links")
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
+        return materialize(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
-    linked = verified(star)
+    spokes = materialize(measure(star, texts_of(star), idf), "spokes")
+    linked = spokes.filter(F.col("similarity") >= threshold).select("a", "b")
     labels = components(linked)
-    # what the stars left apart: members of one bucket in different components
-    named = buckets.select("key", "rep", "mass").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    open_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-    apart = materialize(named.join(open_keys, "key", "left_semi").join(nodes, "rep"), "apart")
-    side = lambda n: apart.select(F.col("key").alias(f"k{n}"), F.col("rep").alias(n), F.col("label").alias(f"l{n}"), F.col("mass").alias(f"m{n}"), F.col("samples").alias(f"s{n}"))
-    met = (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near(F.col("ma"), F.col("mb")) & F.expr(ALIKE)
-    rest = materialize(side("a").join(side("b"), met).select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "rest")
+    rest = materialize(_rest(buckets, spokes, labels, nodes, near, threshold).join(star, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = verified(rest)
+        more = materialize(verify(rest, texts_of(rest), idf, threshold).select("a", "b"), "links")
         if not more.isEmpty():
             labels = components(linked.unionByName(more))
     exact = sig.join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
