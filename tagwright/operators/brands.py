@@ -96,7 +96,7 @@ def enrich(rows: DataFrame, ordinal: str, verdicts: DataFrame, post: DataFrame,
     t = lambda k: F.col(f"t.{k}")
     auto = match_cascade(open_keys, "_key", [[t("name")], [t("name"), t("producer")], [t("name"), t("producer"), t("tag"), t("label")]], post)
     auto = auto.join(details, "row").select("_key", F.array("group", "winery", "label").alias("parts"), F.lit("auto").alias("how"))
-    split = F.transform(F.split("brand", r"\|"), F.btrim)
+    split = F.transform(F.split("brand", r"\|"), lambda p: F.btrim(p))
     reviewed = verdicts.select(F.col("key").alias("_key"), split.alias("parts"), F.when(F.col("brand").isNull(), "reviewed:none").otherwise(F.concat(F.lit("reviewed:"), "confidence")).alias("how"))
     part = lambda i: F.coalesce(F.get("parts", F.lit(i)), F.lit(""))
     return (

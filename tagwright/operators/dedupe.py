@@ -16,7 +16,7 @@ def informativeness(price: Column, confidence: Column, volume: Column, vintage:
 
 
 def numbered_keys(df: DataFrame, key: str) -> DataFrame:
-    """(key, n): distinct keys numbered from 1 in order, without one task that sees them all.
+    """(key, _no): distinct keys numbered from 1 in order, without one task that sees them all.
 
     Keys are range-partitioned; a partition's first number follows from the
     counts of the partitions before it, one row each.
@@ -26,7 +26,7 @@ def numbered_keys(df: DataFrame, key: str) -> DataFrame:
     keys = keys.select(key, "_p", (F.col("_m") - F.col("_p").cast("long") * (1 << 33)).alias("_i"))
     counts = keys.groupBy("_p").agg(F.count("*").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return keys.join(F.broadcast(counts.select("_p", before.alias("_b"))), "_p").select(key, (F.col("_i") + F.col("_b") + 1).alias("n"))
+    return keys.join(F.broadcast(counts.select("_p", before.alias("_b"))), "_p").select(key, (F.col("_i") + F.col("_b") + 1).alias("_no"))
 
 
 def deduplicate(df: DataFrame, key: Column, order: list[Column], ordinal: Column, price: str, prefix: str = "W") -> DataFrame:
@@ -39,14 +39,14 @@ def deduplicate(df: DataFrame, key: Column, order: list[Column], ordinal: Column
     ranked = keyed.withColumn("_rank", F.row_number().over(group.orderBy(*order, F.col("_ord").asc())))
     ranked = ranked.withColumn("_prices", F.array_sort(F.collect_set(price).over(group)))
     numbers = numbered_keys(keyed, "_key")
-    first = F.concat(F.lit(prefix), F.when(F.col("n") < 10**5, F.lpad(F.col("n").cast("string"), 5, "0")).otherwise(F.col("n").cast("string")))
+    first = F.concat(F.lit(prefix), F.when(F.col("_no") < 10**5, F.lpad(F.col("_no").cast("string"), 5, "0")).otherwise(F.col("_no").cast("string")))
     lead = F.col("_rank") == 1
     return (
         ranked.join(numbers, "_key")
         .withColumn("row_id", F.when(lead, first).otherwise(F.concat(first, F.lit("d"), (F.col("_rank") - 1).cast("string"))))
         .withColumn("duplicate_of", F.when(~lead, first))
         .withColumn("price_conflict", F.when(lead & (F.size("_prices") > 1), F.col("_prices")))
-        .drop("_key", "_ord", "_rank", "_prices", "n")
+        .drop("_key", "_ord", "_rank", "_prices", "_no")
     )
 
 
