@@ -1,9 +1,10 @@
 """Operator 10 - benchmark decontamination by SimHash windows and multi-index Hamming blocks.
 
-A document leaks an item if some window of it, as many words long as the item,
-has a weighted shingle similarity of ``THRESHOLD`` or more with the item.
-Shingles are five lower-cased words; a shingle weighs its count times its
-characters; similarity is the weighted Jaccard of the two shingle bags.
+An item is laid over a text wherever the two share a shingle; the document leaks
+it if one of these windows, as many words long as the item, has a weighted
+shingle similarity of ``THRESHOLD`` or more with it. Shingles are five
+lower-cased words; a shingle weighs its count times its characters; similarity
+is the weighted Jaccard of the two shingle bags.
 
 1. *Windows.* Window and item must share a shingle to be similar at all, so the
    windows worth a fingerprint are those aligned by a shared shingle: at place p

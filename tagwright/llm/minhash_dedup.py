@@ -50,6 +50,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
 DF_BUCKETS = 1 << 18
+#: Buckets of doc_ids, the bound of a broadcast (8 bytes a row).
+ID_BUCKETS = 1 << 20
 #: Share of equal samples below which a pair is not looked at; over 4 standard deviations under 0.8.
 LOOSE = 0.66
 DRAWS = 1 << 13
@@ -295,7 +297,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
-        return materialize(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+        # texts that are not asked for stay where they are: a coarse test on at most ID_BUCKETS broadcast rows goes before the join
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).alias("_b")
+        coarse = docs.withColumn("_b", bucket).join(F.broadcast(needed.select(bucket).distinct()), "_b", "left_semi").drop("_b")
+        return materialize(coarse.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     spokes = materialize(measure(star, texts_of(star), idf), "spokes")
     linked = spokes.filter(F.col("similarity") >= threshold).select("a", "b")
