@@ -104,3 +104,52 @@ def iou(a: Column, b: Column) -> Column:
     shared = side("x0", "x1") * side("y0", "y1")
     whole = area(a) + area(b) - shared
     return F.when(whole > 0, shared / F.when(whole > 0, whole)).otherwise(F.lit(0.0))
+
+
+def fraction_spans(low: Column, high: Column, n: Column, overlap: float = FALLBACK_OVERLAP) -> Column:
+    """array<struct<lo,hi>>: n overlapping stretches of low..high."""
+    length = high - low
+    span = length / (n - (n - 1) * overlap)
+    step = F.when(n > 1, (length - span) / F.when(n > 1, n - 1)).otherwise(F.lit(0.0))
+    cut = lambda i: F.struct((low + i * step).alias("lo"), F.least(high, low + i * step + span).alias("hi"))
+    return F.transform(F.sequence(F.lit(0), n - 1), cut)
+
+
+def fallback_tiles(width: Column, height: Column, y0: Column, y1: Column) -> Column:
+    """array<struct<x0,y0,x1,y1>>: a strip of the photo in overlapping tiles of a readable size, row by row."""
+    grid = fallback_grid(width, height * (y1 - y0))
+    rows, cols = fraction_spans(y0, y1, grid["rows"]), fraction_spans(F.lit(0.0), F.lit(1.0), grid["cols"])
+    tile = lambda r, c: F.struct(c["lo"].alias("x0"), r["lo"].alias("y0"), c["hi"].alias("x1"), r["hi"].alias("y1"))
+    return F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: tile(r, c))))
+
+
+def band_regions(band: Column, width: Column, height: Column, max_edge: Column, label: Column) -> Column:
+    """Tiles of a reported band (contains_wine, bottles_y0, bottles_y1, tags_y0, tags_y1, x0, x1); none for what is no band."""
+    top, foot = F.least(band["bottles_y0"], band["tags_y0"]), F.greatest(band["bottles_y1"], band["tags_y1"])
+    px = lambda v, size: (clamp(v) * size).cast("int")
+    rail = F.struct((band["tags_y0"] * height).cast("int").alias("y0"), (band["tags_y1"] * height).cast("int").alias("y1"))
+    cut = tiles(px(band["x0"] - BAND_PAD, width), px(top - BAND_PAD, height), px(band["x1"] + BAND_PAD, width), px(foot + BAND_PAD, height), max_edge, label, rail)
+    usable = F.coalesce(band["contains_wine"], F.lit(True)) & (foot - top >= LEAST_BAND) & (band["x1"] - band["x0"] >= LEAST_BAND)
+    return F.when(usable, cut).otherwise(F.slice(cut, 1, 0))
+
+
+def grid_regions(width: Column, height: Column, max_edge: int = MAX_EDGE, overlap: float = TILE_OVERLAP) -> Column:
+    """Tiles of a plain grid of rows over the whole photo, for photos without reported bands."""
+    rows = F.greatest(F.lit(1), F.ceil(height / int(max_edge * 0.86)).cast("int"))
+    tall = height / rows
+    extra = (tall * overlap).cast("int")
+
+    def row(r: Column) -> Column:
+        top = F.greatest(F.lit(0), (r * tall).cast("int") - extra)
+        foot = F.least(height, ((r + 1) * tall).cast("int") + extra)
+        name = F.concat(F.lit("grid row "), (r + 1).cast("string"), F.lit("/"), rows.cast("string"))
+        return tiles(F.lit(0), top, width, foot, F.lit(max_edge), name)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), rows - 1), row))
+
+
+def crop_box(box: Column, width: Column, height: Column, pad: float = 0.04, least: float = 0.02) -> Column:
+    """Pixel box of a review crop: the box and a margin of its size."""
+    dx, dy = pad * F.greatest(box["x1"] - box["x0"], F.lit(least)), pad * F.greatest(box["y1"] - box["y0"], F.lit(least))
+    at = lambda v, size: (clamp(v) * size).cast("int")
+    return F.struct(at(box["x0"] - dx, width).alias("x0"), at(box["y0"] - dy, height).alias("y0"), at(box["x1"] + dx, width).alias("x1"), at(box["y1"] + dy, height).alias("y1"))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagwright.functions.geometry import centre, x_overlap
+from tagwright.functions.geometry import centre, fallback_tiles, x_overlap
 
 # What a price looks like in a line of text, and what only seems to be one.
 PRICE = r"^[^\d]{0,3}(\d{1,4})\s?[.,·'’]\s?(\d{2})([^\d]{0,4})$"
@@ -248,17 +248,23 @@ def suppress_overlaps(lines: DataFrame, most: float = 0.45) -> DataFrame:
     return lines.groupBy("photo").applyInPandas(lambda p: _suppress(p, most), lines.schema)
 
 
-def bands(lines: DataFrame, least_conf: float = LEAST_CONFIDENCE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def bands(lines: DataFrame, least_conf: float = LEAST_CONFIDENCE, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(bands, slots, lines) of every photo: rails' bands and fallback strips, prices by band, and what each line is to them.
 
-    bands: photo, band, rail (NULL for a strip no rail claimed), x0..y1, index from the top.
+    bands: photo, band, rail (NULL for a strip no rail claimed), x0..y1, index from the top. sizes (photo,
+    width, height in pixels) cuts such strips into readable tiles; those without any line are left out.
     """
     members = find_rails(price_tokens(lines, least_conf))
     over = band_bounds(rail_extents(members))
     gaps = coverage_gaps(over, "photo", "y0", "y1", groups=lines)
     centres = lines.select("photo", ((F.col("x0") + F.col("x1")) / 2).alias("lx"), ((F.col("y0") + F.col("y1")) / 2).alias("ly"))
-    used = gaps.join(centres, "photo").filter(F.col("ly").between(F.col("gap_lo"), F.col("gap_hi"))).select("photo", "gap_lo", "gap_hi").distinct()
-    strips = used.select("photo", F.lit(None).cast("int").alias("rail"), F.lit(0.0).alias("x0"), F.col("gap_lo").alias("y0"), F.lit(1.0).alias("x1"), F.col("gap_hi").alias("y1"))
+    if sizes is None:
+        tile = F.array(F.struct(F.lit(0.0).alias("x0"), F.col("gap_lo").alias("y0"), F.lit(1.0).alias("x1"), F.col("gap_hi").alias("y1")))
+    else:
+        gaps, tile = gaps.join(sizes.select("photo", "width", "height"), "photo"), fallback_tiles(F.col("width"), F.col("height"), F.col("gap_lo"), F.col("gap_hi"))
+    tiles = gaps.select("photo", F.explode(tile).alias("t")).select("photo", F.lit(None).cast("int").alias("rail"), "t.*")
+    held = F.col("lx").between(F.col("x0"), F.col("x1")) & F.col("ly").between(F.col("y0"), F.col("y1"))
+    strips = tiles.join(centres, "photo").filter(held).select(*tiles.columns).distinct()
     order = Window.partitionBy("photo").orderBy("y0", "x0", F.col("rail").asc_nulls_last())
     whole = over.unionByName(strips).withColumn("index", F.row_number().over(order) - 1)
     whole = whole.withColumn("band", F.struct("photo", "index"))
