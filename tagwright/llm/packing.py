@@ -7,7 +7,7 @@ the histogram of piece lengths (at most ``capacity`` counts, whatever the size
 of the corpus) and its solutions are *bin groups*, a fill pattern and how many
 bins have it.
 
-* Start: the better of best-fit decreasing and exact fits over the histogram, and shuffled variants of it.
+* Start: the best of best-fit decreasing, exact fits and least-slack fits over the histogram, and shuffled variants of it.
 * Crossover injects whole well-filled bin groups of one parent into another,
   removes the receiver's bins that would use a document twice, and best-fits the
   displaced documents into what is open.
@@ -120,6 +120,46 @@ def tight_fit(counts: Counter, capacity: int) -> Solution:
     return best_fit(Counter({k: v for k, v in left.items() if v}), capacity, bins)
 
 
+def slack_fit(counts: Counter, capacity: int) -> Solution:
+    """Each bin starts with the largest length left and takes, of all sets of the others, one that leaves the least room.
+
+    Sums that can be reached are bits of an integer, one per length added, the
+    small ones first; read back from the large end, so that small lengths are kept.
+    Each round uses up one length at least, so there are at most ``capacity`` rounds.
+    """
+    left, bins = Counter({k: v for k, v in counts.items() if v > 0}), []
+    while left:
+        top = max(left)
+        left[top] -= 1
+        room = capacity - top
+        usable = sorted(k for k, v in left.items() if v > 0 and k <= room)
+        mask, reach = (1 << room + 1) - 1, [1]
+        for k in usable:
+            sums, n, step = reach[-1], min(left[k], room // k), 1
+            while n:  # up to n of them, in powers of two
+                take = min(step, n)
+                sums |= sums << k * take & mask
+                n, step = n - take, 2 * step
+            reach.append(sums)
+        goal, pattern = reach[-1].bit_length() - 1, [top]
+        for i in range(len(usable) - 1, -1, -1):
+            k = usable[i]
+            for c in range(min(left[k], goal // k), -1, -1):
+                if reach[i] >> goal - c * k & 1:
+                    pattern += [k] * c
+                    goal -= c * k
+                    break
+        left[top] += 1
+        use = Counter(pattern)
+        m = min(left[k] // c for k, c in use.items())
+        for k, c in use.items():
+            left[k] -= c * m
+            if not left[k]:
+                del left[k]
+        bins.append((tuple(pattern), m))
+    return merged(bins)
+
+
 def merged(bins: Solution) -> Solution:
     total: Counter = Counter()
     for pattern, m in bins:
@@ -163,8 +203,15 @@ def mutate(bins: Solution, capacity: int, rng: random.Random) -> Solution:
     for pattern, m in bins[-cut:]:
         for length in pattern:
             loose[length] += m
+    for pattern, _ in rng.sample(bins[:-cut], min(len(bins) - cut, cut)):  # and some that are well filled
+        bins.remove((pattern, _))
+        for length in pattern:
+            loose[length] += _
+    kept = bins[: len(bins) - cut]
+    if rng.random() < 0.5:
+        return merged([*kept, *slack_fit(loose, capacity)])
     order = sorted(loose, key=lambda x: -x * rng.uniform(0.9, 1.1))
-    return best_fit(loose, capacity, bins[:-cut], order)
+    return best_fit(loose, capacity, kept, order)
 
 
 def evolve(counts: Counter, capacity: int, elites: list[Solution], seed: int) -> Solution:
@@ -193,7 +240,7 @@ def search(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY
     whole: Solution = [((capacity,), full)] if full else []
     if not rest:
         return whole
-    best = min(best_fit(rest, capacity), tight_fit(rest, capacity), key=lambda b: cost(b, capacity))
+    best = min((f(rest, capacity) for f in (best_fit, tight_fit, slack_fit)), key=lambda b: cost(b, capacity))
     bound = -(-sum(k * v for k, v in rest.items()) // capacity)
     elites = [best] * islands
     problem = json.dumps(sorted(rest.items()))

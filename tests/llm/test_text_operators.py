@@ -230,7 +230,7 @@ def test_search_keeps_every_document():
     rng = random.Random(4)
     counts = Counter(rng.randint(1, 99) for _ in range(3000))
     start = packing.best_fit(counts, 100)
-    for found in (start, packing.tight_fit(counts, 100), packing.evolve(counts, 100, [start, packing.tight_fit(counts, 100)], 1), packing.mutate(start, 100, rng)):
+    for found in (start, packing.tight_fit(counts, 100), packing.slack_fit(counts, 100), packing.evolve(counts, 100, [start, packing.tight_fit(counts, 100)], 1), packing.mutate(start, 100, rng)):
         total: Counter = Counter()
         for pattern, m in found:
             assert sum(pattern) <= 100 and m > 0
