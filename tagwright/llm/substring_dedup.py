@@ -169,8 +169,10 @@ def spans(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> tuple[DataFram
     texts = keyed.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text_key"])
     windows = materialize(_window_hashes(texts.join(asked, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "segs"), span), "windows")
     first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last")).filter("ref_doc < last")
+    # written, so that the join below has an exchange on both sides and its hot windows can be split
+    first = materialize(first.select("w1", "w2", "ref_doc"), "first-windows")
     edges = (
-        windows.join(first.select("w1", "w2", "ref_doc"), ["w1", "w2"])
+        windows.join(first, ["w1", "w2"])
         .filter("ref_doc < doc_id")
         .select("doc_id", "text_key", "start", F.lit(span).alias("n_words"), "ref_doc")
     )
