@@ -150,6 +150,13 @@ def query(spark, sf_dir):
     )
 
 
+def ablation_query(spark, sf_dir):
+    """What each rule of the default policy rejects, alone and with others."""
+    from .common import table
+
+    return ablations(ledger(table(spark, sf_dir, "documents")))
+
+
 #: The measurements in DuckDB SQL, as a common table ``m`` over ``docs``.
 def measures_sql(docs: str) -> str:
     return rf"""
@@ -176,6 +183,10 @@ def measures_sql(docs: str) -> str:
 ORACLE_SQL = f"""WITH {measures_sql('documents')}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        failed_bits = 0 AS kept, n_lines, failed_bits FROM q"""
+ABLATION_SQL = f"""WITH {measures_sql('documents')},
+r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('word_length', 8), ('duplicate_lines', 16))
+SELECT rule, count(CASE WHEN failed_bits & bit <> 0 THEN 1 END) AS n_failed, count(CASE WHEN failed_bits = bit THEN 1 END) AS n_failed_alone,
+       count(CASE WHEN failed_bits & (31 - bit) = 0 THEN 1 END) AS n_kept_without FROM q CROSS JOIN r GROUP BY rule"""
 
 
 def kept_rows(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:

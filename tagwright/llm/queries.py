@@ -13,9 +13,12 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.query,
     "op9_quality_classifier": quality_classifier.query,
     "op10_decontaminate": decontaminate.query,
+    "quality_rule_ablations": quality_rules.ablation_query,
 }
 ORACLE_SQL = {
     "op2_url_filters": url_filters.ORACLE_SQL,
     "op3_quality_rules": quality_rules.ORACLE_SQL,
+    "op8_substring_dedup": substring_dedup.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
+    "quality_rule_ablations": quality_rules.ABLATION_SQL,
 }

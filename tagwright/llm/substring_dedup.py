@@ -235,3 +235,15 @@ def brute_force(rows: list[tuple[int, str | None]], span: int = SPAN) -> dict[in
         left = [w for i, w in enumerate(ws) if i not in gone]
         out[d] = (len(ws), len(gone), hashlib.sha256(b" ".join(left)).hexdigest())
     return out
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+w AS (SELECT rid, doc_id, s, md5(array_to_string(ws[s:s + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS s FROM d)),
+f AS (SELECT h, min(doc_id) AS m FROM w GROUP BY h),
+g AS (SELECT DISTINCT rid, unnest(range(s, s + 50)) AS i FROM w JOIN f USING (h) WHERE m < doc_id),
+k AS (SELECT p.rid, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY p.i) FILTER (WHERE g.i IS NULL) AS kept
+      FROM p LEFT JOIN g ON p.rid = g.rid AND p.i = g.i GROUP BY p.rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)"""
