@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import slim_batches, table
+from .common import slim_batches, smallest_hashes, table
 
 FOLDS, HELD_OUT = 5, 0
 TRAIN_DOCS = 3_000
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, iterations: int = ITERATI
     """From text and lang of the allowed rows of docs."""
     spark = docs.sparkSession
     allowed = docs.filter((_fold(docs["doc_id"]) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = allowed.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(train_docs).select("doc_id").distinct()
+    chosen = smallest_hashes(allowed.select("doc_id"), train_docs).distinct()
     sampled = allowed.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")  # train_docs ids at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
