@@ -72,3 +72,28 @@ def smallest_hashes(df: DataFrame, most: int) -> DataFrame:
     share = min(1.0, (most + 8 * most**0.5 + 50) / max(n, 1))
     few = df.filter(F.pmod(F.col("_h"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     return few.orderBy(F.pmod(F.col("_h"), F.lit(1 << 30)), "_h", "doc_id").limit(most).drop("_h")
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the machine; Python workers outlive their tasks and would keep it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def tidy(run):
+    """An Arrow function that releases memory when its partition is done."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        release_memory()
+
+    return wrapped

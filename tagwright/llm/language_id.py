@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import slim_batches, smallest_hashes, table
+from .common import slim_batches, smallest_hashes, table, tidy
 
 FOLDS, HELD_OUT = 5, 0
 TRAIN_DOCS = 3_000
 ITERATIONS = 2
 SMOOTHING = 0.5
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 START = "▁"
 UNKNOWN = "und"
 _vocabularies: dict = {}
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, iterations: int = ITERATI
             words.pop("", None)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
 
-    counted = sampled.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(2 * spark.sparkContext.defaultParallelism, "word").persist()
+    counted = sampled.mapInArrow(tidy(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(2 * spark.sparkContext.defaultParallelism, "word").persist()
     languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
     vocab = vocabulary(name)
     if not languages:
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, iterations: int = ITERATI
             piece, k = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(total[piece, k])], names=["piece", "k", "v"])
 
-        got = counted.mapInArrow(expect, "piece int, k int, v double").groupBy("piece", "k").agg(F.sum("v").alias("v")).toArrow()
+        got = counted.mapInArrow(tidy(expect), "piece int, k int, v double").groupBy("piece", "k").agg(F.sum("v").alias("v")).toArrow()
         total = np.zeros(p.shape)
         total[got["piece"].to_numpy(), got["k"].to_numpy()] = got["v"].to_numpy()
         total[: vocab.none] += SMOOTHING
@@ -264,7 +264,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     held = F.coalesce(_fold(docs["doc_id"]) == HELD_OUT, F.lit(False)).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

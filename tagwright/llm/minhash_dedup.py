@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import materialize, slim_batches, table
+from .common import materialize, slim_batches, table, tidy
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -77,7 +77,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         used = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(df[used], n))], names=["bucket", "df"])
 
-    counts = docs.select("text").mapInArrow(run, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
+    counts = docs.select("text").mapInArrow(tidy(run), "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
     found = counts.toArrow().to_pydict()
     df = np.zeros(DF_BUCKETS + 1, np.int64)
     df[np.array(found["bucket"], np.int64)] = found["df"]  # bucket -1, the last, holds N
@@ -158,7 +158,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int =
                 )
 
     schema = "doc_id long, h1 long, h2 long, bands array<long>, samples array<smallint>, mass double"
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, schema)
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def _lists(flat: np.ndarray, size: int) -> pa.ListArray:
@@ -216,7 +216,7 @@ def measure(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float =
 
     one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double, inner double, excess array<long>")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long, similarity double, inner double, excess array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:

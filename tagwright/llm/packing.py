@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import materialize, slim_batches, table
+from .common import materialize, slim_batches, table, tidy
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 1024
@@ -258,7 +258,7 @@ def search(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY
                 yield pa.RecordBatch.from_arrays([b.column("island"), pa.array(out, pa.string())], names=["island", "best"])
 
         tasks = spark.createDataFrame(rows, "island int, elites string").repartition(islands, "island")
-        found = tasks.mapInArrow(island, "island int, best string").collect()  # one bounded solution per island
+        found = tasks.mapInArrow(tidy(island), "island int, best string").collect()  # one bounded solution per island
         elites = [[(tuple(p), m) for p, m in json.loads(r["best"])] for r in sorted(found)]
         best = min([best, *elites], key=lambda s: cost(s, capacity))
     return whole + best
@@ -301,7 +301,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, toke
             yield pa.RecordBatch.from_arrays(arrays, names=names[: len(arrays)])
 
     schema = PIECES + (", ids array<long>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), schema)
 
 
 def _layout(bins: Solution) -> tuple[np.ndarray, np.ndarray]:
@@ -341,7 +341,7 @@ def place(found: DataFrame, bins: Solution) -> DataFrame:
 
     ranked = found.join(before, ["part", "length"]).withColumn("whole_rank", F.col("rank") + F.col("before"))
     schema = ", ".join(f"{n} {found.schema[n].dataType.simpleString()}" for n in keep) + ", sequence_id long, offset long"
-    return ranked.select(*keep, "whole_rank").mapInArrow(run, schema)
+    return ranked.select(*keep, "whole_rank").mapInArrow(tidy(run), schema)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k.json", with_ids: bool = False) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import materialize, slim_batches, table
+from .common import materialize, slim_batches, table, tidy
 
 FOLDS, HELD_OUT = 4, 2
 LAMBDA, GAMMA = 0.2, 0.02
@@ -102,7 +102,7 @@ def features(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), lists], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, x array<double>")
 
 
 class Discriminant(NamedTuple):
@@ -128,7 +128,7 @@ def fit(rows: DataFrame, lam: float = LAMBDA, gamma: float = GAMMA) -> Discrimin
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total.reshape(-1))], names=["k", "at", "v"])
 
     sums = np.zeros((2, 1 + d + d * d))
-    for r in rows.select("x", "quality").mapInArrow(run, "k int, at int, v double").groupBy("k", "at").agg(F.sum("v").alias("v")).collect():
+    for r in rows.select("x", "quality").mapInArrow(tidy(run), "k int, at int, v double").groupBy("k", "at").agg(F.sum("v").alias("v")).collect():
         sums[r["k"], r["at"]] = r["v"]
     n = sums[:, 0]
     share = float(n[1] / n.sum()) if n.sum() else 0.5
@@ -169,7 +169,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
             )
 
     held = F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out")
-    return found.select("doc_id", held, "x").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return found.select("doc_id", held, "x").mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

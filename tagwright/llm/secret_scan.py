@@ -34,6 +34,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slim_batches, table, tidy
+
 KINDS = ("assign", "access", "hex", "github", "card", "iban", "jwt")
 BASE_KINDS = KINDS[:3]
 
@@ -207,7 +209,7 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def find(docs: DataFrame) -> DataFrame:
     """One row per document with its counts and spans; a narrow pass without shuffle."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_scan_batches, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(tidy(_scan_batches), SCHEMA)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -220,11 +222,9 @@ def redacted(docs: DataFrame) -> DataFrame:
             new = {"text": pa.array(texts, b.schema.field("text").type), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(n, b.column(i)) for i, n in enumerate(names)], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def query(spark, sf_dir):
-    from .common import slim_batches, table
-
     slim_batches(spark)
     return find(table(spark, sf_dir, "documents"))

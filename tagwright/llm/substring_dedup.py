@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import materialize, slim_batches, table
+from .common import materialize, slim_batches, table, tidy
 
 SPAN = 50
 SEED = 12
@@ -116,7 +116,7 @@ def segments(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
                     names=["doc_id", "text_key", "start", "n_windows", "anchor", "h1", "h2"],
                 )
 
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text", "text_key").mapInArrow(run, _SEGMENTS)
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text", "text_key").mapInArrow(tidy(run), _SEGMENTS)
 
 
 def _window_hashes(asked: DataFrame, span: int) -> DataFrame:
@@ -138,7 +138,7 @@ def _window_hashes(asked: DataFrame, span: int) -> DataFrame:
                         names=["doc_id", "text_key", "start", "w1", "w2"],
                     )
 
-    return asked.mapInArrow(run, out)
+    return asked.mapInArrow(tidy(run), out)
 
 
 def spans(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -210,7 +210,7 @@ def remove(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
             )
 
     joined = keyed.join(cover, ["doc_id", "text_key"], "left").select("doc_id", "text", "cover")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text binary")
+    return joined.mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_text binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import materialize, slim_batches, smallest_hashes, table
+from .common import materialize, slim_batches, smallest_hashes, table, tidy
 from .tokens import encoder, tokenizer_path
 
 BLOCK_BYTES = 1 << 20
@@ -158,7 +158,7 @@ def write(docs: DataFrame, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k.
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return TokenFiles(materialize(ordered.mapInArrow(blocks, BLOCK_SCHEMA), "token-files"), dictionary)
+    return TokenFiles(materialize(ordered.mapInArrow(tidy(blocks), BLOCK_SCHEMA), "token-files"), dictionary)
 
 
 def read(files: TokenFiles) -> DataFrame:
@@ -179,7 +179,7 @@ def read(files: TokenFiles) -> DataFrame:
                 )
 
     schema = "doc_id long, part int, block int, place int, before long, n_tokens long, ids_crc32 long"
-    return files.blocks.select("part", "block", "doc_ids", "payload").mapInArrow(documents, schema)
+    return files.blocks.select("part", "block", "doc_ids", "payload").mapInArrow(tidy(documents), schema)
 
 
 def with_starts(files: TokenFiles) -> DataFrame:

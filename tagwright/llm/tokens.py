@@ -18,7 +18,7 @@ import numpy as np
 from . import textvec
 
 #: Cached words in a Python worker (about 50 bytes each); the cache is emptied when it is full.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 _encoders: dict = {}
 
 
