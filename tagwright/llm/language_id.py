@@ -42,6 +42,8 @@ SMOOTHING = 0.5
 CACHE_WORDS = 500_000
 START = "▁"
 UNKNOWN = "und"
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_SLOT_BITS, _SHIFTS = 18, (46, 23, 0)
 _vocabularies: dict = {}
 
 
@@ -55,26 +57,60 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
         use = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i) or model.is_unused(i))]
         pieces = sorted({model.id_to_piece(i) for i in use})
-        self.ids = {p: i for i, p in enumerate(pieces)}
+        self.fill({p: i for i, p in enumerate(pieces)})
+
+    def fill(self, ids: dict[str, int]) -> None:
+        """Sets the pieces, and a hash table of them in which numpy looks up many strings at once."""
+        self.ids = ids
         #: Ids behind the pieces: an unknown character, and no piece at all.
-        self.unknown, self.none = len(pieces), len(pieces) + 1
-        self.longest = max(map(len, pieces))
+        self.unknown, self.none = len(ids), len(ids) + 1
+        self.longest = max(map(len, ids))
+        self.keys = np.zeros((len(_SHIFTS), 1 << _SLOT_BITS), np.uint64)
+        self.slots = np.full(self.keys.shape, self.none, np.int32)
+        for piece, i in ids.items():
+            h = int(_substring_hashes(_codes([piece]), len(piece))[0, 0])
+            for table, shift in enumerate(_SHIFTS):
+                at = h >> shift & (1 << _SLOT_BITS) - 1
+                if self.slots[table, at] == self.none:
+                    self.keys[table, at], self.slots[table, at] = h, i
+                    break
+            else:
+                raise ValueError("the table of pieces is too full")
+
+    def look_up(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(h.shape, self.none, np.int32)
+        for table, shift in enumerate(_SHIFTS):
+            at = h >> np.uint64(shift) & np.uint64((1 << _SLOT_BITS) - 1)
+            same = self.keys[table][at] == h
+            out[same] = self.slots[table][at[same]]
+        return out
 
     def edges(self, words: list[str]) -> np.ndarray:
         """Piece ids of words of one length: [word, end, length - 1], ``none`` where no piece is."""
-        n, get, none = len(words[0]), self.ids.get, self.none
+        codes = _codes(words)
+        n = codes.shape[1]
         reach = min(self.longest, n)
-        flat = []
-        for w in words:
-            for j in range(1, n + 1):
-                for k in range(1, reach + 1):
-                    flat.append(get(w[j - k : j], none) if k <= j else none)
-        out = np.array(flat, np.int32).reshape(len(words), n, reach)
+        out = np.full((len(words), n, reach), self.none, np.int32)
+        for k in range(1, reach + 1):
+            out[:, k - 1 :, k - 1] = self.look_up(_substring_hashes(codes, k))
         alone = out[:, :, 0]
-        alone[alone == none] = self.unknown
+        alone[alone == self.none] = self.unknown
         return out
 
 
+def _codes(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, a row each."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1)
+
+
+def _substring_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every substring of k code points, by its start."""
+    h = np.zeros((codes.shape[0], codes.shape[1] - k + 1), np.uint64)
+    for i in range(k):
+        h = h * _BASE + codes[:, i : codes.shape[1] - k + 1 + i] + np.uint64(1)
+    return textvec.mix(h)
+
+
 def vocabulary(name: str) -> Vocabulary:
     if name not in _vocabularies:
         _vocabularies[name] = Vocabulary(name)

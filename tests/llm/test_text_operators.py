@@ -245,11 +245,17 @@ def test_search_keeps_every_document():
 def test_forward_sums_all_segmentations():
     class Small(language_id.Vocabulary):
         def __init__(self):
-            self.ids, self.unknown, self.none, self.longest = {"a": 0, "b": 1, "ab": 2, "ba": 3}, 4, 5, 2
+            self.fill({"a": 0, "b": 1, "ab": 2, "ba": 3})
 
     p = np.array([[0.2, 0.1], [0.3, 0.2], [0.1, 0.4], [0.25, 0.05], [0.01, 0.02], [0, 0]])
     vocab = Small()
 
+    real = language_id.vocabulary("piece_bpe_32k.model")
+    asked = ["▁garten", "▁häuser", "▁日本語の国あ"]
+    found = real.edges(asked)
+    for word, e in zip(asked, found, strict=True):
+        assert all(e[j, k] == real.ids.get(word[j - k : j + 1], real.unknown if k == 0 else real.none) for j in range(7) for k in range(j + 1))
+
     def brute(w):
         if not w:
             return np.ones(2)
