@@ -355,6 +355,61 @@ def props_json(spark, d):
     return t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
 
 
+def _answers(spark, d):
+    """An answer document per part: whole, wrapped, cut off, without a key, or with a word outside its list."""
+    null = lambda kind: F.lit(None).cast(kind)
+    k = F.col("p_partkey") % 5
+    wine = F.struct(
+        F.col("p_name").alias("wine_name"), null("string").alias("producer"), F.lit("recolta 2019").alias("vintage"), F.when(k == 4, "blue").otherwise("red").alias("wine_type"), F.lit("dry").alias("sweetness"),
+        F.array(F.lit("Merlot"), F.lit("Cabernet")).alias("grape_varieties"), null("string").alias("region"), null("string").alias("country"), F.lit("0.75").alias("volume_ml"), null("double").alias("abv_percent"),
+        (F.col("p_size") + 0.5).alias("price"), null("string").alias("currency"), F.concat((F.col("p_size") + 0.5).cast("string"), F.lit("0 lei")).alias("price_text"), F.lit("shelf").alias("price_kind"),
+        null("double").alias("original_price"), null("string").alias("unit_price_text"), null("string").alias("promo_text"), null("string").alias("raw_tag_text"), null("string").alias("raw_label_text"),
+        F.lit(2).alias("ocr_price_index"), F.lit("price_tag").alias("name_source"), F.lit("high").alias("pairing_confidence"), null("string").alias("pairing_note"),
+        F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(0.5).alias("x1"), F.lit(1.0).alias("y1")).alias("bottle_bbox"), null("string").alias("tag_bbox"),
+    )
+    whole = F.to_json(F.struct(F.array(wine).alias("wines"), F.array().cast("array<string>").alias("unreadable_tags"), F.lit(False).alias("non_wine_present"), F.lit("").alias("notes")), {"ignoreNullFields": "false"})
+    raw = F.when(k == 1, F.concat(F.lit('{"result":'), whole, F.lit("}"))).when(k == 2, F.substring(whole, 1, 50)).when(k == 3, F.regexp_replace(whole, ',"notes":""', "")).otherwise(whole)
+    from tagwright.sources.ingest import parse_answers
+
+    return parse_answers(t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("job_id"), raw.alias("raw")))
+
+
+@query("""SELECT p_partkey::VARCHAR AS job_id, p_partkey % 5 < 2 AS valid FROM part""")
+def answer_validation(spark, d):
+    return _answers(spark, d).select("job_id", "valid")
+
+
+@query(f"""SELECT p_partkey::VARCHAR AS job_id, p_name AS wine_name, '2019' AS vintage, 'RON' AS currency, 750.0::DOUBLE AS volume_ml, {R2.format('(p_size + 0.5) * 1000.0 / 750')} AS price_per_litre,
+  'Merlot; Cabernet' AS grape_varieties, 'ok' AS price_check, CASE WHEN p_partkey % 3 = 0 THEN 'ok' ELSE 'index_mismatch' END AS ocr_price_check, '0.2000,0.0000,0.4000,1.0000' AS bottle_bbox FROM part WHERE p_partkey % 5 < 2""")
+def row_assembly(spark, d):
+    price = F.col("p_size") + 0.5
+    rail = F.when(F.col("p_partkey") % 3 == 0, F.array(price + 1, price)).otherwise(F.array(price, price + 1))
+    jobs = t(spark, d, "part").select(
+        F.col("p_partkey").cast("string").alias("job_id"), F.lit("a/b.jpg").alias("photo"), F.lit("s").alias("photo_sha256"), F.lit(None).cast("string").alias("photo_taken_at"), F.array(F.lit(1000), F.lit(500)).alias("photo_size"),
+        F.lit("Shop").alias("store"), F.lit("folder").alias("store_source"), F.lit("shelf 1").alias("band_label"), F.array(*map(F.lit, (0.2, 0.0, 0.6, 1.0))).alias("crop_box"), rail.alias("ocr_prices"),
+    )
+    rows, _ = report.assemble(jobs, _answers(spark, d), "m", "now")
+    return rows.select("job_id", "wine_name", "vintage", "currency", "volume_ml", "price_per_litre", "grape_varieties", "price_check", "ocr_price_check", "bottle_bbox")
+
+
+@query("""SELECT l_returnflag AS folder, count(DISTINCT l_orderkey) AS photos, count(*) AS n_rows FROM lineitem WHERE l_linenumber > 1 GROUP BY 1""")
+def folder_mirror(spark, d):
+    rows = t(spark, d, "lineitem").select(
+        F.concat("l_returnflag", F.lit("/"), F.col("l_orderkey").cast("string")).alias("photo"), F.col("l_extendedprice").alias("price"), F.lit("RON").alias("currency"), F.lit("").alias("needs_review"), F.when(F.col("l_linenumber") == 1, "W1").alias("duplicate_of"))
+    return report.folder_index(rows, rows.select("photo").limit(0)).select("folder", "photos", "n_rows")
+
+
+@query("""SELECT key, arg_max(brand, o) AS brand, arg_max(confidence, o) AS confidence FROM (SELECT o_custkey::VARCHAR AS key, o_orderkey AS o,
+  (ARRAY['A | B', 'C | D', NULL])[1 + o_orderkey % 3] AS brand, CASE WHEN o_orderkey % 3 < 2 THEN 'medium' ELSE 'low' END AS confidence FROM orders) GROUP BY key HAVING max(o) % 3 < 2""")
+def reviewed_verdicts(spark, d):
+    from tagwright.sources.ingest import verdicts
+
+    o = t(spark, d, "orders")
+    picks = o.select(F.lit("f").alias("file"), F.col("o_orderkey").alias("ordinal"), F.col("o_custkey").cast("string").alias("key"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("choice"), F.lit(None).cast("string").alias("confidence"))
+    batches = o.select(F.lit("f").alias("file"), F.col("o_custkey").cast("string").alias("key"), F.array(F.lit("A | B"), F.lit("C | D")).alias("candidates")).distinct()
+    return verdicts(batches, picks).filter("brand IS NOT NULL")
+
+
 # --- tiles and boxes -------------------------------------------------------------------
 
 
