@@ -26,7 +26,7 @@ def catalogue(rows: DataFrame, texts: list[Column], tokens=brand_tokens) -> Data
 def token_idf(index: DataFrame) -> DataFrame:
     """(token, df, idf) with idf = ln(rows / df)."""
     df = index.select(F.explode("key_tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(index.agg(F.count("*").alias("n"))), how="inner").select("token", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
+    return df.select("token", "df", F.log(F.lit(float(index.count())) / F.col("df")).alias("idf"))
 
 
 def postings(index: DataFrame, row_id: str) -> DataFrame:
