@@ -300,3 +300,12 @@ def test_quality_classifier(spark):
     assert {i for i in got if i is not None and got[i]["held_out"]} == held
     none = quality_classifier.classify(both, labels.limit(0)).select("score").distinct().collect()
     assert [r["score"] for r in none] == [0.5]
+
+
+def test_written_tables_can_be_dropped(spark):
+    from tagwright.llm.common import drop_tables, materialize
+
+    kept = materialize(spark.range(3), "three")
+    assert kept.count() == 3
+    drop_tables(spark)
+    assert materialize(spark.range(4), "four").count() == 4
