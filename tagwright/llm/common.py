@@ -37,17 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def _own_tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tagwright/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh shared table and read it back: lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tagwright/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Removes all tables that ``materialize`` has written; for when nothing that reads them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tagwright")
+    """Removes all tables that ``materialize`` has written for this application; for when nothing that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_tables(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -3,7 +3,10 @@
 A document is the weighted set of its five-word shingles (one shingle of all its
 words if it has fewer). A shingle weighs 1 + ln(its count), times the mean IDF of its words:
 
-    idf(word) = 1 + ln((1 + N) / (1 + df)) / ln(1 + N)          in [1, 2]
+    idf(word) = 1 + IDF_SPAN * ln((1 + N) / (1 + df)) / ln(1 + N)
+
+IDF_SPAN is small: edits bring in rarer words than a passage that many copies
+share has, and a wide span would push such copies under the threshold. So IDF,
 
 with df counted over all documents in ``DF_BUCKETS`` buckets of word hashes, so
 the table that travels to the workers has a fixed size. A bucket's df is that
@@ -50,6 +53,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
 DF_BUCKETS = 1 << 18
+IDF_SPAN = 0.1
 #: Buckets of doc_ids, the bound of a broadcast (8 bytes a row).
 ID_BUCKETS = 1 << 20
 #: Share of equal samples below which a pair is not looked at; over 4 standard deviations under 0.8.
@@ -82,7 +86,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     df = np.zeros(DF_BUCKETS + 1, np.int64)
     df[np.array(found["bucket"], np.int64)] = found["df"]  # bucket -1, the last, holds N
     n = df[-1]
-    return (1 + np.log((1 + n) / (1 + df[:-1])) / max(np.log(1.0 + n), 1.0)).clip(1, 2).astype(np.float32)
+    return (1 + IDF_SPAN * (np.log((1 + n) / (1 + df[:-1])) / max(np.log(1.0 + n), 1.0)).clip(0, 1)).astype(np.float32)
 
 
 def _draws(samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
