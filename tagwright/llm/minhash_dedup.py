@@ -6,9 +6,8 @@ words if it has fewer). A shingle weighs 1 + ln(its count), times the mean IDF o
     idf(word) = 1 + IDF_SPAN * ln((1 + N) / (1 + df)) / ln(1 + N)
 
 IDF_SPAN is small: edits bring in rarer words than a passage that many copies
-share has, and a wide span would push such copies under the threshold. So IDF,
-
-with df counted over all documents in ``DF_BUCKETS`` buckets of word hashes, so
+share has, and a wide span would push such copies under the threshold. df is
+counted over all documents in ``DF_BUCKETS`` buckets of word hashes, so
 the table that travels to the workers has a fixed size. A bucket's df is that
 of its words together: frequent words rule theirs, and among rare words the
 logarithm hardly tells them apart, however large the vocabulary.
@@ -28,8 +27,9 @@ logarithm hardly tells them apart, however large the vocabulary.
    bucket is lost, while copies of a template never meet in all pairs.
 
 At 24 bands of 6 rows a pair of similarity 0.8 shares a bucket with probability
-0.9993, one of 0.85 with 0.99999, one of 0.3 with 0.017. Components come from label propagation with pointer jumping over
-written tables; nothing per document reaches the driver.
+0.9993, one of 0.85 with 0.99999, one of 0.3 with 0.017. Components come from
+label propagation with pointer jumping over written tables; nothing per
+document reaches the driver.
 
 Defined cases: documents without words (NULL, empty, white space) and those with
 a NULL doc_id are in no group - their class is their own doc_id; repeated
