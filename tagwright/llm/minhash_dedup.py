@@ -60,6 +60,8 @@ ID_BUCKETS = 1 << 20
 LOOSE = 0.66
 DRAWS = 1 << 13
 SEED = 20240229
+#: Text parsed at once: shingles take some forty bytes for each byte of it.
+PART_BYTES = 1 << 20
 #: Enough samples of sa and sb agree.
 ALIKE = f"size(filter(zip_with(sa, sb, (x, y) -> x = y), z -> z)) >= {LOOSE} * size(sa)"
 _tables: dict = {}
@@ -72,7 +74,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
         df = np.zeros(DF_BUCKETS, np.int64)
         n = 0
         for b in batches:
-            for _, _, buf, offsets in textvec.parts(b.column("text")):
+            for _, _, buf, offsets in textvec.parts(b.column("text"), PART_BYTES):
                 words = textvec.words_of_part(buf, offsets)
                 doc = np.repeat(np.arange(len(words.n_words)), words.n_words)
                 own = np.unique(doc.astype(np.uint64) << np.uint64(18) | words.hash & np.uint64(DF_BUCKETS - 1))
@@ -142,7 +144,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, buf, offsets in textvec.parts(b.column("text")):
+            for lo, hi, buf, offsets in textvec.parts(b.column("text"), PART_BYTES):
                 words = textvec.words_of_part(buf, offsets, double=True)
                 bounds, h, weight = shingles(words, kept.value)
                 full = np.flatnonzero(words.n_words > 0)
@@ -203,7 +205,7 @@ def measure(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float =
                 new = [i for i in first.tolist() if values[codes[i]] not in sets]
                 if new:
                     own = text.take(pa.array(new))
-                    for lo, hi, buf, offsets in textvec.parts(own):
+                    for lo, hi, buf, offsets in textvec.parts(own, PART_BYTES):
                         bounds, h, w = shingles(textvec.words_of_part(buf, offsets), kept.value)
                         for i in range(lo, hi):
                             sets[values[codes[new[i]]]] = h[bounds[i - lo] : bounds[i - lo + 1]], w[bounds[i - lo] : bounds[i - lo + 1]]

@@ -126,7 +126,7 @@ def bytes_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def parts(texts: pa.Array, part_bytes: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with about PART_BYTES of text; NULL is empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     if isinstance(texts, pa.ChunkedArray):
@@ -139,7 +139,7 @@ def parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (part_bytes or PART_BYTES), "right")) - 1)
         yield at, to, buf[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
