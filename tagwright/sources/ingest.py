@@ -49,7 +49,7 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 def pages_for(wanted: DataFrame, found: DataFrame) -> DataFrame:
     """Every wanted (ordinal, path) with its page, or with an error if there is none."""
     joined = wanted.join(found.withColumn("_here", F.lit(True)), "path", "left")
-    return joined.withColumn("error", F.when(F.col("_here").isNull(), "visionocr returned no record").otherwise(F.col("error"))).drop("_here")
+    return joined.withColumn("error", F.when(F.col("_here").isNull(), "the recogniser returned no record").otherwise(F.col("error"))).drop("_here")
 
 
 def lines(page: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def test_pages(spark, tmp_path):
     found = ingest.pages(spark, str(tmp_path / "p.jsonl"))
     wanted = spark.createDataFrame([(0, "b"), (1, "a")], "ordinal int, path string")
     got = {r["path"]: r["error"] for r in ingest.pages_for(wanted, found).collect()}
-    assert got == {"a": None, "b": "visionocr returned no record"}
+    assert got == {"a": None, "b": "the recogniser returned no record"}
     assert tuple(ingest.lines(found).first()) == ("a", 0, "54,59", 1.0, 9, 0.1, 0.2, 0.3, 0.4)
 
 
