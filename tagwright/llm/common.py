@@ -71,16 +71,17 @@ def slim_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def smallest_hashes(df: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` rows of df(doc_id, ...): those whose doc_id has the smallest hash.
+def smallest_hashes(df: DataFrame, most: int, where=None) -> DataFrame:
+    """At most ``most`` rows of df(doc_id, ...): those whose doc_id has the smallest hash, if they meet ``where``.
 
     Rows are first cut to the share that is expected to hold them, so that the
     ordered limit gathers a bounded number of rows whatever the number of tasks.
     """
     df = df.filter("doc_id IS NOT NULL").withColumn("_h", F.xxhash64("doc_id"))
-    n = df.count()
+    n = df.select("doc_id").count()
     share = min(1.0, (most + 8 * most**0.5 + 50) / max(n, 1))
     few = df.filter(F.pmod(F.col("_h"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    few = few if where is None else few.filter(where)
     return few.orderBy(F.pmod(F.col("_h"), F.lit(1 << 30)), "_h", "doc_id").limit(most).drop("_h")
 
 

@@ -198,9 +198,9 @@ def _fold(doc_id):
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, iterations: int = ITERATIONS, name: str = "piece_bpe_32k.model") -> Model:
     """From text and lang of the allowed rows of docs."""
     spark = docs.sparkSession
-    allowed = docs.filter((_fold(docs["doc_id"]) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    allowed = docs.filter((_fold(docs["doc_id"]) != HELD_OUT) & F.col("lang").isNotNull())
     chosen = smallest_hashes(allowed.select("doc_id"), train_docs).distinct()
-    sampled = allowed.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")  # train_docs ids at most
+    sampled = allowed.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")  # train_docs ids at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter

@@ -12,8 +12,8 @@ store Spark can write to will do:
 A short document is read by itself: prune blocks by first_doc/last_doc, take
 two offsets, and decompress one frame with the dictionary whose hash the block
 names. The dictionary is trained on the serialized id arrays of at most
-``SAMPLE_DOCS`` documents (those whose doc_id has the smallest hash, among texts
-of at most ``SAMPLE_CHARS`` characters): a compression aid, which never changes the ids read back.
+``SAMPLE_DOCS`` documents (those whose doc_id has the smallest hash and whose
+text has at most ``SAMPLE_CHARS`` characters): a compression aid, which never changes the ids read back.
 
 Ids are little-endian, 16 bits wide while the vocabulary allows, else 32.
 
@@ -95,7 +95,7 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """Empty where the sample is too small to train on."""
     import zstandard
 
-    sample = smallest_hashes(docs.filter(F.length("text") <= SAMPLE_CHARS), SAMPLE_DOCS).select("text")
+    sample = smallest_hashes(docs, SAMPLE_DOCS, F.length("text") <= SAMPLE_CHARS).select("text")
     enc, width = encoder(path), id_width(path)
     rows = [enc.whole(r["text"]).astype(f"<u{width}").tobytes() for r in sample.collect()]  # SAMPLE_DOCS at most
     rows = [r for r in rows if r]
