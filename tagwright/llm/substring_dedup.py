@@ -19,7 +19,9 @@ document is looked up in every block that could hold it.
 *Factor boundaries.* Where copies begin, end or were edited, segments differ
 though some of their windows agree; such windows share their anchor. Anchors
 with two or more distinct segments are therefore resolved window by window,
-once per distinct segment (at its first document), never per pair of documents.
+once per distinct segment (at its first place), never per pair of documents.
+What was resolved holds at every place of the segment in its first document, so
+it is handed on, by content hash, to the segment's later places there.
 
 The result is exact up to 128-bit hash collisions: a window is duplicated if and only if the
 same SPAN words start in a smaller doc_id. Hot passages are combined before each
@@ -120,8 +122,8 @@ def segments(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
 
 
 def _window_hashes(asked: DataFrame, span: int) -> DataFrame:
-    """(h1, h2, doc_id, text_key, start, w1, w2) for each window of the asked segments; asked holds text and segs."""
-    out = "doc_id long, text_key long, start int, w1 long, w2 long"
+    """(doc_id, text_key, start, base, many, w1, w2) for each window of the asked segments; asked holds text and segs, base and many are the segment's start and whether it stands elsewhere."""
+    out = "doc_id long, text_key long, start int, base int, many boolean, w1 long, w2 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,11 +133,13 @@ def _window_hashes(asked: DataFrame, span: int) -> DataFrame:
                 for i in range(lo, hi):
                     first = words.first[i - lo]
                     at = np.concatenate([np.arange(s["start"], s["start"] + s["n_windows"]) for s in segs[i]])
+                    base = np.concatenate([np.full(s["n_windows"], s["start"]) for s in segs[i]])
+                    many = np.concatenate([np.full(s["n_windows"], s["many"], bool) for s in segs[i]])
                     lows = first + at
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), ids[i])), pa.array(np.full(len(at), keys[i])), pa.array(at.astype(np.int32)),
+                        [pa.array(np.full(len(at), ids[i])), pa.array(np.full(len(at), keys[i])), pa.array(at.astype(np.int32)), pa.array(base.astype(np.int32)), pa.array(many),
                          *(pa.array(textvec.signed(words.range_hash(lows, lows + span, w))) for w in (0, 1))],
-                        names=["doc_id", "text_key", "start", "w1", "w2"],
+                        names=["doc_id", "text_key", "start", "base", "many", "w1", "w2"],
                     )
 
     return asked.mapInArrow(tidy(run), out)
@@ -154,16 +158,10 @@ def spans(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> tuple[DataFram
         seg.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.first("anchor").alias("anchor"), F.first("n_windows").alias("n_windows"), F.count("*").alias("n")),
         "reference",
     )
-    shared = reference.filter("n > 1").select("h1", "h2", F.col("p.doc_id").alias("ref_doc"))
-    whole = (
-        seg.join(shared, ["h1", "h2"])
-        .filter("ref_doc < doc_id")
-        .select("doc_id", "text_key", "start", (F.col("n_windows") + span - 1).alias("n_words"), "ref_doc")
-    )
     mixed = reference.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor")
     asked = (
         reference.join(mixed, "anchor", "left_semi")
-        .select(F.col("p.doc_id").alias("doc_id"), F.col("p.text_key").alias("text_key"), F.struct(F.col("p.start").alias("start"), "n_windows").alias("s"))
+        .select(F.col("p.doc_id").alias("doc_id"), F.col("p.text_key").alias("text_key"), F.struct(F.col("p.start").alias("start"), "n_windows", (F.col("n") > 1).alias("many")).alias("s"))
         .groupBy("doc_id", "text_key").agg(F.collect_list("s").alias("segs"))
     )  # at most the segments of one document in a row
     texts = keyed.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text_key"])
@@ -171,12 +169,29 @@ def spans(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> tuple[DataFram
     first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("ref_doc"), F.max("doc_id").alias("last")).filter("ref_doc < last")
     # written, so that the join below has an exchange on both sides and its hot windows can be split
     first = materialize(first.select("w1", "w2", "ref_doc"), "first-windows")
-    edges = (
-        windows.join(first, ["w1", "w2"])
-        .filter("ref_doc < doc_id")
-        .select("doc_id", "text_key", "start", F.lit(span).alias("n_words"), "ref_doc")
+    edges = materialize(
+        windows.join(first, ["w1", "w2"]).filter("ref_doc < doc_id").select("doc_id", "text_key", "start", "base", "many", "ref_doc"),
+        "edges",
+    )
+    # what was found at the first place of a segment, at most the windows of one segment in a row
+    resolved = edges.filter("many").groupBy("doc_id", "text_key", "base").agg(F.collect_list(F.struct((F.col("start") - F.col("base")).alias("at"), "ref_doc")).alias("inside"))
+    shared = reference.filter("n > 1").select("h1", "h2", F.col("p.doc_id").alias("first_doc"), F.col("p.text_key").alias("first_key"), F.col("p.start").alias("first_start"))
+    known = shared.join(
+        resolved.select(F.col("doc_id").alias("first_doc"), F.col("text_key").alias("first_key"), F.col("base").alias("first_start"), "inside"),
+        ["first_doc", "first_key", "first_start"],
+        "left",
+    )
+    # a place in a larger document is covered as it is, a later one in the first document like the first place
+    whole = F.array(F.struct(F.col("start"), (F.col("n_windows") + span - 1).alias("n_words"), F.col("first_doc").alias("ref_doc")))
+    again = F.transform("inside", lambda w: F.struct((F.col("start") + w["at"]).alias("start"), F.lit(span).alias("n_words"), w["ref_doc"].alias("ref_doc")))
+    later = (F.col("first_key") != F.col("text_key")) | (F.col("first_start") != F.col("start"))
+    places = (
+        seg.join(known, ["h1", "h2"])
+        .filter((F.col("first_doc") < F.col("doc_id")) | ((F.col("first_doc") == F.col("doc_id")) & later & F.col("inside").isNotNull()))
+        .select("doc_id", "text_key", F.explode(F.when(F.col("first_doc") < F.col("doc_id"), whole).otherwise(again)).alias("f"))
+        .select("doc_id", "text_key", "f.start", "f.n_words", "f.ref_doc")
     )
-    return keyed, whole.unionByName(edges)
+    return keyed, places.unionByName(edges.select("doc_id", "text_key", "start", F.lit(span).alias("n_words"), "ref_doc"))
 
 
 def kept_words(text: str | None, cover: list[tuple[int, int]]) -> tuple[int, int, bytes]:

@@ -114,6 +114,26 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup.remove(docs(spark, [])).count() == 0
 
 
+def test_substring_dedup_repeats_inside_a_document(spark):
+    rng = random.Random(14)
+    line, passage, other = words(rng, 20), words(rng, 55), words(rng, 90)
+    rows = [(1, line * 3), (2, line * 50), (3, words(rng, 9) + passage + words(rng, 9)), (4, sum((passage + words(rng, 3) for _ in range(6)), []))]
+    rows += [(5, other), (6, (words(rng, 60) + other[10:] + line * 2) * 3), (7, line * 4 + other[5:85] + line * 9)]
+    rows = [(d, " ".join(ws)) for d, ws in rows]
+    want = substring_dedup.brute_force(rows)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["s"]) for r in substring_dedup.remove(docs(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("s")).collect()}
+    assert got == want and want[2][:2] == (1000, 1000) and want[4][1] == 330
+
+
+def test_substring_dedup_rows_of_one_doc_id(spark):
+    rng = random.Random(15)
+    passage, tail = words(rng, 70), words(rng, 60)
+    held = " ".join(words(rng, 9) + passage + words(rng, 9))
+    rows = [(1, held), (2, " ".join(passage + tail)), (2, " ".join(words(rng, 5) + passage + tail)), (2, " ".join(tail + passage + tail))]
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove(docs(spark, rows)).collect())
+    assert got == {(1, 88, 0): 1, (2, 130, 70): 1, (2, 135, 70): 1, (2, 190, 70): 1}
+
+
 def items(spark, texts):
     return spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "item_id long, text string, len int")
 
