@@ -1,14 +1,16 @@
 """Operator 10 - benchmark decontamination by SimHash windows and multi-index Hamming blocks.
 
 An item is laid over a text wherever the two share a shingle; the document leaks
-it if one of these windows, as many words long as the item, has a weighted
+it if one of these windows, as many words long as the item or the whole of a shorter text, has a weighted
 shingle similarity of ``THRESHOLD`` or more with it. Shingles are five
 lower-cased words; a shingle weighs its count times its characters; similarity
 is the weighted Jaccard of the two shingle bags.
 
 1. *Windows.* Window and item must share a shingle to be similar at all, so the
    windows worth a fingerprint are those aligned by a shared shingle: at place p
-   in the text and q in an item of length L, the window starts at p - q.
+   in the text and q in an item of length L, the window starts at p - q. A window
+   that would reach over an edge of the text is moved to that edge; a text shorter
+   than the item is laid whole.
 2. *Fingerprints.* The 64-bit SimHash of a window's weighted shingles, summed
    bit by bit in one aggregation.
 3. *Multi-index.* Fingerprints are cut into RADIUS + 1 blocks; two within the
@@ -111,9 +113,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
     )
     starts = (
         spread.join(places, "h")
-        .select("doc_id", "tk", (F.col("p") - F.col("q")).alias("start"), "len", "n")
-        .filter("start >= 0 AND start + len <= n")
-        .select("doc_id", "tk", "start", "len")
+        .select("doc_id", "tk", F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("len"))).alias("start"), "len")
         .distinct()
     )
     found = materialize(starts.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "len")).alias("at")), "leak-windows")
@@ -136,7 +136,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
         .filter((F.col("similarity") >= threshold) & (F.col("_part") >= 0))  # not pushed down into the lambdas
         .select("len", "ws", "item_id", "similarity")
     )
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.col("len").alias("n_words"))).alias("m")
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.size("ws").alias("n_words"))).alias("m")
     return (
         windows.join(verified, ["len", "ws"])
         .groupBy("doc_id", "item_id").agg(best)

@@ -178,6 +178,19 @@ def test_decontamination_edges(spark):
     assert decontaminate.leaks(docs(spark, rows), items(spark, [])).count() == 0
 
 
+def test_decontamination_at_the_edges_of_a_text(spark):
+    rng = random.Random(18)
+    item, rest = words(rng, 39), words(rng, 50)
+    cut = [rest + item[:-1], rest + item[:-2], item[1:] + rest, item[2:] + rest, item[:-1], item[1:-1], rest + item[:20], item[:8]]
+    got = {r["doc_id"]: (r["start_word"], r["n_words"], round(r["similarity"], 9)) for r in decontaminate.leaks(docs(spark, [(i, " ".join(ws)) for i, ws in enumerate(cut)]), items(spark, [" ".join(item)])).collect()}
+    want = {}
+    for i, ws in enumerate(cut):  # every window as long as the item, the first of the best
+        best, back = max((similarity(ws[s : s + 39], item), -s) for s in range(max(len(ws) - 39, 0) + 1))
+        if best >= 0.8:
+            want[i] = (-back, min(39, len(ws)), round(best, 9))
+    assert got == want and set(want) == {0, 1, 2, 3, 4, 5}
+
+
 def test_blocks_find_all_within_the_radius(spark):
     rng = random.Random(19)
     prints = [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
