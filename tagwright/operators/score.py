@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tagwright.functions.names import fold_truth
 
 PRICE_WINDOW, VOLUME_WINDOW = 0.005, 1.0
+RUNS = 256  # runs of prices that one Python call assigns; they share no candidates
 
 
 def candidates(truth: DataFrame, rows: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def verify(truth: DataFrame, rows: DataFrame, group: str | None = None) -> DataF
         prices = truth.select("price").distinct()
         apart = F.coalesce(F.col("price") - F.lag("price").over(Window.orderBy("price")) > 2 * PRICE_WINDOW + 1e-9, F.lit(True))
         runs = prices.withColumn("_new", apart.cast("int")).withColumn("_g", F.sum("_new").over(Window.orderBy("price")))
-        t = truth.join(runs.select("price", "_g"), "price").select("truth_no", "_g")
+        t = truth.join(runs.select("price", F.floor(F.col("_g") / RUNS).alias("_g")), "price").select("truth_no", "_g")
     else:
         t = truth.select("truth_no", F.col(group).alias("_g"))
     matched = pairs.join(t, "truth_no").groupBy("_g").applyInPandas(lambda p: _assign(p), "truth_no long, row_no long, name_ok boolean, volume_ok boolean")

@@ -343,10 +343,9 @@ def coverage_gaps(spark, d):
   one AS (SELECT * FROM t QUALIFY count(*) OVER (PARTITION BY price) = 1)
   SELECT count(*)::BIGINT AS truths, count(*)::BIGINT AS found, count(*)::BIGINT AS name_checked, count(CASE WHEN truth_no % 20 = 0 THEN 1 END) AS name_correct, count(CASE WHEN truth_no % 30 = 0 THEN 1 END) AS volume_correct FROM one""")
 def verify_greedy(spark, d):
-    t0 = t(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("truth_no"), F.round("o_totalprice", 2).alias("price"))
-    one = t0.withColumn("_n", F.count("*").over(Window.partitionBy("price"))).filter("_n = 1").drop("_n")
-    truth = one.withColumn("name_contains", F.lit("Castel ")).withColumn("volume_ml", F.lit(750.0))
-    rows = one.select((F.col("truth_no") + 1).alias("row_no"), "price", F.when(F.col("truth_no") % 30 == 0, 750.4).otherwise(1500.0).alias("volume_ml"), F.when(F.col("truth_no") % 20 == 0, "CAȘTEL HUNIADE castel ").otherwise("x").alias("text"))
+    every = t(spark, d, "orders").select(F.col("o_orderkey").alias("truth_no"), F.round("o_totalprice", 2).alias("price"))
+    truth = every.withColumn("name_contains", F.lit("Castel ")).withColumn("volume_ml", F.lit(750.0))
+    rows = every.select((F.col("truth_no") + 1).alias("row_no"), "price", F.when(F.col("truth_no") % 30 == 0, 750.4).otherwise(1500.0).alias("volume_ml"), F.when(F.col("truth_no") % 20 == 0, "CAȘTEL HUNIADE castel ").otherwise("x").alias("text"))
     return score.report(score.verify(truth, rows))
 
 

@@ -2,10 +2,15 @@ from pyspark.sql import functions as F
 
 from tagwright.functions.names import brand_tokens
 from tagwright.operators import brands, dedupe, referee, report, score, shelves
+from tagwright.plans import catalog
 
 C = F.col
 
 
+def _table(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+
+
 def test_referee(values):
     rail = [58.99, 54.59, 54.7]
     rows = [(None, rail, 1), (54.59, [], 1), (54.59, rail, 2), (54.59, rail, 1), (60.0, rail, 1), (54.7, rail, None), (60.0, rail, 9)]
@@ -120,3 +125,16 @@ def test_chunks(spark):
     items = spark.createDataFrame([("g", i, 40) for i in range(7)], "g string, i int, b int")
     got = {r["i"]: r["chunk"] for r in report.chunks(items, "g", "i", "b", 3, 100).collect()}
     assert [got[i] for i in range(7)] == [0, 0, 1, 1, 2, 2, 3]
+
+
+def test_verify_greedy_takes_all_orders(spark, tmp_path):
+    prices = [10.0, 10.0, 10.0, 20.0, 30.0, 30.0, 40.0]
+    orders = [(k, prices[k % 7]) for k in range(1, 121)]
+    _table(spark, tmp_path, "orders", orders, "o_orderkey long, o_totalprice double")
+    used, outcomes = set(), []
+    for k, price in orders:
+        free = sorted((o % 20 != 0, o) for o, p in orders if p == price and o not in used)
+        used.add(free[0][1])
+        outcomes.append(free[0][1])
+    want = (len(orders), len(outcomes), len(outcomes), sum(o % 20 == 0 for o in outcomes), sum(o % 30 == 0 for o in outcomes))
+    assert tuple(catalog.verify_greedy(spark, str(tmp_path)).first()) == want and want[0] == 120
