@@ -67,14 +67,18 @@ def match_cascade(names: DataFrame, key: str, attempts: list[list[Column]], post
 
 
 def candidates(names: DataFrame, key: str, tokens: str, post: DataFrame, brand: list[str], details: DataFrame, limit: int = TOP) -> DataFrame:
-    """The best ``limit`` distinct brands per name: exact tokens count whole, words they are a prefix of PREFIX_WEIGHT."""
+    """The best ``limit`` distinct brands per name: exact tokens count whole, words they are a prefix of PREFIX_WEIGHT.
+
+    shared holds the SHOWN rarest tokens that the name has itself, without those grown from a prefix.
+    """
     own = names.select(key, F.explode(F.array_distinct(tokens)).alias("word")).filter(F.length("word") >= ANCHOR_LENGTH)
     known = post.select("token").distinct()
     heads = known.select("token", F.explode(F.expr(f"transform(sequence({PREFIX_SHORT}, greatest(least(length(token), {PREFIX_LONG}), {PREFIX_SHORT})), n -> substring(token, 1, n))")).alias("head")).filter(F.length("token") >= PREFIX_SHORT)
     asked = own.filter(F.length("word") >= PREFIX_SHORT).withColumn("head", F.col("word").substr(1, PREFIX_LONG))
     grown = asked.join(heads, "head").filter(F.col("token").startswith(F.col("word")) & (F.col("token") != F.col("word"))).select(key, "token", F.lit(PREFIX_WEIGHT).alias("w"))
     both = own.select(key, F.col("word").alias("token"), F.lit(1.0).alias("w")).unionByName(grown).groupBy(key, "token").agg(F.max("w").alias("w"))
-    scored = both.join(post, "token").groupBy(key, "row").agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
+    exact = F.collect_list(F.when(F.col("w") == 1.0, F.struct((-F.col("idf")).alias("common"), "token")))
+    scored = both.join(post, "token").groupBy(key, "row").agg(F.sum(F.col("idf") * F.col("w")).alias("score"), F.slice(F.array_sort(exact), 1, SHOWN)["token"].alias("shared"))
     named = scored.join(details, "row")
     once = Window.partitionBy(key, *brand).orderBy(F.col("score").desc(), "row")
     ranked = Window.partitionBy(key).orderBy(F.col("score").desc(), "row")

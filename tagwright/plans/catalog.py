@@ -290,13 +290,12 @@ def brand_match(spark, d):
   g AS (SELECT doc_id, token, max(w) AS w FROM e GROUP BY ALL), s AS (SELECT doc_id, row, sum(idf * w) AS score FROM g JOIN p USING (token) JOIN i USING (token) GROUP BY ALL),
   r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, row) AS place FROM s) SELECT doc_id, row, round(score, 6) AS score, place FROM r WHERE place <= 3""")
 def brand_candidates(spark, d):
-    words = F.transform(F.filter(F.regexp_extract_all(F.substring("text", 1, 200), F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.length(w) >= 5), lambda w: F.upper(F.substring(w, 1, 5)))
-    named = t(spark, d, "documents").select("doc_id", words.alias("tokens"))
+    named = t(spark, d, "documents").select("doc_id", _words(F.col("text")).alias("tokens"))
     index = _index(spark, d)
     post = brands.postings(index, "row").withColumn("idf", F.col("idf"))
     got = brands.candidates(named, "doc_id", "tokens", post, ["row"], index.select("row"), 40)
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "row"))
-    return got.select("doc_id", "row", F.round("score", 6).alias("score")).withColumn("place", place).filter("place <= 3")
+    return got.select("doc_id", "row", F.round("score", 6).alias("score"), "shared").withColumn("place", place).filter("place <= 3")
 
 
 # --- joins --------------------------------------------------------------------------

@@ -1,3 +1,5 @@
+import math
+
 from pyspark.sql import functions as F
 
 from tagwright.functions.names import brand_tokens
@@ -138,3 +140,22 @@ def test_verify_greedy_takes_all_orders(spark, tmp_path):
         outcomes.append(free[0][1])
     want = (len(orders), len(outcomes), len(outcomes), sum(o % 20 == 0 for o in outcomes), sum(o % 30 == 0 for o in outcomes))
     assert tuple(catalog.verify_greedy(spark, str(tmp_path)).first()) == want and want[0] == 120
+
+
+def test_brand_candidates_read_whole_texts(spark, tmp_path):
+    bench = ["castel huniade merlot rosu sec", "vulturul negru merlot", "cotnari grasa dulce", "eticheta galbena cotnari"]
+    texts = ["filler " * 60 + "huniade", "word cot " * 30 + "merlot castel huniade rosu sec", "grasa cotn", None, "nothing here"]
+    _table(spark, tmp_path, "benchmark", list(enumerate(bench)), "item_id long, text string")
+    _table(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    split = lambda text: {w.upper() for w in (text or "").split() if len(w) >= 3} - {"RED"}
+    keys = [split(b) for b in bench]
+    idf = {w: math.log(len(keys) / sum(w in k for k in keys)) for k in keys for w in k}
+    want = {}
+    for i, text in enumerate(texts):
+        own = split(text)
+        weight = {w: 1.0 if w in own else 0.6 for w in idf if w in own or any(len(o) >= 4 and w.startswith(o) for o in own)}
+        found = sorted((-round(sum(idf[w] * weight[w] for w in k if w in weight), 6), j) for j, k in enumerate(keys) if k & set(weight))
+        for place, (score_, j) in enumerate(found[:3], 1):
+            want[i, place] = (j, -score_, sorted(own & keys[j], key=lambda w: (-idf[w], w))[:4])
+    got = {(r["doc_id"], r["place"]): (r["row"], r["score"], r["shared"]) for r in catalog.brand_candidates(spark, str(tmp_path)).collect()}
+    assert got == want and {i for i, _ in want} == {0, 1, 2} and len(want[1, 1][2]) == 4
