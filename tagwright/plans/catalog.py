@@ -216,7 +216,7 @@ def dropped_digit(spark, d):
   SELECT doc_id, key, CASE WHEN place = 1 THEN 'W' || lpad(n::VARCHAR, 5, '0') ELSE 'W' || lpad(n::VARCHAR, 5, '0') || 'd' || (place - 1) END AS row_id,
   CASE WHEN place > 1 THEN 'W' || lpad(n::VARCHAR, 5, '0') END AS duplicate_of, CASE WHEN place = 1 AND len(prices) > 1 THEN array_to_string(prices, ',') END AS conflict FROM r""")
 def dedupe_documents(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", "n_chars", names.dedupe_key(F.col("source"), F.substring("text", 1, 20), F.lit(None).cast("string"), F.lit(None).cast("double")).alias("key"))
+    docs = t(spark, d, "documents").select("doc_id", "n_chars", names.dedupe_key(F.col("source"), F.col("text"), F.lit(None).cast("string"), F.lit(None).cast("double")).alias("key"))
     out = dedupe.deduplicate(docs, F.col("key"), [F.col("n_chars").desc()], F.col("doc_id"), "n_chars")
     return out.select("doc_id", "key", "row_id", "duplicate_of", F.array_join(F.transform("price_conflict", lambda x: x.cast("string")), ",").alias("conflict"))
 

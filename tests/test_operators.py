@@ -159,3 +159,11 @@ def test_brand_candidates_read_whole_texts(spark, tmp_path):
             want[i, place] = (j, -score_, sorted(own & keys[j], key=lambda w: (-idf[w], w))[:4])
     got = {(r["doc_id"], r["place"]): (r["row"], r["score"], r["shared"]) for r in catalog.brand_candidates(spark, str(tmp_path)).collect()}
     assert got == want and {i for i, _ in want} == {0, 1, 2} and len(want[1, 1][2]) == 4
+
+
+def test_dedupe_documents_reads_whole_texts(spark, tmp_path):
+    opening = "Licensed under the terms below. "
+    texts = [opening + "One.", opening + "Two.", opening.upper() + "one", opening + "x " * 300 + "end", opening + "x " * 300 + "END!", opening + "x " * 301]
+    _table(spark, tmp_path, "documents", [(i, t, "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long")
+    got = catalog.dedupe_documents(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got if r["duplicate_of"]} == {2, 3} and len({r["key"] for r in got}) == 4
