@@ -167,3 +167,9 @@ def test_dedupe_documents_reads_whole_texts(spark, tmp_path):
     _table(spark, tmp_path, "documents", [(i, t, "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long")
     got = catalog.dedupe_documents(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in got if r["duplicate_of"]} == {2, 3} and len({r["key"] for r in got}) == 4
+
+
+def test_shelf_bands_pages_hold_all_orders(spark, tmp_path):
+    _table(spark, tmp_path, "orders", [(k, 7, 100.0 + k) for k in range(63)] + [(100 + k, 8, 50.0 + k) for k in range(9)], "o_orderkey long, o_custkey long, o_totalprice double")
+    got = [(r["photo"], r["n_slots"]) for r in catalog.shelf_bands(spark, str(tmp_path)).collect() if r["rail"] is not None]
+    assert sorted(got) == sorted([("7", 9)] * 3 + [("7-1", 9)] * 3 + [("7-2", 9)] + [("8", 9)])
