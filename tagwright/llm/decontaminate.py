@@ -96,8 +96,8 @@ def _similarity(a: str, b: str) -> Column:
     return F.expr(f"CASE WHEN {a} = {b} THEN 1.0D ELSE cast({fold('least')} AS DOUBLE) / {fold('greatest')} END")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, start_word, n_words, similarity: per document and item the best window, the first of equals."""
+def _leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+    """doc_id, tk (hash of the text), item_id, start, ws, similarity of every window that leaks an item."""
     items = (
         benchmark.select("item_id", words_of(F.lower("text")).alias("iw"))
         .filter(F.size("iw") >= SHINGLE)
@@ -121,7 +121,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
     windows = (
         hit.select("doc_id", "tk", words_of(F.lower("text")).alias("_w"), "at")
         .select("doc_id", "tk", F.explode(F.expr("transform(at, a -> named_struct('start', a.start, 'len', a.len, 'ws', slice(_w, a.start + 1, a.len)))")).alias("a"))
-        .select("doc_id", F.col("a.start").alias("start"), F.col("a.len").alias("len"), F.col("a.ws").alias("ws"))
+        .select("doc_id", "tk", F.col("a.start").alias("start"), F.col("a.len").alias("len"), F.col("a.ws").alias("ws"))
     )
     # equal windows of different documents are fingerprinted and verified once
     texts = windows.select("len", "ws").distinct().withColumn("wk", F.xxhash64("ws"))
@@ -136,18 +136,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
         .filter((F.col("similarity") >= threshold) & (F.col("_part") >= 0))  # not pushed down into the lambdas
         .select("len", "ws", "item_id", "similarity")
     )
+    return windows.join(verified, ["len", "ws"]).select("doc_id", "tk", "item_id", "start", "ws", "similarity")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+    """doc_id, item_id, start_word, n_words, similarity: per document and item the best window, the first of equals."""
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.size("ws").alias("n_words"))).alias("m")
     return (
-        windows.join(verified, ["len", "ws"])
+        _leaking(docs, benchmark, threshold, radius)
         .groupBy("doc_id", "item_id").agg(best)
         .select("doc_id", "item_id", (-F.col("m.back")).alias("start_word"), F.col("m.n_words").alias("n_words"), F.col("m.similarity").alias("similarity"))
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The documents that leak no item; rows without a doc_id are judged by their text as well."""
-    bad = leaks(docs, benchmark, **settings).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that leak no item; rows are judged by doc_id and text, those without a doc_id as well."""
+    bad = _leaking(docs, benchmark, **settings).select(F.col("doc_id").alias("_bad"), F.col("tk").alias("_bad_text")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_bad_text")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

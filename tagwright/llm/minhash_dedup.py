@@ -322,7 +322,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
 
 def representatives(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one row of each group: that of the least doc_id. Rows without a doc_id stay."""
+    """``docs`` with one row of each group: that of the least doc_id. Rows without a doc_id stay.
+
+    Different texts of one doc_id are documents of their own, which all the steps see under numbers in the order of doc_ids.
+    """
+    pair = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_tk"))
+    if not pair.groupBy("doc_id").agg(F.min("_tk").alias("a"), F.max("_tk").alias("b")).filter("a < b").isEmpty():
+        # the number of a row rises with the sorted partition and the place in it
+        numbers = materialize(pair.distinct().orderBy("doc_id", "_tk").withColumn("_node", F.monotonically_increasing_id()), "numbers")
+        rows = docs.withColumn("_tk", F.xxhash64("text")).join(numbers, ["doc_id", "_tk"])
+        rows = materialize(rows.select(F.col("_node").alias("doc_id"), F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), "text"), "numbered")
+        return representatives(rows, **settings).select("_row.*").unionByName(docs.filter("doc_id IS NULL"))
     groups = near_duplicates(docs, **settings)
     kept = groups.filter("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
     out = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")

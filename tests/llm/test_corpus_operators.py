@@ -191,6 +191,21 @@ def test_decontamination_at_the_edges_of_a_text(spark):
     assert got == want and set(want) == {0, 1, 2, 3, 4, 5}
 
 
+def test_clean_rows_of_shared_doc_ids_stay(spark):
+    item = " ".join(f"item{i}" for i in range(20))
+    rows = [(None, item), (None, "clean without an id"), (None, None), (1, item), (1, "clean under a repeated id"), (2, "clean")]
+    kept = decontaminate.clean(docs(spark, rows), items(spark, [item]))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter(r for r in rows if r[1] != item)
+
+
+def test_representatives_keep_texts_that_share_a_doc_id(spark):
+    rng = random.Random(21)
+    a, b, c, e = (" ".join(words(rng, 60)) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (5, c), (5, c), (9, c), (9, e), (None, a)]
+    kept = minhash_dedup.representatives(docs(spark, rows))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter([(1, a), (5, b), (5, c), (9, e), (None, a)])
+
+
 def test_blocks_find_all_within_the_radius(spark):
     rng = random.Random(19)
     prints = [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
