@@ -3,6 +3,7 @@
 import collections
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -134,6 +135,50 @@ def test_substring_dedup_rows_of_one_doc_id(spark):
     assert got == {(1, 88, 0): 1, (2, 130, 70): 1, (2, 135, 70): 1, (2, 190, 70): 1}
 
 
+def test_substring_factors(spark):
+    """Left to right, copied from a smaller document, as long as the reference allows, and followed back over the boundary."""
+    rng = random.Random(16)
+    first, second, third = words(rng, 120), words(rng, 90), words(rng, 200)
+    texts = {1: words(rng, 7) + first + words(rng, 5), 2: words(rng, 4) + second, 3: third}
+    # a copy that goes over from one reference into another, words of its own, and a copy out of the middle
+    texts[4] = first[30:] + second[:60] + ["own"] * 3 + third[50:130]
+    texts[5] = first[:60] + first[40:100]  # the second factor starts inside its match
+    texts[6] = words(rng, 300)
+    rows = [(d, " ".join(ws)) for d, ws in texts.items()]
+    found = sorted(tuple(r) for r in substring_dedup.factors(docs(spark, rows)).collect())
+    assert {r[0] for r in found} == {4, 5}
+    at = {}
+    for d, start, n, back, ref, ref_start in found:
+        assert ref < d and start >= at.get(d, 0) and n + back >= 50
+        ws, there = texts[d], texts[ref]
+        assert ws[start - back : start + n] == there[ref_start - back : ref_start + n]
+        end, ref_end = start + n, ref_start + n  # the longest match: the next words differ
+        assert end == len(ws) or ref_end == len(there) or ws[end] != there[ref_end]
+        at[d] = end
+    assert [(r[1], r[2], r[4]) for r in found if r[0] == 4] == [(0, 90, 1), (90, 60, 2), (153, 80, 3)]
+    want = substring_dedup.brute_force(rows)
+    assert sum(n for d, _, n, *_ in found if d == 4) == want[4][1]
+
+
+def test_substring_parse_helpers():
+    one = substring_dedup.join_matches(*(np.array(x) for x in ([0, 0, 0, 1], [10, 0, 40, 0], [60, 50, 90, 50], [3, 3, 4, 3], [110, 100, 0, 7])))
+    assert [x.tolist() for x in one] == [[0, 0, 1], [0, 40, 0], [60, 90, 50], [3, 4, 3], [100, 0, 7]]
+    assert substring_dedup.greedy([0, 5, 8, 80], [50, 60, 58, 130]) == [(0, 50, 0), (50, 60, 1), (80, 130, 3)]
+    assert substring_dedup.greedy([], []) == []
+    values = np.random.default_rng(1).integers(0, 9, 300).astype(np.uint64)
+    at = substring_dedup._sliding_argmin(values, 39)
+    assert at.tolist() == [i + int(np.argmin(values[i : i + 39])) for i in range(300 - 38)]
+
+
+def test_substring_dedup_very_long_text(spark):
+    rng = random.Random(18)
+    long = words(rng, 150_000, 10**6)
+    rows = [(1, " ".join(long)), (2, " ".join(long[70_000:70_080])), (3, " ".join(["new"] + long[:149_000]))]
+    want = substring_dedup.brute_force(rows)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["s"]) for r in substring_dedup.remove(docs(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("s")).collect()}
+    assert got == want and want[3][1] == 149_000
+
+
 def items(spark, texts):
     return spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "item_id long, text string, len int")
 
