@@ -3,18 +3,17 @@
 A document is the weighted set of its five-word shingles (one shingle of all its
 words if it has fewer). A shingle weighs 1 + ln(its count), times the mean IDF of its words:
 
-    idf(word) = 1 + IDF_SPAN * ln((1 + N) / (1 + df)) / ln(1 + N)
+    idf(word) = 1 + ln((1 + N) / (1 + df)) / ln(1 + N)
 
-IDF_SPAN is small: edits bring in rarer words than a passage that many copies
-share has, and a wide span would push such copies under the threshold. df is
+the usual smoothed IDF, scaled to [1, 2] so that it does not depend on the size of the corpus. df is
 counted over all documents in ``DF_BUCKETS`` buckets of word hashes, so
 the table that travels to the workers has a fixed size. A bucket's df is that
 of its words together: frequent words rule theirs, and among rare words the
 logarithm hardly tells them apart, however large the vocabulary.
 
 1. *Signatures*: ``BANDS * ROWS`` weighted samples per document. A shingle's
-   random draws come from row (hash mod ``DRAWS``) of a table made from the
-   seed; a sample is the least ln a, whose bits identify shingle row and level.
+   random draws belong to its own hash: r, beta and c come from three rows, picked by 39 bits of the hash, of tables
+   made from the seed. A sample is the least ln a, whose bits identify shingle and level.
 2. *Exact classes*: documents with the same words (128-bit hash) form one class,
    represented by its least doc_id; only representatives go on.
 3. *Star*: in each band bucket every member is paired with its centre. A pair
@@ -24,7 +23,9 @@ logarithm hardly tells them apart, however large the vocabulary.
    Jaccard similarity of the whole texts, and connected components are formed.
 4. *Rest*: members of one bucket that are still in different components are
    paired as well and verified, so no link between different texts that share a
-   bucket is lost, while copies of a template never meet in all pairs.
+   bucket is lost. Only the members outside a bucket's largest component look for partners, and bounds that
+   each member can be held against by itself go before the join, so that
+   copies of a template are never paired with each other, whatever stray text shares their bucket.
 
 At 24 bands of 6 rows a pair of similarity 0.8 shares a bucket with probability
 0.9993, one of 0.85 with 0.99999, one of 0.3 with 0.017. Components come from
@@ -53,7 +54,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
 DF_BUCKETS = 1 << 18
-IDF_SPAN = 0.1
 #: Buckets of doc_ids, the bound of a broadcast (8 bytes a row).
 ID_BUCKETS = 1 << 20
 #: Share of equal samples below which a pair is not looked at; over 4 standard deviations under 0.8.
@@ -64,6 +64,8 @@ SEED = 20240229
 PART_BYTES = 1 << 20
 #: Enough samples of sa and sb agree.
 ALIKE = f"size(filter(zip_with(sa, sb, (x, y) -> x = y), z -> z)) >= {LOOSE} * size(sa)"
+#: Parts that the rows of one label are dealt out to.
+SALTS = 32
 _tables: dict = {}
 
 
@@ -88,16 +90,16 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     df = np.zeros(DF_BUCKETS + 1, np.int64)
     df[np.array(found["bucket"], np.int64)] = found["df"]  # bucket -1, the last, holds N
     n = df[-1]
-    return (1 + IDF_SPAN * (np.log((1 + n) / (1 + df[:-1])) / max(np.log(1.0 + n), 1.0)).clip(0, 1)).astype(np.float32)
+    return (1 + (np.log((1 + n) / (1 + df[:-1])) / max(np.log(1.0 + n), 1.0)).clip(0, 1)).astype(np.float32)
 
 
 def _draws(samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, beta and ln c - r of improved consistent weighted sampling, one row per draw."""
+    """Tables of r, beta and ln c for improved consistent weighted sampling; a shingle has a row of its own in each."""
     if samples not in _tables:
         rng = np.random.default_rng(SEED)
         r = rng.gamma(2, 1, (DRAWS, samples)).astype(np.float32)
         c = np.log(rng.gamma(2, 1, (DRAWS, samples))).astype(np.float32)
-        _tables[samples] = r, rng.random((DRAWS, samples), np.float32), c - r
+        _tables[samples] = r, rng.random((DRAWS, samples), np.float32), c
     return _tables[samples]
 
 
@@ -122,19 +124,19 @@ def shingles(words: textvec.Words, idf: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def sample(h: np.ndarray, weight: np.ndarray, samples: int) -> np.ndarray:
     """The ln a of every sample, as bits."""
-    r, beta, base = _draws(samples)
+    r, beta, c = _draws(samples)
     best = np.full(samples, np.inf, np.float32)
-    row = (h >> np.uint64(20) & np.uint64(DRAWS - 1)).astype(np.int64)
+    row_r, row_beta, row_c = ((h >> np.uint64(k) & np.uint64(DRAWS - 1)).astype(np.int64) for k in (20, 33, 46))
     ln = np.log(weight).astype(np.float32)[:, None]
     for i in range(0, len(h), 512):  # stays in the cache of a core
-        at = row[i : i + 512]
-        ri, bi = r[at], beta[at]
+        ri, bi = r[row_r[i : i + 512]], beta[row_beta[i : i + 512]]
         t = ln[i : i + 512] / ri
         t += bi
         np.floor(t, out=t)
         t -= bi
+        t += 1
         t *= ri
-        np.minimum(best, (base[at] - t).min(axis=0), out=best)
+        np.minimum(best, (c[row_c[i : i + 512]] - t).min(axis=0), out=best)
     return best.view(np.uint32)
 
 
@@ -220,8 +222,9 @@ def measure(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float =
             columns = [b.column("a"), b.column("b"), pa.array(similar), pa.array(inner), pa.array(excess, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([c.take(good) for c in columns], names=["a", "b", "similarity", "inner", "excess"])
 
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    # a second: the pairs of one centre lie together, and its text is parsed once for many of them
+    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long, similarity double, inner double, excess array<long>")
 
 
@@ -234,49 +237,75 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
     """(node, label): the least node of each connected component of edges (a, b)."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), name)
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        better = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", "near").alias("next"))
-        # pointer jumping: the label's own label
-        jump = better.select(F.col("node").alias("j"), F.col("next").alias("far"))
-        moved = materialize(
-            better.join(jump, F.col("next") == F.col("j"), "left").select("node", F.least("next", "far").alias("label"), F.col("label").alias("was")), name
-        )
+        better = materialize(labels.join(near, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", "near").alias("next")), f"{name}-next")
+        # pointer jumping: the label's own label, asked for once per label; a giant component shares one, so its rows are salted
+        asked = better.select("next").distinct()
+        own = better.select(F.col("node").alias("j"), F.col("next").alias("far")).filter("far < j")
+        jump = asked.join(own, F.col("next") == F.col("j")).select("next", "far", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        moved = better.select("node", "label", "next", salt("node")).join(jump, ["next", "salt"], "left")
+        moved = materialize(moved.select("node", F.least("next", "far").alias("label"), F.col("label").alias("was")), name)
         labels = moved.select("node", "label")
         if moved.filter("label <> was").isEmpty():
             return labels
 
 
-def _rest(buckets: DataFrame, spokes: DataFrame, labels: DataFrame, nodes: DataFrame, near, threshold: float) -> DataFrame:
+def _rest(buckets: DataFrame, spokes: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of one bucket in different components that can still be similar.
 
-    Copies of one template are all near its centre c and differ from it by edits
-    of their own. What two of them share is what they share within c, at most
-    the lesser of their weights shared with c, and what they share beyond c. A
-    pair without common excess shingles is therefore dropped when that lesser
-    weight is below threshold / (1 + threshold) of both weights - which is exact,
-    and spares a large group of copies from meeting in all pairs. Pairs with a
+    A pair has a member outside the largest component of its bucket, and only such members look for partners.
+
+    Copies of one template are all near its centre and differ from it by edits
+    of their own. What two of them share is what they share within the centre, at most
+    the lesser of their weights shared with it, and what they share beyond it. A
+    pair without common excess shingles therefore has to have that lesser
+    weight at threshold / (1 + threshold) of both weights, hence the lighter of the two at twice that share of its own
+    weight, and the heavier, which weighs at most 1 / threshold as much, at threshold times its own. These bounds are exact
+    and looked at row by row, before the join. Pairs with a
     common excess shingle are found by an equi-join on it.
     """
+    part = threshold / (1 + threshold)
     named = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    open_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    open_keys = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("most.label").alias("big"))
     own = spokes.select(F.col("a").alias("head"), F.col("b").alias("rep"), "inner")
-    apart = named.join(open_keys, "key", "left_semi").join(nodes, "rep").join(own, ["head", "rep"], "left")
+    apart = named.join(open_keys, "key").join(nodes, "rep").join(own, ["head", "rep"], "left")
     apart = materialize(apart.withColumn("inner", F.when(F.col("head") == F.col("rep"), F.col("mass")).otherwise(F.col("inner"))), "apart")
-    columns = {"k": "key", "": "rep", "l": "label", "m": "mass", "s": "samples", "i": "inner"}
-    side = lambda n: apart.select(*[F.col(c).alias(p + n) for p, c in columns.items()])
-    differ = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near(F.col("ma"), F.col("mb"))
-    enough = F.least("ia", "ib") >= threshold / (1 + threshold) * (F.col("ma") + F.col("mb")) - 1e-6
-    close = F.col("ia").isNull() | F.col("ib").isNull() | enough
-    inside = side("a").join(side("b"), (F.col("ka") == F.col("kb")) & differ & close & F.expr(ALIKE)).select("a", "b").distinct()
+
+    def meet(left: DataFrame, right: DataFrame, on: list[str], light_first: bool | None, extra: str = "true") -> DataFrame:
+        """Pairs of different labels whose weights agree; light_first says which side is the lighter, None either."""
+        names = [c for c in left.columns if c not in on]
+        x = left.select(*on, *[F.col(c).alias(c + "1") for c in names])
+        y = right.select(*on, *[F.col(c).alias(c + "2") for c in names])
+        lighter = "" if light_first is None else f"AND (mass1, rep1) {'<' if light_first else '>'} (mass2, rep2)"
+        fits = f"label1 <> label2 AND least(mass1, mass2) >= {threshold - 1e-6} * greatest(mass1, mass2) {lighter} AND {extra}"
+        return x.join(y, on).filter(fits).select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"))
+
+    alike = ALIKE.replace("sa", "samples1").replace("sb", "samples2")
+    rows = apart.select("key", "rep", "label", "big", "mass", "samples", "inner")
+    minor, known = rows.filter("label <> big"), rows.filter("inner IS NOT NULL")
+    light, heavy = known.filter(f"inner >= {2 * part} * mass - 1e-6"), known.filter(f"inner >= {threshold} * mass - 1e-6")
+    enough = f"{alike} AND least(inner1, inner2) >= {part} * (mass1 + mass2) - 1e-6"
+    inside = [
+        meet(light.filter("label <> big"), heavy, ["key"], True, enough),
+        meet(heavy.filter("label <> big"), light, ["key"], False, enough),
+        # members that were not measured against the centre have no bound
+        meet(rows.filter("inner IS NULL"), minor, ["key"], None, alike),
+        meet(rows.filter("inner IS NULL AND label <> big"), rows, ["key"], None, alike),
+    ]
     # common excess: members of an open centre by shingle
     members = apart.filter("inner IS NOT NULL AND head <> rep").select("head", "rep", "label", "mass").distinct()
     spread = members.join(spokes.select(F.col("a").alias("head"), F.col("b").alias("rep"), F.explode("excess").alias("h")), ["head", "rep"])
-    met = spread.groupBy("head", "h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("head", "h")
-    spread = materialize(spread.join(met, ["head", "h"], "left_semi"), "excess")
-    half = lambda n: spread.select(F.col("head").alias("c" + n), F.col("h").alias("h" + n), F.col("rep").alias(n), F.col("label").alias("l" + n), F.col("mass").alias("m" + n))
-    beyond = half("a").join(half("b"), (F.col("ca") == F.col("cb")) & (F.col("ha") == F.col("hb")) & differ).select("a", "b").distinct()
-    return inside.union(likely(beyond, nodes)).distinct()
+    sizes = spread.groupBy("head", "h", "label").agg(F.count("*").alias("n"))
+    met = sizes.groupBy("head", "h").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("k")).filter("k > 1").select("head", "h", F.col("most.label").alias("big"))
+    spread = materialize(spread.join(met, ["head", "h"]), "excess")
+    beyond = meet(spread.filter("label <> big"), spread, ["head", "h"], None).distinct()
+    found = likely(beyond, nodes)
+    for pairs in inside:
+        found = found.unionByName(pairs)
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -311,7 +340,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     spokes = materialize(measure(star, texts_of(star), idf), "spokes")
     linked = spokes.filter(F.col("similarity") >= threshold).select("a", "b")
     labels = components(linked)
-    rest = materialize(_rest(buckets, spokes, labels, nodes, near, threshold).join(star, ["a", "b"], "left_anti"), "rest")
+    seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = materialize(_rest(buckets, spokes, labels, nodes, threshold).join(seen, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = materialize(verify(rest, texts_of(rest), idf, threshold).select("a", "b"), "links")
         if not more.isEmpty():
@@ -334,10 +364,14 @@ def representatives(docs: DataFrame, **settings) -> DataFrame:
         rows = materialize(rows.select(F.col("_node").alias("doc_id"), F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), "text"), "numbered")
         return representatives(rows, **settings).select("_row.*").unionByName(docs.filter("doc_id IS NULL"))
     groups = near_duplicates(docs, **settings)
-    kept = groups.filter("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    ordered = [F.col(c) for c in docs.columns if c != "doc_id"]
-    once = out.groupBy("doc_id").agg(F.min(F.struct(*ordered)).alias("_r")).select("doc_id", "_r.*").select(*docs.columns)
+    kept = materialize(groups.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    # texts are streamed past the ids of their partition, neither sorted nor aggregated
+    once = docs.join(kept.filter("n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    again = kept.filter("n > 1").select("doc_id")
+    if not again.isEmpty():  # repeated rows of one text
+        ordered = [F.col(c) for c in docs.columns if c != "doc_id"]
+        rows = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*ordered)).alias("_r"))
+        once = once.unionByName(rows.select("doc_id", "_r.*").select(*docs.columns))
     return once.unionByName(docs.filter("doc_id IS NULL"))
 
 

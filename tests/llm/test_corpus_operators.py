@@ -91,6 +91,52 @@ def test_a_template_group_loses_no_link(spark):
     assert got == {i: label.get(i, i) for i, _ in test_rows}
 
 
+def test_unrelated_long_texts_are_no_candidates():
+    """Draws belong to shingles: texts of 20,000 words that share nothing agree in no band."""
+    rng = random.Random(31)
+    texts = [" ".join(f"w{rng.getrandbits(40)}" for _ in range(20_000)) for _ in range(30)]
+    idf = np.ones(minhash_dedup.DF_BUCKETS, np.float32)
+    n = minhash_dedup.BANDS * minhash_dedup.ROWS
+    sig = []
+    for lo, hi, buf, offsets in textvec.parts(pa.array(texts), minhash_dedup.PART_BYTES):
+        bounds, h, w = minhash_dedup.shingles(textvec.words_of_part(buf, offsets), idf)
+        sig += [minhash_dedup.sample(h[bounds[i] : bounds[i + 1]], w[bounds[i] : bounds[i + 1]], n) for i in range(hi - lo)]
+    same = [(sig[a] == sig[b]) for a in range(30) for b in range(a)]
+    assert max(x.mean() for x in same) < 0.03
+    assert sum(x.reshape(minhash_dedup.BANDS, -1).all(1).any() for x in same) < 5
+
+
+def test_samples_estimate_weighted_similarity():
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    w = rng.uniform(1, 4, 900)
+    n = 3000
+    for share in (0.5, 0.8, 0.95):
+        own = rng.random(900) < share
+        other = np.where(own, h, rng.integers(0, 1 << 63, 900, dtype=np.uint64))
+        both = w[own].sum()
+        agree = (minhash_dedup.sample(h, w, n) == minhash_dedup.sample(other, w, n)).mean()
+        assert abs(agree - both / (2 * w.sum() - both)) < 0.03
+
+
+def test_a_stray_text_in_a_hot_bucket(spark):
+    """One stray member does not make the copies of a bucket meet each other: 30,000 of them would be 450 million pairs."""
+    n = 30_000
+    samples = "transform(sequence(0, 143), i -> cast(id % 7 AS SMALLINT))"
+    nodes = spark.range(n + 1).select(F.col("id").alias("rep"), F.expr(samples).alias("samples"))
+    buckets = spark.range(n + 1).selectExpr("id AS rep", "100.0D AS mass", "7L AS key", "count(*) over () AS n", "0L AS head", "100.0D AS head_mass").drop("n")
+    labels = spark.range(n).selectExpr("id AS node", "0L AS label")
+    spokes = spark.range(1, n).selectExpr("0L AS a", "id AS b", "0.9D AS similarity", "95.0D AS inner", "array(id) AS excess")
+    got = minhash_dedup._rest(buckets, spokes, labels, nodes, 0.8).collect()
+    assert {(r["a"], r["b"]) for r in got} == {(i, n) for i in range(n) if i % 7 == n % 7}
+
+
+def test_components_of_a_star(spark):
+    edges = spark.range(1, 5000).selectExpr("5000 - id AS a", "id AS b").union(spark.range(1, 5000).selectExpr("7000L AS a", "id AS b"))
+    got = minhash_dedup.components(edges).groupBy("label").count().collect()
+    assert [(r["label"], r["count"]) for r in got] == [(1, 5000)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (103, 100)]
     got = {r["node"]: r["label"] for r in minhash_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
