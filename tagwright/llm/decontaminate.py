@@ -1,31 +1,37 @@
 """Operator 10 - benchmark decontamination by SimHash windows and multi-index Hamming blocks.
 
-An item is laid over a text wherever the two share a shingle; the document leaks
-it if one of these windows, as many words long as the item or the whole of a shorter text, has a weighted
-shingle similarity of ``THRESHOLD`` or more with it. Shingles are five
+A document leaks an item if one of its windows, as many words long as the item (or the whole
+of a shorter text), has a weighted shingle similarity of ``THRESHOLD`` or more with it. Shingles are five
 lower-cased words; a shingle weighs its count times its characters; similarity
-is the weighted Jaccard of the two shingle bags.
-
-1. *Windows.* Window and item must share a shingle to be similar at all, so the
-   windows worth a fingerprint are those aligned by a shared shingle: at place p
-   in the text and q in an item of length L, the window starts at p - q. A window
-   that would reach over an edge of the text is moved to that edge; a text shorter
-   than the item is laid whole.
-2. *Fingerprints.* The 64-bit SimHash of a window's weighted shingles, summed
-   bit by bit in one aggregation.
-3. *Multi-index.* Fingerprints are cut into RADIUS + 1 blocks; two within the
-   radius agree in one block at least, so an equi-join on (length, block,
-   value) finds all of them. Each pair is taken at its first equal block only.
+is the weighted Jaccard of the two shingle bags. All windows inside the text are
+judged, those at its edges included.
+
+1. *Windows.* A similar window consists of shingles of items for the most part: their weight reaches THRESHOLD
+   times that of the lightest item of this length. Shingles of texts are looked up in the set of
+   all items' shingles, and only windows that reach this bound, which is exact,
+   get a fingerprint. Which item a window is like is not known yet.
+2. *Fingerprints.* The 192-bit SimHash of a window's weighted shingles, summed
+   bit by bit in one aggregation. Equal windows are fingerprinted once.
+3. *Multi-index.* Each of the three longs of a fingerprint is cut into five blocks of 12 or 13 bits.
+   Two fingerprints that differ in no more than ``RADIUS`` bits differ in at most ``NEAR`` bits in one of the 15 blocks at least, by
+   the pigeonhole principle. The items, the small side, are entered under all values that are so near
+   theirs (79 or 92 a block); an equi-join on (length, block, value) then finds every pair within the radius. Each
+   pair is taken at its first such block only.
 4. *Verification.* The exact similarity of the candidates' shingle bags.
 
+The radius loses what SimHash itself loses: at a similarity of 0.8 two fingerprints differ
+in 29 bits on average with a standard deviation of 5, so about 1 pair in 1,000 at the very threshold lies beyond
+44 bits, and none to speak of from 0.85 on. README has the measured share, and that of unrelated pairs which blocks and radius let through.
+
 Built-in expressions and joins only. The benchmark side of both joins is
-broadcast only while its counted shingles stay within ``BROADCAST_ROWS``;
-otherwise both sides are shuffled, and adaptive execution splits hot shingles.
+broadcast only while its counted rows stay within ``BROADCAST_ROWS`` and ``BROADCAST_ITEMS``;
+otherwise both sides are shuffled, and adaptive execution splits hot shingles. Texts
+without a window to look at are left out before texts are shuffled, by a test on at most ID_BUCKETS broadcast rows.
 
 Defined cases: items with fewer than five words have no shingle and are never
-found; NULL texts contain nothing; rows are known by doc_id and text, so
+found; NULL texts contain nothing; a text shorter than the item is one window; rows are known by doc_id and text, so
 repeated rows give one result; a NULL doc_id is reported as NULL; equal items are all
-reported; empty tables give no rows.
+reported; of equally similar windows the first is; very long texts are searched whole; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -37,9 +43,16 @@ from .common import materialize, table, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RADIUS = 20
-BITS = 64
-BROADCAST_ROWS = 500_000
+#: Longs of a fingerprint, and the bits of the blocks of each.
+LONGS = 3
+BLOCKS = (13, 13, 13, 13, 12)
+#: Bits in which an item may differ from an entry of its block.
+NEAR = 2
+#: Every pair within so many bits is found: with one bit more, each block could differ in NEAR + 1 bits.
+RADIUS = LONGS * len(BLOCKS) * (NEAR + 1) - 1
+#: Counted shingles of items up to which they are broadcast, and counted items up to which their block entries are (1,341 rows each).
+BROADCAST_ROWS, BROADCAST_ITEMS = 500_000, 30
+ID_BUCKETS = 1 << 20
 
 
 def _shingles(words: str) -> Column:
@@ -54,39 +67,48 @@ def _shingle_hashes(words: str) -> Column:
 
 
 def fingerprints(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """``windows`` (keys, ws: words) with the SimHash of their weighted shingles, keys being unique."""
-    each = windows.select(*keys, F.explode(_shingles("ws")).alias("s")).select(*keys, F.xxhash64("s").alias("h"), F.length("s").alias("w"))
+    """``windows`` (keys, ws: words) with fp, the SimHash of their weighted shingles as an array of LONGS longs, keys being unique."""
+    each = windows.select(*keys, F.explode(_shingles("ws")).alias("s"))
+    hashes = F.array(*[F.struct(F.lit(k).alias("_k"), F.xxhash64(F.lit(k), "s").alias("h")) for k in range(LONGS)])
+    each = each.select(*keys, F.length("s").alias("w"), F.explode(hashes).alias("x")).select(*keys, "w", "x._k", "x.h")
     bit = lambda i: F.sum(F.when(F.shiftright("h", i).bitwiseAND(F.lit(1)) == 1, F.col("w")).otherwise(-F.col("w")))
-    sums = each.groupBy(*keys).agg(*[bit(i).alias(f"b{i}") for i in range(BITS)])
+    sums = each.groupBy(*keys, "_k").agg(*[bit(i).alias(f"b{i}") for i in range(64)])
     total = F.lit(0).cast("long")
-    for i in range(BITS):
+    for i in range(64):
         total = total.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return sums.select(*keys, total.alias("fp"))
+    longs = sums.select(*keys, "_k", total.alias("v"))
+    parts = [F.max(F.when(F.col("_k") == k, F.col("v"))) for k in range(LONGS)]
+    return longs.groupBy(*keys).agg(F.array(*parts).alias("fp"))
+
 
+def _blocks() -> list[tuple[int, int, int]]:
+    """(long, first bit, bits) of every block."""
+    return [(k, sum(BLOCKS[:i]), BLOCKS[i]) for k in range(LONGS) for i in range(len(BLOCKS))]
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of radius + 1 blocks that share out the fingerprint."""
-    n = radius + 1
-    size = [BITS // n + (i < BITS % n) for i in range(n)]
-    return [(sum(size[:i]), size[i]) for i in range(n)]
 
+def _block(fp: str, at: tuple[int, int, int]) -> str:
+    return f"(shiftrightunsigned({fp}[{at[0]}], {at[1]}) & {(1 << at[2]) - 1}L)"
 
-def _block(fp: Column, at: tuple[int, int]) -> Column:
-    return F.shiftrightunsigned(fp, at[0]).bitwiseAND(F.lit((1 << at[1]) - 1).cast("long"))
 
+def _by_blocks(df: DataFrame, fp: str) -> DataFrame:
+    rows = ", ".join(f"named_struct('block', {i}, 'value', {_block(fp, at)}, 'bits', {at[2]})" for i, at in enumerate(_blocks()))
+    return df.withColumn("_b", F.explode(F.expr(f"array({rows})"))).select(*df.columns, "_b.block", "_b.value", "_b.bits")
 
-def _by_blocks(df: DataFrame, radius: int) -> DataFrame:
-    blocks = F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("fp"), at).alias("value")) for i, at in enumerate(_blocks(radius))])
-    return df.withColumn("_b", F.explode(blocks)).select(*df.columns, "_b.block", "_b.value")
 
+def block_entries(items: DataFrame) -> DataFrame:
+    """items(item_fp, ...) under every (block, value) that differs from theirs in at most NEAR bits."""
+    flips = items.sparkSession.range(1 << max(BLOCKS), numPartitions=1).filter(F.bit_count("id") <= NEAR).select(F.col("id").alias("flip"))
+    near = _by_blocks(items, "item_fp").join(F.broadcast(flips), F.col("flip") < F.expr("shiftleft(1L, bits)"))  # 92 rows
+    return near.withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("bits", "flip")
 
-def within_radius(windows: DataFrame, items: DataFrame, radius: int = RADIUS, small: bool = True) -> DataFrame:
-    """Pairs of windows(fp, len, ...) and items(item_fp, len, ...) of equal length within the radius, each once."""
-    right = _by_blocks(items.withColumnRenamed("item_fp", "fp"), radius).withColumnRenamed("fp", "item_fp")
-    pairs = _by_blocks(windows, radius).join(F.broadcast(right) if small else right, ["len", "block", "value"])
-    differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    first = F.coalesce(*[F.when(_block(differ, at) == 0, F.lit(i)) for i, at in enumerate(_blocks(radius))])
-    return pairs.filter((F.bit_count(differ) <= radius) & (first == F.col("block"))).drop("block", "value")
+
+def within_radius(windows: DataFrame, items: DataFrame, small: bool = True) -> DataFrame:
+    """Pairs of windows(fp, len, ...) and items(item_fp, len, ...) of equal length within RADIUS, each once."""
+    entries = block_entries(items)
+    pairs = _by_blocks(windows, "fp").drop("bits").join(F.broadcast(entries) if small else entries, ["len", "block", "value"])
+    differ = " + ".join(f"bit_count(fp[{k}] ^ item_fp[{k}])" for k in range(LONGS))
+    first = ", ".join(f"CASE WHEN bit_count({_block('fp', at)} ^ {_block('item_fp', at)}) <= {NEAR} THEN {i} END" for i, at in enumerate(_blocks()))
+    return pairs.filter(F.expr(f"{differ} <= {RADIUS}") & (F.expr(f"coalesce({first})") == F.col("block"))).drop("block", "value")
 
 
 def _similarity(a: str, b: str) -> Column:
@@ -96,54 +118,80 @@ def _similarity(a: str, b: str) -> Column:
     return F.expr(f"CASE WHEN {a} = {b} THEN 1.0D ELSE cast({fold('least')} AS DOUBLE) / {fold('greatest')} END")
 
 
-def _leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """doc_id, tk (hash of the text), item_id, start, ws, similarity of every window that leaks an item."""
-    items = (
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, iw (words), len, ik (key) and weight of the items that have a shingle."""
+    return (
         benchmark.select("item_id", words_of(F.lower("text")).alias("iw"))
         .filter(F.size("iw") >= SHINGLE)
-        .select("item_id", "iw", F.size("iw").alias("len"), F.xxhash64("item_id", "iw").alias("ik"))
+        .select("item_id", "iw", F.size("iw").alias("len"), F.xxhash64("item_id", "iw").alias("ik"), _shingles("iw").alias("_s"))
+        .select("item_id", "iw", "len", "ik", F.expr("aggregate(_s, 0L, (acc, x) -> acc + length(x))").alias("weight"))
     )
-    places = items.select("len", F.posexplode(_shingle_hashes("iw")).alias("q", "h")).distinct()
+
+
+def windows_to_judge(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, bool]:
+    """(doc_id, tk, len, starts) of all windows that can be similar to an item, and whether the items' shingles are few."""
+    shingles = items.select("len", F.explode(F.arrays_zip(_shingle_hashes("iw").alias("h"), _shingles("iw").alias("s"))).alias("x"))
+    places = shingles.select("len", F.col("x.h").alias("h"), F.length("x.s").alias("w")).groupBy("len", "h").agg(F.max("w").alias("w"))
     small = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     places = F.broadcast(places) if small else places
-
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
-    spread = keyed.select("doc_id", "tk", words_of(F.lower("text")).alias("_w")).select(
+    least = F.broadcast(items.groupBy("len").agg((F.min("weight") * F.lit(threshold)).alias("least")))  # a row per length of an item
+    spread = docs.select("doc_id", F.xxhash64("text").alias("tk"), words_of(F.lower("text")).alias("_w")).select(
         "doc_id", "tk", F.size("_w").alias("n"), F.posexplode(_shingle_hashes("_w")).alias("p", "h")
     )
+    # a row per text and length, if all its shingles of items reach the weight together; at most the places of one text in it
+    held = (
+        spread.join(places, "h").groupBy("doc_id", "tk", "n", "len")
+        .agg(F.sum("w").alias("held"), F.collect_set(F.struct("p", "w")).alias("at"))
+        .join(least, "len").filter("held >= least - 1e-6")
+    )
+    last = "greatest(0, n - len)"
+    every = f"sequence(greatest(0, least(x.p - least(n, len) + {SHINGLE}, {last})), least(x.p, {last}))"
     starts = (
-        spread.join(places, "h")
-        .select("doc_id", "tk", F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("len"))).alias("start"), "len")
-        .distinct()
-    )
-    found = materialize(starts.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "len")).alias("at")), "leak-windows")
-    hit = keyed.join(found, (keyed["doc_id"].eqNullSafe(found["doc_id"])) & (keyed["tk"] == found["tk"])).select(keyed["doc_id"], keyed["tk"], "text", "at")
+        held.select("doc_id", "tk", "n", "len", "least", F.explode("at").alias("x"))
+        .select("doc_id", "tk", "len", "least", "x.w", F.explode(F.expr(every)).alias("start"))
+        .groupBy("doc_id", "tk", "len", "start").agg(F.sum("w").alias("held"), F.first("least").alias("least"))
+        .filter("held >= least - 1e-6")
+    )
+    return starts.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "len")).alias("at")), small
+
+
+def _leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, tk (hash of the text), item_id, start, n_words, similarity of every window that leaks an item."""
+    items = _items(benchmark)
+    found, small = windows_to_judge(docs, items, threshold)
+    found = materialize(found, "leak-windows")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
+    bucket = F.pmod(F.col("tk"), F.lit(ID_BUCKETS)).alias("_b")
+    coarse = keyed.withColumn("_b", bucket).join(F.broadcast(found.select(bucket).distinct()), "_b", "left_semi")
+    hit = coarse.join(found, coarse["doc_id"].eqNullSafe(found["doc_id"]) & (coarse["tk"] == found["tk"])).select(coarse["doc_id"], coarse["tk"], "text", "at")
+    cut = "transform(at, a -> named_struct('start', a.start, 'len', a.len, 'ws', slice(_w, a.start + 1, a.len)))"
     windows = (
         hit.select("doc_id", "tk", words_of(F.lower("text")).alias("_w"), "at")
-        .select("doc_id", "tk", F.explode(F.expr("transform(at, a -> named_struct('start', a.start, 'len', a.len, 'ws', slice(_w, a.start + 1, a.len)))")).alias("a"))
-        .select("doc_id", "tk", F.col("a.start").alias("start"), F.col("a.len").alias("len"), F.col("a.ws").alias("ws"))
+        .select("doc_id", "tk", F.explode(F.expr(cut)).alias("a"))
+        .select("doc_id", "tk", "a.start", "a.len", "a.ws", F.xxhash64("a.ws").alias("wk"), F.xxhash64(F.lit(1), "a.ws").alias("wk2"))
     )
+    windows = materialize(windows, "leak-texts")
     # equal windows of different documents are fingerprinted and verified once
-    texts = windows.select("len", "ws").distinct().withColumn("wk", F.xxhash64("ws"))
-    texts = materialize(texts, "leak-texts")
-    prints = fingerprints(texts, ["len", "wk"])
+    texts = windows.select("len", "wk", "wk2", "ws").dropDuplicates(["len", "wk", "wk2"])
+    prints = fingerprints(texts, ["len", "wk", "wk2"])
     item_prints = fingerprints(items.select("ik", "len", F.col("iw").alias("ws")).dropDuplicates(["ik"]), ["ik", "len"]).withColumnRenamed("fp", "item_fp")
-    near = within_radius(prints, item_prints, radius, small).select("len", "wk", "ik")
-    sides = near.join(texts, ["len", "wk"]).join(items.select("ik", "item_id", "iw"), "ik")
+    few = items.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS
+    near = within_radius(prints, item_prints, few).select("len", "wk", "wk2", "ik")
+    sides = near.join(texts, ["len", "wk", "wk2"]).join(items.select("ik", "item_id", "iw"), "ik")
     verified = (
         sides.withColumn("sa", _shingles("ws")).withColumn("sb", _shingles("iw")).withColumn("_part", F.spark_partition_id())
         .withColumn("similarity", _similarity("sa", "sb"))
         .filter((F.col("similarity") >= threshold) & (F.col("_part") >= 0))  # not pushed down into the lambdas
-        .select("len", "ws", "item_id", "similarity")
+        .select("len", "wk", "wk2", "item_id", "similarity")
     )
-    return windows.join(verified, ["len", "ws"]).select("doc_id", "tk", "item_id", "start", "ws", "similarity")
+    return windows.select("doc_id", "tk", "start", "len", "wk", "wk2", F.size("ws").alias("n_words")).join(verified, ["len", "wk", "wk2"]).select("doc_id", "tk", "item_id", "start", "n_words", "similarity")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: per document and item the best window, the first of equals."""
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.size("ws").alias("n_words"))).alias("m")
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("m")
     return (
-        _leaking(docs, benchmark, threshold, radius)
+        _leaking(docs, benchmark, threshold)
         .groupBy("doc_id", "item_id").agg(best)
         .select("doc_id", "item_id", (-F.col("m.back")).alias("start_word"), F.col("m.n_words").alias("n_words"), F.col("m.similarity").alias("similarity"))
     )
@@ -159,6 +207,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: All windows of an item's length that share a shingle with it (the others have a similarity of 0), one by one.
 ORACLE_SQL = r"""
 WITH it AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS iw FROM benchmark),
 i AS (SELECT item_id, iw, len(iw) AS n FROM it WHERE len(iw) >= 5),
@@ -166,14 +215,15 @@ d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+
 ish AS (SELECT item_id, n, q, array_to_string(iw[q + 1:q + 5], ' ') AS s FROM (SELECT *, unnest(range(0, n - 4)) AS q FROM i)),
 dsh AS (SELECT doc_id, md5(array_to_string(dw, ' ')) AS dk, len(dw) AS dn, p, array_to_string(dw[p + 1:p + 5], ' ') AS s
         FROM (SELECT *, unnest(range(0, len(dw) - 4)) AS p FROM d)),
-w AS (SELECT DISTINCT doc_id, dk, item_id, n, p - q AS st FROM dsh JOIN ish USING (s) WHERE p - q >= 0 AND p - q + n <= dn),
-a AS (SELECT w.doc_id, w.dk, w.item_id, w.st, dsh.s, count(*) AS c FROM w JOIN dsh
-        ON w.doc_id IS NOT DISTINCT FROM dsh.doc_id AND w.dk = dsh.dk AND dsh.p BETWEEN w.st AND w.st + w.n - 5 GROUP BY ALL),
-b AS (SELECT w.doc_id, w.dk, w.item_id, w.st, ish.s, count(*) AS c FROM w JOIN ish USING (item_id) GROUP BY ALL),
-sim AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.st, b.st) AS st,
+h AS (SELECT DISTINCT doc_id, dk, dn, item_id, n, p FROM dsh JOIN ish USING (s)),
+w AS (SELECT DISTINCT doc_id, dk, item_id, least(n, dn) AS m, unnest(range(greatest(0, least(p - least(n, dn) + 5, dn - n)), least(p, greatest(0, dn - n)) + 1)) AS st FROM h),
+a AS (SELECT w.doc_id, w.dk, w.item_id, w.m, w.st, dsh.s, count(*) AS c FROM w JOIN dsh
+        ON w.doc_id IS NOT DISTINCT FROM dsh.doc_id AND w.dk = dsh.dk AND dsh.p BETWEEN w.st AND w.st + w.m - 5 GROUP BY ALL),
+b AS (SELECT w.doc_id, w.dk, w.item_id, w.m, w.st, ish.s, count(*) AS c FROM w JOIN ish USING (item_id) GROUP BY ALL),
+sim AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.st, b.st) AS st, coalesce(a.m, b.m) AS m,
                sum(length(coalesce(a.s, b.s)) * least(coalesce(a.c, 0), coalesce(b.c, 0)))::DOUBLE
                / sum(length(coalesce(a.s, b.s)) * greatest(coalesce(a.c, 0), coalesce(b.c, 0))) AS similarity
         FROM a FULL JOIN b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.dk = b.dk AND a.item_id = b.item_id AND a.st = b.st AND a.s = b.s
-        GROUP BY coalesce(a.doc_id, b.doc_id), coalesce(a.dk, b.dk), coalesce(a.item_id, b.item_id), coalesce(a.st, b.st)),
+        GROUP BY coalesce(a.doc_id, b.doc_id), coalesce(a.dk, b.dk), coalesce(a.item_id, b.item_id), coalesce(a.st, b.st), coalesce(a.m, b.m)),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, st) AS r FROM sim WHERE similarity >= 0.8)
-SELECT doc_id, k.item_id, st::INTEGER AS start_word, n::INTEGER AS n_words, similarity FROM k JOIN i ON k.item_id = i.item_id WHERE r = 1"""
+SELECT doc_id, item_id, st::INTEGER AS start_word, m::INTEGER AS n_words, similarity FROM k WHERE r = 1"""

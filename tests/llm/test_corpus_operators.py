@@ -251,8 +251,7 @@ def test_decontamination(spark):
     for i, t in rows:
         ws = (t or "").lower().split()
         for j, item in enumerate(bench):
-            laid = {p - q for p in range(len(ws) - 4) for q in range(len(item) - 4) if ws[p : p + 5] == item[q : q + 5]}
-            found = [(similarity(ws[s : s + len(item)], item), -s) for s in laid if 0 <= s <= len(ws) - len(item)]
+            found = [(similarity(ws[s : s + len(item)], item), -s) for s in range(max(len(ws) - len(item), 0) + 1)]
             if found and max(found)[0] >= 0.8:
                 want[i, j] = (-max(found)[1], round(max(found)[0], 9))
     assert got == want and len(want) > 20
@@ -299,13 +298,25 @@ def test_representatives_keep_texts_that_share_a_doc_id(spark):
 
 def test_blocks_find_all_within_the_radius(spark):
     rng = random.Random(19)
-    prints = [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
-    near = [(p ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 24)))) for p in prints]
-    left = spark.createDataFrame([(i, p, 9) for i, p in enumerate(near)], "id int, fp long, len int")
-    right = spark.createDataFrame([(i, p, 9) for i, p in enumerate(prints)], "item int, item_fp long, len int")
-    got = collections.Counter((r["id"], r["item"]) for r in decontaminate.within_radius(left, right, 20).collect())
-    want = {(i, j) for i, a in enumerate(near) for j, b in enumerate(prints) if bin((a ^ b) & (1 << 64) - 1).count("1") <= 20}
-    assert set(got) == want and set(got.values()) <= {1}
+    bits = 64 * decontaminate.LONGS
+    prints = [rng.getrandbits(bits) for _ in range(40)]
+    near = [p ^ sum(1 << b for b in rng.sample(range(bits), rng.randint(30, 56))) for p in prints] + [rng.getrandbits(bits) for _ in range(40)]
+    longs = lambda x: [((x >> 64 * k) & (1 << 64) - 1) - ((x >> 64 * k + 63 & 1) << 64) for k in range(decontaminate.LONGS)]
+    left = spark.createDataFrame([(i, longs(p), 9) for i, p in enumerate(near)], "id int, fp array<long>, len int")
+    right = spark.createDataFrame([(i, longs(p), 9) for i, p in enumerate(prints)], "item int, item_fp array<long>, len int")
+    want = {(i, j) for i, a in enumerate(near) for j, b in enumerate(prints) if (a ^ b).bit_count() <= decontaminate.RADIUS}
+    assert decontaminate.RADIUS == 44 and 10 < len(want) < 40
+    for small in (True, False):
+        got = collections.Counter((r["id"], r["item"]) for r in decontaminate.within_radius(left, right, small).collect())
+        assert set(got) == want and set(got.values()) <= {1}
+
+
+def test_fingerprints(spark):
+    texts = [["a", "b", "c", "d", "e", "f"], ["x"] * 40, ["a", "b", "c", "d", "e"]]
+    got = {r["k"]: r["fp"] for r in decontaminate.fingerprints(spark.createDataFrame(list(enumerate(texts)), "k int, ws array<string>"), ["k"]).collect()}
+    assert set(got) == {0, 1, 2} and all(len(fp) == decontaminate.LONGS for fp in got.values())
+    one = spark.sql("SELECT xxhash64(0, 'a b c d e') AS x, xxhash64(1, 'a b c d e') AS y, xxhash64(2, 'a b c d e') AS z").first()
+    assert got[2] == list(one)  # a single shingle gives its own bits
 
 
 def test_pipeline(spark, tmp_path):
