@@ -14,11 +14,13 @@ Scoring finds the distinct words of some megabytes of text with numpy, scores
 those that a bounded cache does not know, all words of one length together, and
 adds up cached vectors. Each text is scored whole, from its text alone.
 
-score is the posterior probability of the predicted language under equal priors.
+score is the posterior probability of the predicted language under equal priors for a single word that is
+as likely as the text's words are on average (the log-likelihoods divided by the number of words), so
+that it tells clear texts from doubtful ones whatever their length.
 
 Defined cases: NULL texts and texts without a letter are ``und`` with score 0;
 ties go to the first language in order; rows with a NULL doc_id are scored
-and count as not held out; without any training row every text is ``und``; an empty
+and count as not held out; repeated rows are scored alike, and teach repeatedly; words and texts of any length are scored and taught whole; without any training row every text is ``und``; an empty
 table gives no rows.
 """
 
@@ -40,6 +42,8 @@ TRAIN_DOCS = 3_000
 ITERATIONS = 2
 SMOOTHING = 0.5
 CACHE_WORDS = 500_000
+#: Places of a word after which the recursions are rescaled.
+RESCALE = 16
 START = "▁"
 UNKNOWN = "und"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -126,22 +130,42 @@ def letters(word: bytes) -> str:
 
 
 def forward(edges: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(alpha [word, place, language], log scales): alpha rows are scaled alike up to their place's window."""
+    """(alpha, log scale), both [word, place, language]: what is summed over the segmentations up to a place is alpha * exp(log scale).
+
+    Every ``RESCALE`` places those that are still looked back at are brought near 1, at any length of a word.
+    """
     m, n, reach = edges.shape
-    alpha = np.zeros((m, n + 1, p.shape[1]))
+    alpha, scale = np.zeros((m, n + 1, p.shape[1])), np.zeros((m, n + 1, p.shape[1]))
     alpha[:, 0] = 1
-    scale = np.zeros((m, p.shape[1]))
     for j in range(1, n + 1):
+        scale[:, j] = scale[:, j - 1]
         for k in range(1, min(reach, j) + 1):
             alpha[:, j] += alpha[:, j - k] * p[edges[:, j - 1, k - 1]]
-        if j % 16 == 0 and n > 48:  # long words: keep the last places near 1
-            lo = max(0, j + 1 - reach)
-            top = alpha[:, lo : j + 1].max(axis=1)
-            alpha[:, lo : j + 1] /= top[:, None]
-            scale += np.log(top)
+        if j % RESCALE == 0:
+            _rescale(alpha, scale, max(0, j + 1 - reach), j + 1)
     return alpha, scale
 
 
+def backward(edges: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``forward``, of the segmentations from a place to the end, for one language: [word, place, 1]."""
+    m, n, reach = edges.shape
+    beta, scale = np.zeros((m, n + 1, 1)), np.zeros((m, n + 1, 1))
+    beta[:, n] = 1
+    for j in range(n - 1, -1, -1):
+        scale[:, j] = scale[:, j + 1]
+        for k in range(1, min(reach, n - j) + 1):
+            beta[:, j] += beta[:, j + k] * p[edges[:, j + k - 1, k - 1]]
+        if j % RESCALE == 0:
+            _rescale(beta, scale, j, min(n + 1, j + reach))
+    return beta, scale
+
+
+def _rescale(values: np.ndarray, scale: np.ndarray, lo: int, hi: int) -> None:
+    top = values[:, lo:hi].max(axis=1, keepdims=True)
+    values[:, lo:hi] /= top
+    scale[:, lo:hi] += np.log(top)
+
+
 def log_likelihood(vocab: Vocabulary, words: list[str], p: np.ndarray) -> np.ndarray:
     """[word, language] for any words; '' scores 0."""
     out = np.zeros((len(words), p.shape[1]))
@@ -154,7 +178,7 @@ def log_likelihood(vocab: Vocabulary, words: list[str], p: np.ndarray) -> np.nda
         for i in range(0, len(own), step):
             at = own[i : i + step]
             alpha, scale = forward(vocab.edges([words[x] for x in at]), p)
-            out[at] = np.log(alpha[:, n]) + scale
+            out[at] = np.log(alpha[:, n]) + scale[:, n]
     return out
 
 
@@ -163,24 +187,19 @@ def expected_counts(vocab: Vocabulary, words: list[str], weight: np.ndarray, p:
     total = np.zeros(len(p))
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        if 0 < len(w) <= 48:  # what is longer is no word; it is scored, but teaches nothing
+        if w:
             by_length.setdefault(len(w), []).append(i)
     for n, own in by_length.items():
         step = max(1, 200_000 // (n * min(n, vocab.longest)))
         for i in range(0, len(own), step):
             at = own[i : i + step]
             edges = vocab.edges([words[x] for x in at])
-            alpha = forward(edges, p[:, None])[0][:, :, 0]
-            beta = np.zeros_like(alpha)
-            beta[:, n] = 1
-            for j in range(n, 0, -1):
-                for k in range(1, min(edges.shape[2], j) + 1):
-                    beta[:, j - k] += beta[:, j] * p[edges[:, j - 1, k - 1]]
-            share = weight[at] / alpha[:, n]
+            (alpha, up), (beta, down) = ([x[:, :, 0] for x in f(edges, p[:, None])] for f in (forward, backward))
             for j in range(1, n + 1):
                 for k in range(1, min(edges.shape[2], j) + 1):
                     e = edges[:, j - 1, k - 1]
-                    total += np.bincount(e, alpha[:, j - k] * p[e] * beta[:, j] * share, len(total))
+                    share = np.exp(up[:, j - k] + down[:, j] - up[:, n]) / alpha[:, n]
+                    total += np.bincount(e, weight[at] * share * alpha[:, j - k] * beta[:, j] * p[e], len(total))
     total[vocab.none] = 0
     return total
 
@@ -290,7 +309,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 log, known = found[:, :-1], found[:, -1] > 0
                 if log.shape[1]:
                     best = np.where(known, log.argmax(axis=1), -1)
-                    score = np.where(known, 1 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
+                    mean = (log - log.max(axis=1, keepdims=True)) / np.maximum(found[:, -1:], 1)
+                    score = np.where(known, 1 / np.exp(mean).sum(axis=1), 0.0)
                 else:
                     best, score = np.full(hi - lo, -1), np.zeros(hi - lo)
                 yield pa.RecordBatch.from_arrays(
