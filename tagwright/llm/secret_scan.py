@@ -13,7 +13,7 @@ Kinds, in their listed order:
                the CRC-32 of the thirty before; card - 13 to 19 digit card
                numbers behind a brand prefix near a card keyword, by Luhn's
                sum; iban - by ISO 7064 mod 97; jwt - three base64url parts
-               whose header decodes to JSON with an ``alg``.
+               whose header, a whole run of base64url signs, decodes to JSON with an ``alg``.
 Added kinds never remove base spans. Spans are code points, end exclusive.
 
 Defined cases: NULL text counts as empty (no spans, the hash of ''); very long texts
@@ -47,7 +47,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _GITHUB = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 _CARD = re.compile(r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 _HEX_PROBE = re.compile(r"[0-9a-f]{4,}")
 _HEX = re.compile(r"[0-9a-f]+")
 _DIGITS62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
