@@ -14,6 +14,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,14 +42,26 @@ def _own_tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tagwright/{spark.sparkContext.applicationId}"
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{_own_tables(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh shared table and read it back: lineage ends here."""
     spark = df.sparkSession
-    path = f"{_own_tables(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept on the executors' disks; what a lost executor held is computed again.
+
+    For narrow results that are read twice, cheap to recompute in part, and have no long lineage behind them.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Removes all tables that ``materialize`` has written for this application; for when nothing that reads them is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_tables(spark))

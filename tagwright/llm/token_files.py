@@ -11,9 +11,14 @@ store Spark can write to will do:
 
 A short document is read by itself: prune blocks by first_doc/last_doc, take
 two offsets, and decompress one frame with the dictionary whose hash the block
-names. The dictionary is trained on the serialized id arrays of at most
-``SAMPLE_DOCS`` documents (those whose doc_id has the smallest hash and whose
-text has at most ``SAMPLE_CHARS`` characters): a compression aid, which never changes the ids read back.
+names. The files are two tables under one path, ``blocks`` and ``dictionary`` (its hash and its bytes), so that
+``open_files`` needs nothing but the path.
+
+The dictionary is trained on the serialized id arrays of at most
+``SAMPLE_DOCS`` documents (those whose doc_id has the smallest hash; of a text of more than ``SAMPLE_CHARS``
+characters so many, from a place set by that hash): a compression aid, which never changes the ids read back.
+Where zstandard can't train on so little, the sample itself is the dictionary (as raw content), and
+without any sample the serialized ids 0 to 255 are: a dictionary there always is.
 
 Ids are little-endian, 16 bits wide while the vocabulary allows, else 32.
 
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import materialize, slim_batches, smallest_hashes, table, tidy
+from .common import fresh_path, slim_batches, smallest_hashes, table, tidy
 from .tokens import encoder, tokenizer_path
 
 BLOCK_BYTES = 1 << 20
@@ -50,8 +55,9 @@ BLOCK_SCHEMA = "part int, block int, first_doc long, last_doc long, n_ids long,
 
 
 class TokenFiles(NamedTuple):
-    """The written table, and the dictionary its blocks name."""
+    """The files under a path: the table of blocks, and the dictionary they name."""
 
+    path: str
     blocks: DataFrame
     dictionary: bytes
 
@@ -82,7 +88,7 @@ class Block:
         self.offsets = np.frombuffer(payload, "<u8", self.n + 1, at)
         self.counts = np.frombuffer(payload, "<u8", self.n, at + 8 * (self.n + 1))
         self.base, self.payload = at + 8 * (2 * self.n + 1), memoryview(payload)
-        data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        data = zstandard.ZstdCompressionDict(dictionary)
         self.reader = zstandard.ZstdDecompressor(dict_data=data)
 
     def ids(self, i: int) -> np.ndarray:
@@ -92,27 +98,41 @@ class Block:
 
 
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
-    """Empty where the sample is too small to train on."""
+    """The shared dictionary, never empty; a trained one starts with zstandard's magic number, any other is raw content."""
+    h = F.xxhash64("doc_id")
+    place = F.pmod(h, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    texts = smallest_hashes(docs, SAMPLE_DOCS, F.col("text").isNotNull()).select(F.col("text").substr(place, F.lit(SAMPLE_CHARS)).alias("text"))
+    enc, width = encoder(path), id_width(path)
+    rows = [enc.whole(r["text"]).astype(f"<u{width}").tobytes() for r in texts.collect()]  # SAMPLE_DOCS at most, of SAMPLE_CHARS
+    return dictionary_of([r for r in rows if r], width)
+
+
+def dictionary_of(rows: list[bytes], width: int) -> bytes:
     import zstandard
 
-    sample = smallest_hashes(docs, SAMPLE_DOCS, F.length("text") <= SAMPLE_CHARS).select("text")
-    enc, width = encoder(path), id_width(path)
-    rows = [enc.whole(r["text"]).astype(f"<u{width}").tobytes() for r in sample.collect()]  # SAMPLE_DOCS at most
-    rows = [r for r in rows if r]
-    if len(rows) < 16 or sum(map(len, rows)) < 4 * 1024:
-        return b""
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, rows)) // 4), rows).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(rows)[:DICTIONARY_BYTES] or np.arange(256).astype(f"<u{width}").tobytes()
+
+
+def open_files(spark: SparkSession, path: str) -> TokenFiles:
+    """Files that ``write`` has left under ``path``, in this session or another."""
+    row = spark.read.parquet(f"{path}/dictionary").first()
+    if hashlib.sha256(row["bytes"]).hexdigest() != row["sha256"]:
+        raise ValueError("the dictionary is damaged")
+    return TokenFiles(path, spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks"), bytes(row["bytes"]))
 
 
-def write(docs: DataFrame, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k.json") -> TokenFiles:
-    """Encode every text of docs(doc_id, text), append ``end_id``, and write the blocks in doc_id order."""
-    path = tokenizer_path(tokenizer)
+def write(docs: DataFrame, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k.json", path: str | None = None) -> TokenFiles:
+    """Encode every text of docs(doc_id, text), append ``end_id``, and write the files in doc_id order under ``path`` (a fresh shared folder if there is none)."""
+    spark, vocabulary = docs.sparkSession, tokenizer_path(tokenizer)
+    path = path or fresh_path(spark, "token-files")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dictionary = train_dictionary(docs, path)
-    digest, width = hashlib.sha256(dictionary).digest(), id_width(path)
+    dictionary = train_dictionary(docs, vocabulary)
+    digest, width = hashlib.sha256(dictionary).digest(), id_width(vocabulary)
+    stored = spark.createDataFrame([(digest.hex(), bytearray(dictionary))], "sha256 string, bytes binary")
+    stored.coalesce(1).write.parquet(f"{path}/dictionary")
     kept = docs.sparkSession.sparkContext.broadcast(dictionary)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +140,7 @@ def write(docs: DataFrame, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k.
         from pyspark import TaskContext
 
         enc = encoder(tokenizer_path(tokenizer))
-        data = zstandard.ZstdCompressionDict(kept.value) if kept.value else None
+        data = zstandard.ZstdCompressionDict(kept.value)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=data)
         part, number = TaskContext.get().partitionId(), 0
         ids: list = []
@@ -156,9 +176,10 @@ def write(docs: DataFrame, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k.
         if ids:
             yield close()
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return TokenFiles(materialize(ordered.mapInArrow(tidy(blocks), BLOCK_SCHEMA), "token-files"), dictionary)
+    ordered.mapInArrow(tidy(blocks), BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
+    return open_files(spark, path)
 
 
 def read(files: TokenFiles) -> DataFrame:

@@ -17,8 +17,8 @@ import numpy as np
 
 from . import textvec
 
-#: Cached words in a Python worker (about 50 bytes each); the cache is emptied when it is full.
-CACHE_WORDS = 800_000
+#: Bytes of cached words in a Python worker: hashes and places of a word take 32, an id 4; the cache is emptied when it is full.
+CACHE_BYTES = 40 << 20
 _encoders: dict = {}
 
 
@@ -149,7 +149,7 @@ class Encoder:
         _, first, which = np.unique(h, return_index=True, return_inverse=True)
         if not (check == check[first][which]).all():  # two words share half a hash: take all
             first, which = np.arange(len(starts)), np.arange(len(starts))
-        if len(self.keys) > CACHE_WORDS:
+        if 32 * len(self.keys) + 4 * self.used > CACHE_BYTES:
             self.forget()
         at = self._look_up(h[first], check[first])
         begin, size = np.empty(len(at), np.int64), np.empty(len(at), np.int64)

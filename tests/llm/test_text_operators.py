@@ -193,9 +193,35 @@ def test_token_files_round_trip(spark, encode):
     assert own.ids(own.n - 1)[-1] == 0
     with pytest.raises(ValueError):
         token_files.Block(bytes(block["payload"]), b"other")
+    again = token_files.open_files(spark, files.path)  # from the path alone
+    assert again.dictionary == files.dictionary and token_files.with_starts(again).count() == len(texts)
     assert token_files.with_starts(token_files.write(docs(spark, []))).count() == 0
 
 
+def test_every_block_has_a_dictionary(spark, encode):
+    """Trained where the sample allows, else the sample as it is, else the first ids."""
+    assert token_files.dictionary_of([], 2) == np.arange(256).astype("<u2").tobytes()
+    assert token_files.dictionary_of([b"abcdefgh"], 2) == b"abcdefgh"
+    rng = random.Random(4)
+    lines = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(60)) for _ in range(40)]
+    for texts, kind in (([], "ids"), ([None, ""], "ids"), (["only one text"], "raw"), (["very long " * 9000] * 3, "raw"), ([x * 9 for x in lines], "trained")):
+        files = token_files.write(docs(spark, list(enumerate(texts))))
+        trained = files.dictionary[:4] == bytes.fromhex("37a430ec")
+        assert files.dictionary and trained == (kind == "trained") and (len(files.dictionary) == 512) >= (kind == "ids")
+        got = [(r["doc_id"], r["n_tokens"]) for r in sorted(token_files.read(files).collect(), key=lambda r: r["doc_id"])]
+        assert got == [(i, len(encode(t)) + 1) for i, t in enumerate(texts)]
+
+
+def test_the_token_cache_is_bounded(monkeypatch, encode):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 2_000)
+    enc, rng = tokens.Encoder(tokens.tokenizer_path()), random.Random(6)
+    texts = [" ".join(f"w{rng.randint(0, 500)}" for _ in range(30)) for _ in range(60)]
+    for lo, hi, buf, offsets in textvec.parts(pa.array(texts), 400):
+        ids, at = enc.encode_part(buf, offsets)
+        assert 32 * len(enc.keys) + 4 * enc.used < 10_000
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(hi - lo)] == [encode(t) for t in texts[lo:hi]]
+
+
 def check_packing(rows, texts, encode, capacity):
     by_seq: dict = {}
     for r in rows:
