@@ -13,7 +13,7 @@ salted so that an expression shared by most URLs does not land in one task.
 
 Precedence: longest rule string; on equal length the longer host, then block
 before allow. Defined cases: NULL or ``://``-less URLs have empty host and path
-and match no rule with a host; repeated rows are all returned; an empty rule list or table
+and match no rule, as every rule has a host; repeated rows are all returned; an empty rule list or table
 works; only page_id and url are read, so clashing extra columns do not matter.
 """
 
@@ -69,7 +69,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
 
     host, path = parse(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    distinct = urls.groupBy("host", "path").agg(F.lit(1).alias("_"))
+    named = urls.filter("host <> ''")  # the others match no rule, and would meet under one key
+    distinct = named.groupBy("host", "path").agg(F.lit(1).alias("_"))
     parts = F.split("host", r"\.")
     suffixes = F.expr(
         f"transform(filter(array({', '.join(map(str, labels))}), n -> n <= size(_h)), n -> array_join(slice(_h, size(_h) - n + 1, n), '.'))"
@@ -93,9 +94,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         .groupBy("host", "path").agg(F.max(F.struct("rank", "rule")).alias("b"))
         .select("host", "path", F.col("b.rule").alias("rule"), F.col("b.rank.a").alias("action"))
     )
-    return urls.join(best, ["host", "path"], "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict")
-    )
+    judged = named.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", "action")
+    judged = judged.unionByName(urls.filter("host = ''"), allowMissingColumns=True)
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
 
 
 def query(spark, sf_dir):
