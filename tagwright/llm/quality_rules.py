@@ -1,7 +1,7 @@
 """Operator 3 - quality rules as a bitmask ledger.
 
-``ledger`` evaluates every rule once per document and stores the measurements
-and one ``failed_bits`` long (bit i set: rule i failed). A policy is a named,
+``ledger`` evaluates every rule once per document and gives the measurements
+and one ``failed_bits`` long (bit i set: rule i failed); ``store`` writes it. A policy is a named,
 versioned mask over those bits; ``apply_policy`` and ``ablations`` work on the
 stored bits alone, so trying another policy never touches the text again.
 
@@ -16,12 +16,13 @@ columns of the input are ignored, as only doc_id and text are read.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, words_of
+from .common import SPACE_CLASS, fresh_path, words_of
 
 
 @dataclass(frozen=True)
@@ -110,6 +111,14 @@ def ledger(docs: DataFrame, rules=RULES) -> DataFrame:
     return measures(docs).withColumn("failed_bits", failed_bits(rules))
 
 
+def store(docs: DataFrame, path: str | None = None, rules=RULES) -> DataFrame:
+    """The ledger, written to ``path`` (a fresh shared table if there is none) and read back from there."""
+    path = path or fresh_path(docs.sparkSession, "rule-ledger")
+    led = ledger(docs, rules)
+    led.write.parquet(path)
+    return docs.sparkSession.read.schema(led.schema).parquet(path)
+
+
 def apply_policy(ledger_df: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
     """Adds ``kept`` and ``policy`` to a ledger."""
     hit = F.col("failed_bits").bitwiseAND(F.lit(POLICIES[policy]).cast("long"))
@@ -142,7 +151,7 @@ def ablations(ledger_df: DataFrame, policy: str = DEFAULT_POLICY, rules=RULES) -
 def query(spark, sf_dir):
     from .common import table
 
-    led = apply_policy(ledger(table(spark, sf_dir, "documents")))
+    led = apply_policy(store(table(spark, sf_dir, "documents")))
     return led.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("failed_bits").bitwiseAND(F.lit(BASE_MASK).cast("long")) != 0).alias("base_failed"),
@@ -151,10 +160,11 @@ def query(spark, sf_dir):
 
 
 def ablation_query(spark, sf_dir):
-    """What each rule of the default policy rejects, alone and with others."""
+    """What each rule of every policy rejects, alone and with others, all from one stored ledger."""
     from .common import table
 
-    return ablations(ledger(table(spark, sf_dir, "documents")))
+    led = store(table(spark, sf_dir, "documents"))
+    return functools.reduce(DataFrame.unionByName, (ablations(led, p).withColumn("policy", F.lit(p)) for p in POLICIES))
 
 
 #: The measurements in DuckDB SQL, as a common table ``m`` over ``docs``.
@@ -184,9 +194,10 @@ ORACLE_SQL = f"""WITH {measures_sql('documents')}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        failed_bits = 0 AS kept, n_lines, failed_bits FROM q"""
 ABLATION_SQL = f"""WITH {measures_sql('documents')},
-r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('word_length', 8), ('duplicate_lines', 16))
-SELECT rule, count(CASE WHEN failed_bits & bit <> 0 THEN 1 END) AS n_failed, count(CASE WHEN failed_bits = bit THEN 1 END) AS n_failed_alone,
-       count(CASE WHEN failed_bits & (31 - bit) = 0 THEN 1 END) AS n_kept_without FROM q CROSS JOIN r GROUP BY rule"""
+r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('word_length', 8), ('duplicate_lines', 16)),
+p(policy, mask) AS (VALUES ('base-1', 3), ('strict-1', 31))
+SELECT policy, rule, count(CASE WHEN failed_bits & bit <> 0 THEN 1 END) AS n_failed, count(CASE WHEN failed_bits & mask = bit THEN 1 END) AS n_failed_alone,
+       count(CASE WHEN failed_bits & (mask - bit) = 0 THEN 1 END) AS n_kept_without FROM q, r, p WHERE mask & bit <> 0 GROUP BY policy, rule"""
 
 
 def kept_rows(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
