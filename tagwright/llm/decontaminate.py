@@ -39,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, words_of
+from .common import keep, table, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -159,7 +159,7 @@ def _leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD
     """doc_id, tk (hash of the text), item_id, start, n_words, similarity of every window that leaks an item."""
     items = _items(benchmark)
     found, small = windows_to_judge(docs, items, threshold)
-    found = materialize(found, "leak-windows")
+    found = keep(found)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
     bucket = F.pmod(F.col("tk"), F.lit(ID_BUCKETS)).alias("_b")
     coarse = keyed.withColumn("_b", bucket).join(F.broadcast(found.select(bucket).distinct()), "_b", "left_semi")
@@ -170,7 +170,7 @@ def _leaking(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD
         .select("doc_id", "tk", F.explode(F.expr(cut)).alias("a"))
         .select("doc_id", "tk", "a.start", "a.len", "a.ws", F.xxhash64("a.ws").alias("wk"), F.xxhash64(F.lit(1), "a.ws").alias("wk2"))
     )
-    windows = materialize(windows, "leak-texts")
+    windows = keep(windows)
     # equal windows of different documents are fingerprinted and verified once
     texts = windows.select("len", "wk", "wk2", "ws").dropDuplicates(["len", "wk", "wk2"])
     prints = fingerprints(texts, ["len", "wk", "wk2"])

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import materialize, slim_batches, table, tidy
+from .common import keep, materialize, slim_batches, table, tidy
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     """Per document: doc_id, class_id (the least doc_id of its group), exact_of (the least with the same words)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     idf = document_frequencies(docs)
-    sig = materialize(signatures(docs, idf, bands, rows), "signatures")
+    sig = keep(signatures(docs, idf, bands, rows))
     heaviest = F.first(F.struct("bands", "samples", "mass")).alias("s")  # equal for equal words
     classes = materialize(sig.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), heaviest).select("h1", "h2", "rep", "s.*"), "classes")
     nodes = classes.dropDuplicates(["rep"]).select("rep", "samples")

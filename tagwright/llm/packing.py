@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import materialize, slim_batches, table, tidy
+from .common import keep, slim_batches, table, tidy
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 1024
@@ -346,7 +346,7 @@ def place(found: DataFrame, bins: Solution) -> DataFrame:
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str = "byte_bpe_50k.json", with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
-    found = materialize(pieces(docs, capacity, end_id, tokenizer, with_ids), "pieces")
+    found = keep(pieces(docs, capacity, end_id, tokenizer, with_ids))
     counts = {int(r["length"]): r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     return place(found, search(docs.sparkSession, counts, capacity))
 

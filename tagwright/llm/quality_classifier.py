@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import materialize, slim_batches, table, tidy
+from .common import keep, slim_batches, table, tidy
 
 FOLDS, HELD_OUT = 4, 2
 LAMBDA, GAMMA = 0.2, 0.02
@@ -154,7 +154,7 @@ def scores(model: Discriminant, x: np.ndarray) -> np.ndarray:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs(doc_id, text)."""
-    found = materialize(features(docs), "quality-features")
+    found = keep(features(docs))
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter("quality IN (0, 1)")
     model = fit(found.filter(fold != HELD_OUT).join(known, "doc_id"))

@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import materialize, slim_batches, table, tidy
+from .common import keep, materialize, slim_batches, table, tidy
 
 SPAN = 50
 SEED = 12
@@ -166,7 +166,7 @@ def matches(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> tuple[DataFr
     if span - seed + 1 > 62:
         raise ValueError("windows of a block are bits of a long")
     keyed = _with_key(docs)
-    own = materialize(blocks(keyed, span, seed), "blocks")
+    own = keep(blocks(keyed, span, seed))
     place = F.struct("doc_id", "text_key", "start")
     index = materialize(
         own.groupBy("anchor", "content").agg(F.min(place).alias("p"), F.first("n_windows").alias("n_windows"), F.count("*").alias("n")),
@@ -179,7 +179,7 @@ def matches(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> tuple[DataFr
         .groupBy("doc_id", "text_key").agg(F.collect_list("s").alias("asked"))
     )  # at most the blocks of one document in a row
     texts = keyed.filter("doc_id IS NOT NULL")
-    windows = materialize(_window_hashes(texts.join(asked, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "asked"), span), "windows")
+    windows = keep(_window_hashes(texts.join(asked, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "asked"), span))
     first = windows.groupBy("anchor", "window").agg(F.min(F.struct("doc_id", (F.col("base") + F.col("at")).alias("start"))).alias("f"), F.max("doc_id").alias("last")).filter("f.doc_id < last")
     # written, so that the join below has an exchange on both sides and its hot windows can be split
     first = materialize(first.select("anchor", "window", F.col("f.doc_id").alias("ref_doc"), F.col("f.start").alias("ref_at")), "first-windows")
@@ -189,7 +189,7 @@ def matches(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> tuple[DataFr
         .groupBy("doc_id", "text_key", "base", "many", "ref_doc", (F.col("ref_at") - F.col("at")).alias("ref_start"))
         .agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
     )
-    edges = materialize(edges, "edges")
+    edges = keep(edges)
     # what was found at the first place of a block, at most the windows of one block in a row
     resolved = edges.filter("many").groupBy("doc_id", "text_key", "base").agg(F.collect_list(F.struct("mask", "ref_doc", "ref_start")).alias("inside"))
     shared = index.filter("n > 1").select("anchor", "content", F.col("p.doc_id").alias("first_doc"), F.col("p.text_key").alias("first_key"), F.col("p.start").alias("first_start"))
