@@ -7,13 +7,16 @@ the histogram of piece lengths (at most ``capacity`` counts, whatever the size
 of the corpus) and its solutions are *bin groups*, a fill pattern and how many
 bins have it.
 
-* Start: the best of best-fit decreasing, exact fits and least-slack fits over the histogram, and shuffled variants of it.
+* Start: best-fit decreasing, exact fits and least-slack fits over the histogram, and best fits in perturbed orders.
 * Crossover injects whole well-filled bin groups of one parent into another,
   removes the receiver's bins that would use a document twice, and best-fits the
   displaced documents into what is open.
+* Mutation empties the worst and some other bin groups and packs them anew, by least slack or by best fit in a perturbed order.
 * Islands are Spark tasks that evolve populations of their own; between epochs
-  each island's elite migrates to its neighbour. The search ends early when a
-  solution meets the lower bound ceil(total / capacity).
+  each island's elite migrates to its neighbour. The search ends when a
+  solution meets the lower bound ceil(total / capacity), or when an epoch has brought no island fewer bins.
+
+README shows what crossover, mutation and migration each contribute.
 
 The chosen solution is laid over the pieces by rank: a piece's rank within its
 length (its rank in its partition, plus the counts of the partitions before)
@@ -45,9 +48,11 @@ from .tokens import encoder, tokenizer_path
 CAPACITY = 1024
 END_ID = 2
 ISLANDS = 4
-EPOCHS = 2
-GENERATIONS = 5
-POPULATION = 4
+EPOCHS = 4
+GENERATIONS = 30
+POPULATION = 8
+#: Best solutions that an island takes along into its next epoch.
+PASSED_ON = 4
 
 #: A solution: [(lengths in descending order, number of such bins)].
 Solution = list[tuple[tuple[int, ...], int]]
@@ -195,42 +200,52 @@ def crossover(receiver: Solution, donor: Solution, counts: Counter, capacity: in
     return best_fit(Counter({k: v for k, v in left.items() if v > 0}), capacity, child)
 
 
+def perturbed_fit(counts: Counter, capacity: int, rng: random.Random, open_bins: Solution = ()) -> Solution:
+    return best_fit(counts, capacity, open_bins, sorted(counts, key=lambda x: -x * rng.uniform(0.9, 1.1)))
+
+
 def mutate(bins: Solution, capacity: int, rng: random.Random) -> Solution:
-    """Empties some of the least filled groups and packs them anew, in a perturbed order."""
+    """Empties the least filled groups and as many others, and packs them anew."""
     bins = sorted(bins, key=lambda b: -sum(b[0]))
     cut = max(1, len(bins) // rng.choice((4, 8, 16)))
-    loose: Counter = Counter()
-    for pattern, m in bins[-cut:]:
+    kept, loose = bins[:-cut], Counter()
+    others = set(rng.sample(range(len(kept)), min(len(kept), cut)))
+    for pattern, m in [*bins[-cut:], *(kept[i] for i in others)]:
         for length in pattern:
             loose[length] += m
-    for pattern, _ in rng.sample(bins[:-cut], min(len(bins) - cut, cut)):  # and some that are well filled
-        bins.remove((pattern, _))
-        for length in pattern:
-            loose[length] += _
-    kept = bins[: len(bins) - cut]
+    kept = [b for i, b in enumerate(kept) if i not in others]
     if rng.random() < 0.5:
         return merged([*kept, *slack_fit(loose, capacity)])
-    order = sorted(loose, key=lambda x: -x * rng.uniform(0.9, 1.1))
-    return best_fit(loose, capacity, kept, order)
+    return perturbed_fit(loose, capacity, rng, kept)
 
 
-def evolve(counts: Counter, capacity: int, elites: list[Solution], seed: int) -> Solution:
-    """One epoch of one island."""
+def evolve(counts: Counter, capacity: int, people: list[Solution], seed: int, crossing: bool = True, mutating: bool = True) -> list[Solution]:
+    """One epoch of one island: its population, best first."""
     rng = random.Random(seed)
     bound = -(-sum(k * v for k, v in counts.items()) // capacity)
-    people = [*elites]
-    while len(people) < POPULATION:
-        people.append(mutate(people[0], capacity, rng))
+    rank = lambda b: cost(b, capacity)
+    people = people[:POPULATION]
+    people += [perturbed_fit(counts, capacity, rng) for _ in range(POPULATION - len(people))]
     for _ in range(GENERATIONS):
-        people.sort(key=lambda b: cost(b, capacity))
-        if cost(people[0], capacity)[0] <= bound:
+        people.sort(key=rank)
+        if rank(people[0])[0] <= bound:
             break
-        a, b = rng.sample(people, 2)
-        child = crossover(a, b, counts, capacity, rng)
-        if rng.random() < 0.5:
+        better, worse = sorted(rng.sample(range(POPULATION), 2))
+        child = crossover(people[worse], people[better], counts, capacity, rng) if crossing else people[better]
+        if mutating and (not crossing or rng.random() < 0.5):
             child = mutate(child, capacity, rng)
-        people[-1] = min(people[-1], child, key=lambda s: cost(s, capacity))
-    return min(people, key=lambda s: cost(s, capacity))
+        if rank(child) < rank(people[-1]) and child not in people:
+            people[-1] = child
+    return sorted(people, key=rank)
+
+
+def starts(counts: Counter, capacity: int) -> list[Solution]:
+    return sorted((f(counts, capacity) for f in (best_fit, tight_fit, slack_fit)), key=lambda b: cost(b, capacity))
+
+
+def migrated(islands: list[list[Solution]]) -> list[list[Solution]]:
+    """Each island's own best, and in the last place that of its neighbour."""
+    return [[*own[: PASSED_ON - 1], islands[i - 1][0]] for i, own in enumerate(islands)]
 
 
 def search(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS) -> Solution:
@@ -240,30 +255,37 @@ def search(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY
     whole: Solution = [((capacity,), full)] if full else []
     if not rest:
         return whole
-    best = min((f(rest, capacity) for f in (best_fit, tight_fit, slack_fit)), key=lambda b: cost(b, capacity))
+    people = [starts(rest, capacity)] * islands
+    best = people[0][0]
     bound = -(-sum(k * v for k, v in rest.items()) // capacity)
-    elites = [best] * islands
     problem = json.dumps(sorted(rest.items()))
     for epoch in range(epochs):
         if cost(best, capacity)[0] <= bound:
             break
-        rows = [(i, json.dumps([elites[i], elites[i - 1]])) for i in range(islands)]
+        rows = [(i, json.dumps(own)) for i, own in enumerate(people)]
 
         def island(batches: Iterator[pa.RecordBatch], epoch=epoch) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = []
-                for i, text in zip(b.column("island").to_pylist(), b.column("elites").to_pylist(), strict=True):
-                    own = [[(tuple(p), m) for p, m in s] for s in json.loads(text)]
-                    out.append(json.dumps(evolve(Counter(dict(json.loads(problem))), capacity, own, 1000 * epoch + i)))
-                yield pa.RecordBatch.from_arrays([b.column("island"), pa.array(out, pa.string())], names=["island", "best"])
-
-        tasks = spark.createDataFrame(rows, "island int, elites string").repartition(islands, "island")
-        found = tasks.mapInArrow(tidy(island), "island int, best string").collect()  # one bounded solution per island
-        elites = [[(tuple(p), m) for p, m in json.loads(r["best"])] for r in sorted(found)]
-        best = min([best, *elites], key=lambda s: cost(s, capacity))
+                for i, text in zip(b.column("island").to_pylist(), b.column("people").to_pylist(), strict=True):
+                    found = evolve(Counter(dict(json.loads(problem))), capacity, _solutions(text), 1000 * epoch + i)
+                    out.append(json.dumps(found[:PASSED_ON]))
+                yield pa.RecordBatch.from_arrays([b.column("island"), pa.array(out, pa.string())], names=["island", "people"])
+
+        tasks = spark.createDataFrame(rows, "island int, people string").repartition(islands, "island")
+        found = sorted(tasks.mapInArrow(tidy(island), "island int, people string").collect())  # PASSED_ON bounded solutions per island
+        people = [_solutions(r["people"]) for r in found]
+        before, best = best, min([best, *(p[0] for p in people)], key=lambda s: cost(s, capacity))
+        if cost(best, capacity)[0] == cost(before, capacity)[0]:
+            break
+        people = migrated(people)
     return whole + best
 
 
+def _solutions(text: str) -> list[Solution]:
+    return [[(tuple(p), m) for p, m in s] for s in json.loads(text)]
+
+
 # --- documents to pieces, pieces to places --------------------------------------
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"

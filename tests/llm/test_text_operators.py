@@ -256,7 +256,7 @@ def test_search_keeps_every_document():
     rng = random.Random(4)
     counts = Counter(rng.randint(1, 99) for _ in range(3000))
     start = packing.best_fit(counts, 100)
-    for found in (start, packing.tight_fit(counts, 100), packing.slack_fit(counts, 100), packing.evolve(counts, 100, [start, packing.tight_fit(counts, 100)], 1), packing.mutate(start, 100, rng)):
+    for found in (start, packing.tight_fit(counts, 100), packing.slack_fit(counts, 100), *packing.evolve(counts, 100, [start, packing.tight_fit(counts, 100)], 1), packing.mutate(start, 100, rng)):
         total: Counter = Counter()
         for pattern, m in found:
             assert sum(pattern) <= 100 and m > 0
@@ -265,6 +265,38 @@ def test_search_keeps_every_document():
         assert total == counts
 
 
+def test_the_search_improves_on_its_starts():
+    """Triplets that fill a sequence exactly: each of crossover, mutation and migration works on what single fits leave open."""
+    from collections import Counter
+
+    rng = random.Random(2)
+    lengths = []
+    for _ in range(400):
+        a = rng.randint(300, 480)
+        b = rng.randint(250, 824 - a)
+        lengths += [a, b, 1024 - a - b]
+    counts = Counter(lengths)
+    cost = lambda b: packing.cost(b, 1024)[0]
+    start = packing.starts(counts, 1024)
+    best = cost(start[0])
+    crossed, mutated, both = (packing.evolve(counts, 1024, list(start), 3, **kw)[0] for kw in ({"mutating": False}, {"crossing": False}, {}))
+    assert cost(crossed) < best and cost(mutated) < best and 400 <= cost(both) < best
+    islands = [packing.evolve(counts, 1024, list(start), i) for i in range(3)]
+    moved = packing.migrated(islands)
+    assert [m[-1] for m in moved] == [islands[-1][0], islands[0][0], islands[1][0]] and all(m[0] == own[0] for m, own in zip(moved, islands, strict=True))
+
+
+def test_packing_edges(spark, encode):
+    """Repeated rows, NULL doc_ids, ties of length, and a text of many sequences."""
+    long = " ".join(f"w{i % 97}" for i in range(40_000))
+    rows = [(1, "same text"), (1, "same text"), (2, "same text"), (2, None), (3, "")]
+    got = packing.pack(docs(spark, [*rows, (None, "no id"), (None, "no id")]), capacity=64).collect()
+    assert len(got) == 7 and sorted(str(r["doc_id"]) for r in got) == ["1", "1", "2", "2", "3", "None", "None"]
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == 7
+    texts = [(9, long), *((20 + i, "tie") for i in range(50))]
+    check_packing(packing.pack(docs(spark, texts)).collect(), texts, encode, 1024)
+
+
 # --- 4 and 9: classifiers --------------------------------------------------------------------
 
 
