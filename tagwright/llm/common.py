@@ -57,7 +57,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept on the executors' disks; what a lost executor held is computed again.
 
-    For narrow results that are read twice, cheap to recompute in part, and have no long lineage behind them.
+    For small results of a narrow pass that are read twice; they stay for the session, as they are read lazily.
     """
     return df.persist(StorageLevel.DISK_ONLY)
 
