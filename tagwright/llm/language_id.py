@@ -185,6 +185,8 @@ def log_likelihood(vocab: Vocabulary, words: list[str], p: np.ndarray) -> np.nda
 def expected_counts(vocab: Vocabulary, words: list[str], weight: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over all segmentations of the weighted words, under p [piece]."""
     total = np.zeros(len(p))
+    with np.errstate(divide="ignore"):
+        log_p = np.log(p)
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         if w:
@@ -194,12 +196,13 @@ def expected_counts(vocab: Vocabulary, words: list[str], weight: np.ndarray, p:
         for i in range(0, len(own), step):
             at = own[i : i + step]
             edges = vocab.edges([words[x] for x in at])
-            (alpha, up), (beta, down) = ([x[:, :, 0] for x in f(edges, p[:, None])] for f in (forward, backward))
+            with np.errstate(divide="ignore"):  # a place that no segmentation reaches has the logarithm -inf
+                up, down = ((np.log(x) + scale)[:, :, 0] for x, scale in (f(edges, p[:, None]) for f in (forward, backward)))
+            up -= up[:, n:]
             for j in range(1, n + 1):
                 for k in range(1, min(edges.shape[2], j) + 1):
                     e = edges[:, j - 1, k - 1]
-                    share = np.exp(up[:, j - k] + down[:, j] - up[:, n]) / alpha[:, n]
-                    total += np.bincount(e, weight[at] * share * alpha[:, j - k] * beta[:, j] * p[e], len(total))
+                    total += np.bincount(e, weight[at] * np.exp(up[:, j - k] + down[:, j] + log_p[e]), len(total))
     total[vocab.none] = 0
     return total
 

@@ -130,6 +130,12 @@ def fit(rows: DataFrame, lam: float = LAMBDA, gamma: float = GAMMA) -> Discrimin
     sums = np.zeros((2, 1 + d + d * d))
     for r in rows.select("x", "quality").mapInArrow(tidy(run), "k int, at int, v double").groupBy("k", "at").agg(F.sum("v").alias("v")).collect():
         sums[r["k"], r["at"]] = r["v"]
+    return discriminant(sums, lam, gamma)
+
+
+def discriminant(sums: np.ndarray, lam: float = LAMBDA, gamma: float = GAMMA) -> Discriminant:
+    """From count, sum and sum of products of both classes."""
+    d = len(FEATURES)
     n = sums[:, 0]
     share = float(n[1] / n.sum()) if n.sum() else 0.5
     if n.min() < 2:

@@ -297,6 +297,29 @@ def test_packing_edges(spark, encode):
     check_packing(packing.pack(docs(spark, texts)).collect(), texts, encode, 1024)
 
 
+def test_secret_scan_is_linear_and_handles_empty_input(spark):
+    import time
+
+    for text in ("eyJ" * 300_000, "eyJ" * 100_000 + ".a.b", "eyJ." * 200_000, "token" * 200_000, "token = " * 100_000, "card " * 150_000, "AKIA" * 200_000, "0f" * 400_000, "iban AB12" * 80_000):
+        began = time.process_time()
+        secret_scan.scan(text)
+        assert time.process_time() - began < 15, text[:8]
+    assert secret_scan.find(docs(spark, [])).count() == 0
+    same = secret_scan.find(docs(spark, [(1, "token = abcdef12"), (1, "token = abcdef12"), (None, "token = abcdef12")])).collect()
+    assert len(same) == 3 and len({r["spans"] for r in same}) == 1
+
+
+def test_url_ties_and_hostless_urls(spark):
+    rules = [("example.com", "/a", "allow"), ("example.com", "/a", "block"), ("a.example.com", "/b", "allow"), ("example.com", "/b/cc", "block")]
+    pages = spark.createDataFrame([(1, "http://example.com/a"), (2, "http://a.example.com/b/cc"), (3, None), (4, "no scheme"), (5, "x:///a"), (6, "http://EXAMPLE.com?q"), (3, None)], "page_id long, url string")
+    got = sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.judge(pages, url_filters.rules_frame(spark, rules)).collect()), key=str)
+    assert got == [
+        (1, "example.com", "/a", "example.com/a", "block"),
+        (2, "a.example.com", "/b/cc", "example.com/b/cc", "block") if len("example.com/b/cc") > len("a.example.com/b") else (2, "a.example.com", "/b/cc", "a.example.com/b", "allow"),
+        (3, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "", "", None, "allow"), (5, "", "/a", None, "allow"), (6, "example.com", "", None, "allow"),
+    ]
+
+
 # --- 4 and 9: classifiers --------------------------------------------------------------------
 
 
@@ -333,6 +356,62 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(chain, np.log(brute("ab" * 12)))
 
 
+def segmentations(vocab, word):
+    """Every segmentation, as lists of piece ids."""
+    if not word:
+        return [[]]
+    out = []
+    for k in range(1, min(len(word), vocab.longest) + 1):
+        i = vocab.ids.get(word[:k], vocab.unknown if k == 1 else None)
+        if i is not None:
+            out += [[i, *rest] for rest in segmentations(vocab, word[k:])]
+    return out
+
+
+def test_learning_counts_every_segmentation():
+    vocab = language_id.Vocabulary.__new__(language_id.Vocabulary)
+    vocab.fill({"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4})
+    p = np.array([0.2, 0.3, 0.1, 0.25, 0.05, 0.01, 0.0])
+    words, weight = ["ab", "abba", "axb", "b", "ababab", "ab" * 8], np.array([1.0, 2, 3, 1, 5, 2])
+    want = np.zeros(7)
+    for w, n in zip(words, weight, strict=True):
+        ways = segmentations(vocab, w)
+        chance = np.array([np.prod(p[way]) for way in ways])
+        for way, c in zip(ways, chance / chance.sum(), strict=True):
+            np.add.at(want, way, n * c)
+    assert np.allclose(language_id.expected_counts(vocab, words, weight, p), want)
+
+
+def test_words_of_any_length_and_rarity():
+    """Rescaling at every length: neither long words nor tiny probabilities underflow, in scoring or in learning."""
+    vocab = language_id.vocabulary("piece_bpe_32k.model")
+    p = np.full((vocab.none + 1, 2), 1e-9)
+    p[vocab.none] = 0
+    words = ["▁" + "ⵣ" * n for n in (1, 15, 16, 40, 44, 47, 48, 49, 200, 3000)]
+    got = language_id.log_likelihood(vocab, words, p)
+    assert np.isfinite(got).all()
+    alone = [len(language_id._codes([w])[0]) for w in words]  # one segmentation: sign by sign
+    assert np.allclose(got[:, 0], np.log(1e-9) * np.array(alone))
+    counts = language_id.expected_counts(vocab, words, np.ones(len(words)), p[:, 0])
+    assert np.isclose(counts[vocab.unknown] + counts[vocab.ids["▁"]], sum(alone))
+    long = language_id.expected_counts(vocab, ["▁" + "house" * 400], np.ones(1), p[:, 0])
+    assert np.isfinite(long).all() and long.sum() > 400
+
+
+def test_language_scores_are_numbers(spark):
+    rng = random.Random(8)
+    rows = docs(spark, [(i, " ".join(rng.choice(["house", "garden", "town"]) for _ in range(3000))) for i in range(30)], "en")
+    rows = rows.unionByName(docs(spark, [(100 + i, " ".join(rng.choice(["haus", "garten", "stadt"]) for _ in range(3000))) for i in range(30)], "de"))
+    model = language_id.fit(rows.select("doc_id", "text", "lang"))
+    asked = docs(spark, [(1, "ⵣ" * 44), (2, "ⵣ" * 47 + " house"), (3, "haus " * 60_000), (4, "haus house"), (4, "haus house")])
+    got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in language_id.predict(asked, model).collect()]
+    assert all(0 <= s <= 1 for *_, s in got) and len(got) == 5
+    by = {i: (lang, s) for i, lang, s in got}
+    assert by[3][0] == "de" and by[3][1] > by[4][1] >= 0.5  # doubtful texts have lower scores
+    assert by[1][0] == "de" and by[1][1] == 0.5 or by[1][0] in ("de", "en")
+    assert language_id.predict(docs(spark, []), model).count() == 0
+
+
 def test_language_query_cases(spark):
     texts = [(i, "the house and the garden of the town") for i in range(20)]
     rows = docs(spark, texts, "en").unionByName(docs(spark, [(100 + i, "das Haus und der Garten der Stadt") for i in range(20)], "de"))
@@ -360,6 +439,51 @@ def test_quality_classifier(spark):
     assert [r["score"] for r in none] == [0.5]
 
 
+def test_discriminant_against_plain_linear_algebra():
+    rng = np.random.default_rng(3)
+    d = len(quality_classifier.FEATURES)
+    x = rng.normal(size=(400, d)) @ rng.normal(size=(d, d)) / 3
+    y = (x[:, 0] + rng.normal(size=400) > 0).astype(int)
+    sums = np.zeros((2, 1 + d + d * d))
+    for k in (0, 1):
+        own = x[y == k]
+        sums[k] = np.concatenate([[len(own)], own.sum(0), (own.T @ own).reshape(-1)])
+    got = quality_classifier.scores(quality_classifier.discriminant(sums, 0.2, 0.02), x)
+    pooled = sum((x[y == k] - x[y == k].mean(0)).T @ (x[y == k] - x[y == k].mean(0)) for k in (0, 1)) / 400
+    log = []
+    for k in (0, 1):
+        own = x[y == k]
+        centred = own - own.mean(0)
+        cov = 0.98 * (0.8 * centred.T @ centred / len(own) + 0.2 * pooled) + 0.02 * np.trace(pooled) / d * np.eye(d)
+        diff = x - own.mean(0)
+        far = np.einsum("ij,jk,ik->i", diff, np.linalg.inv(cov), diff)
+        log.append(np.log(len(own) / 400) - 0.5 * (far + np.linalg.slogdet(cov)[1]))
+    assert np.allclose(got, 1 / (1 + np.exp(log[0] - log[1])), atol=1e-6)
+    assert ((got > 0.5) == y).mean() > 0.7
+
+
+def test_statistics_against_plain_python():
+    texts = ["", "Aa bb, aa 12!\nAa bb, aa 12!\n\nx # y", "éé éé éé", "one", "w " * 500]
+    for lo, hi, buf, offsets in textvec.parts(pa.array(texts)):
+        got = quality_classifier.statistics(buf, offsets)
+        for t, row in zip(texts[lo:hi], got, strict=True):
+            raw, ws = t.encode(), t.encode().split()
+            share = lambda members: (sum(c in members for c in raw) / max(len(raw), 1)) ** 0.5
+            again = lambda things: ((len(things) - len(set(things))) / max(len(things), 1)) ** 0.5
+            lengths = np.log1p([len(w) for w in ws]) if ws else np.zeros(1)
+            lines = [x for x in raw.split(b"\n") if x]
+            want = [*(share(m) for m in quality_classifier._CLASSES.values()), np.log1p(len(ws)), lengths.mean(), lengths.std(), again(ws), again(list(zip(ws, ws[1:], ws[2:]))), again(lines)]
+            assert np.allclose(row, want, atol=1e-7), t
+
+
+def test_quality_edges(spark):
+    rows = docs(spark, [(1, "a b"), (1, "a b"), (2, "word " * 50_000), (3, None), (None, None)])
+    clash = spark.createDataFrame([(1, 1, "t", 0), (2, 0, "t", 1)], "doc_id long, quality int, text string, toxic int")
+    got = [(r["doc_id"], r["score"]) for r in quality_classifier.classify(rows, clash).collect()]
+    assert len(got) == 5 and all(0 <= s <= 1 for _, s in got)
+    assert quality_classifier.classify(docs(spark, []), clash).count() == 0
+
+
 def test_written_tables_can_be_dropped(spark):
     from tagwright.llm.common import drop_tables, materialize
 
