@@ -1,7 +1,11 @@
 """The operators over pairs of documents, against brute force."""
 
 import collections
+import itertools
+import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tagwright.llm import decontaminate, minhash_dedup, substring_dedup, textvec
 
-from .test_text_operators import docs
+from .test_text_operators import docs, encode  # noqa: F401 - a fixture
 
 
 def words(rng, n, size=4000):
@@ -339,3 +343,108 @@ def test_pipeline(spark, tmp_path):
     assert [set(s) for s in seen] == [everything - {21}, everything - {20, 21}, everything - {20, 21, 22}, everything - {20, 21, 22}]
     assert seen[3][23].endswith("[SECRET]") and seen[2][23].endswith("token = abcdef123456")
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == everything - {20, 21, 22}
+
+
+def plain_quality(text):
+    """The strict policy, rule by rule."""
+    ws = (text or "").split()
+    grams = collections.Counter(zip(ws, ws[1:], ws[2:]))
+    inside = {j for i in range(len(ws) - 2) if grams[tuple(ws[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\v\f\r")]
+    chars = sum(map(len, ws))
+    failed = len(ws) < 50 or 100 * len(inside) > 50 * len(ws) or 2 * sum(c in "#*$%&|<>" for c in text or "") > 3 * len(ws)
+    return not (failed or chars < 2 * len(ws) or chars > 30 * len(ws) or 10 * (len(lines) - len(set(lines))) > 4 * len(lines))
+
+
+def plain_near_dedup(rows):
+    """Keeps the least doc_id of each component of pairs with a weighted Jaccard similarity of 0.8 or more."""
+    df = collections.Counter(w for _, t in rows for w in set(t.split()))
+    idf = {w: 1 + math.log((1 + len(rows)) / (1 + n)) / math.log(1 + len(rows)) for w, n in df.items()}
+    bags = {}
+    for d, t in rows:
+        ws = t.split()
+        grams = collections.Counter(tuple(ws[i : i + 5]) for i in range(max(len(ws) - 4, 1)))
+        bags[d] = {g: (1 + math.log(c)) * sum(idf[w] for w in g) / len(g) for g, c in grams.items()}
+    first = {d: d for d, _ in rows}
+
+    def root(x):
+        return x if first[x] == x else root(first[x])
+
+    for a, b in itertools.combinations(sorted(bags), 2):
+        x, y = bags[a], bags[b]
+        both = sum(min(x[g], y[g]) for g in x.keys() & y.keys())
+        if both >= 0.8 * (sum(x.values()) + sum(y.values()) - both):
+            first[max(root(a), root(b))] = min(root(a), root(b))
+    return [(d, t) for d, t in rows if root(d) == d]
+
+
+def plain_leaks(text, item):
+    ws, own = text.lower().split(), item.lower().split()
+    return len(own) >= 5 and any(similarity(ws[s : s + len(own)], own) >= 0.8 for s in range(max(len(ws) - len(own), 0) + 1))
+
+
+def test_pipeline_against_plain_python(spark, tmp_path, encode):  # noqa: F811
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    bench = [words(rng, rng.randint(12, 40), 10**5) for _ in range(6)]
+    texts = []
+    for _ in range(45):
+        base = words(rng, rng.randint(55, 160), 10**5)
+        texts.append(base)
+        if rng.random() < 0.4:
+            texts += [list(base), edited(rng, base, 0.01), edited(rng, base, 0.2)]
+        if rng.random() < 0.3:
+            texts.append(words(rng, 40, 10**5) + edited(rng, rng.choice(bench), 0.01) + words(rng, 40, 10**5))
+        if rng.random() < 0.2:
+            texts.append(words(rng, 60, 10**5) + ["password:", f"hunter{rng.randint(10**5, 10**6)}", "AKIA" + "ABCD1234" * 2])
+    texts += [["same", "three", "words"] * 30, ["x"] * 70, ["ab#$%&*<>|"] * 3 + words(rng, 60, 10**5), words(rng, 3), words(rng, 30_000, 10**5)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(5000, None), (5001, ""), (5002, "line one two\n" * 40)]
+    made = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    made.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = [[(d, t) for d, t in rows if plain_quality(t)]]
+    want.append(plain_near_dedup(want[-1]))
+    want.append([(d, t) for d, t in want[-1] if not any(plain_leaks(t, " ".join(b)) for b in bench)])
+    hidden = lambda t: re.sub(r"AKIA[A-Z0-9]{16,}", "[SECRET]", re.sub(r"password: hunter\d+", "[SECRET]", t))
+    want.append([(d, hidden(t)) for d, t in want[-1]])
+    assert len(rows) > len(want[0]) > len(want[1]) > len(want[2]) > 20 and want[2] != want[3]
+    at = made
+    for (name, stage), expected in zip(corpus_pipeline.STAGES, [*want, None], strict=True):
+        at = stage(spark, at, str(tmp_path))
+        if expected is not None:
+            assert sorted((r["doc_id"], r["text"]) for r in at.collect()) == sorted(expected), name
+    pieces = collections.defaultdict(list)
+    places = collections.defaultdict(list)
+    for r in at.collect():
+        pieces[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"]))
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(pieces) == {d for d, _ in want[3]}
+    for d, t in want[3]:
+        ids, to = [*encode(t), 2], 0
+        for start, length, crc in sorted(pieces[d]):
+            assert start == to and zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes()) == crc
+            to += length
+        assert to == len(ids)
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 1024
+
+
+def test_pipeline_stages_on_empty_and_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, label long, word string"  # clashing names among them
+    spark.createDataFrame([(0, "one two three four five six"), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = " ".join(f"w{i}" for i in range(120_000))
+    good = " ".join(f"v{i}" for i in range(80))
+    odd = [(None, good, None, None, None, None, None), (1, good, "en", "s", 1, 2, "x"), (1, good, "en", "s", 1, 2, "x"), (2, long, "en", None, 1, 2, "x"), (3, None, "en", "s", 1, 2, "x"), (4, good + " more", "en", "s", 1, 2, "x")]
+    for rows, left in (([], []), (odd, [1, 2, None])):
+        at = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, str(tmp_path))
+            assert at.columns == spark.createDataFrame([], schema).columns, name
+        assert sorted((r["doc_id"] for r in at.collect()), key=str) == left
+        packed = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path))
+        assert {r["doc_id"] for r in packed.collect()} == set(left)
