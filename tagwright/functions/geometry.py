@@ -11,6 +11,7 @@ TOKENS_HIGH, TOKENS_STANDARD, PIXELS_PER_TOKEN = 4784, 1600, 750
 TILE_OVERLAP, BAND_PAD, LEAST_BAND = 0.14, 0.015, 0.01
 FALLBACK_TILE_PX, FALLBACK_OVERLAP, FALLBACK_MAX_TILES = 2200, 0.12, 9
 MOST_SPANS = 25
+RECOGNISER_OVERLAP, RECOGNISER_SPANS = 0.15, 41
 
 
 def clamp(v: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -59,6 +60,24 @@ def image_tokens(width: Column, height: Column, max_edge: Column) -> Column:
     return F.floor(F.least(most.cast("double"), width * scale * (height * scale) / PIXELS_PER_TOKEN)).cast("int")
 
 
+def recogniser_spans(length: Column, budget: Column, overlap: float = RECOGNISER_OVERLAP) -> Column:
+    """array<struct<lo,hi>>: the tiles that text recognition sees along an axis; like ``spans``, but rounded half up and up to RECOGNISER_SPANS."""
+    n = F.coalesce(F.get(F.filter(F.sequence(F.lit(2), F.lit(RECOGNISER_SPANS)), lambda k: length / (k - (k - 1) * overlap) <= budget), F.lit(0)), F.lit(RECOGNISER_SPANS))
+    span = length / (n - (n - 1) * overlap)
+    step = (length - span) / (n - 1)
+    near = lambda v: F.floor(v + 0.5).cast("int")
+    cut = lambda i: F.struct(near(i * step).alias("lo"), F.least(length.cast("int"), near(i * step) + near(span)).alias("hi"))
+    whole = F.array(F.struct(F.lit(0).alias("lo"), length.cast("int").alias("hi")))
+    return F.when((budget <= 0) | (length <= budget), whole).otherwise(F.transform(F.sequence(F.lit(0), n - 1), cut))
+
+
+def recogniser_tiles(width: Column, height: Column, budget: Column) -> Column:
+    """array<struct<x0,y0,x1,y1>> of pixels, row by row."""
+    cols, rows = recogniser_spans(width, budget), recogniser_spans(height, budget)
+    tile = lambda r, c: F.struct(c["lo"].alias("x0"), r["lo"].alias("y0"), c["hi"].alias("x1"), r["hi"].alias("y1"))
+    return F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: tile(r, c))))
+
+
 def spans(length: Column, budget: Column, overlap: float = TILE_OVERLAP) -> Column:
     """array<struct<lo,hi>>: the fewest overlapping spans of at most ``budget`` that cover ``length``."""
     fits = lambda n: length / (n - (n - 1) * overlap) <= budget

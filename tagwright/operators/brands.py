@@ -26,7 +26,8 @@ def catalogue(rows: DataFrame, texts: list[Column], tokens=brand_tokens) -> Data
 def token_idf(index: DataFrame) -> DataFrame:
     """(token, df, idf) with idf = ln(rows / df)."""
     df = index.select(F.explode("key_tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    return df.select("token", "df", F.log(F.lit(float(index.count())) / F.col("df")).alias("idf"))
+    rows = index.agg(F.count("*").cast("double")).scalar()  # a subquery of the plan: no job while it is made
+    return df.select("token", "df", F.log(rows / F.col("df")).alias("idf"))
 
 
 def postings(index: DataFrame, row_id: str) -> DataFrame:
@@ -109,3 +110,11 @@ def enrich(rows: DataFrame, ordinal: str, verdicts: DataFrame, post: DataFrame,
         .withColumn("brand_match", F.coalesce("how", F.lit("none")))
         .drop("_key", "parts", "how")
     )
+
+
+def match_counts(enriched: DataFrame) -> DataFrame:
+    """One row: rows whose brand comes from a review, from the index, or from neither."""
+    none = (F.col("brand_match") == "none") | F.col("brand_match").startswith("reviewed:none")
+    reviewed = ~none & F.col("brand_match").startswith("reviewed")
+    n = lambda c: F.count(F.when(c, 1))
+    return enriched.agg(n(reviewed).alias("reviewed"), n(~none & ~reviewed).alias("auto"), n(none).alias("none"))

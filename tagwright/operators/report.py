@@ -13,6 +13,12 @@ from tagwright.functions.names import folder_of
 from tagwright.operators.referee import referee, referee_reasons
 
 
+REVIEW_COLUMNS = (
+    "row_id", "wine_name", "producer", "wine_type", "vintage", "price", "currency", "volume_ml", "price_per_litre", "pairing_confidence",
+    "price_check", "unit_price_check", "review_reasons", "raw_tag_text", "shelf", "bottle_bbox", "tag_bbox",
+)
+
+
 def price_index(df: DataFrame, keys: list[str], photo: str, price: str, flag: Column, label: str) -> DataFrame:
     """Per key: photos (distinct), rows, priced, flagged, exact median of the prices, sorted distinct labels of priced rows."""
     return df.groupBy(*keys).agg(
@@ -96,11 +102,21 @@ def review_html(rows: DataFrame) -> DataFrame:
     """(photo, section) in photo order: an HTML section with one line per row, flagged ones marked."""
     cell = lambda c: F.concat(F.lit("<td>"), escape_html(F.col(c)), F.lit("</td>"))
     kind = F.when(F.col("needs_review") == "yes", "flag").otherwise("ok")
-    line = F.concat(F.lit('<tr class="'), kind, F.lit('">'), *[cell(c) for c in ("row_id", "wine_name", "vintage", "price", "currency", "volume_ml", "review_reasons")], F.lit("</tr>"))
+    shown = [c for c in REVIEW_COLUMNS if c in rows.columns]
+    line = F.concat(F.lit('<tr class="'), kind, F.lit('">'), *[cell(c) for c in shown], F.lit("</tr>"))
     name = F.coalesce(some(F.btrim("photo")), F.lit("(unknown photo)"))
     got = rows.select(name.alias("photo"), F.struct("row_id", line.alias("h")).alias("r")).groupBy("photo").agg(F.array_sort(F.collect_list("r")).alias("rs"))
     body = F.array_join(F.transform("rs", lambda x: x["h"]), "\n")
-    return got.select("photo", F.concat(F.lit("<section><h2>"), escape_html(F.col("photo")), F.lit("</h2><table>\n"), body, F.lit("\n</table></section>")).alias("section")).orderBy("photo")
+    count = F.concat(F.lit(" - "), F.size("rs").cast("string"), F.lit(" row(s)"))
+    return got.select("photo", F.concat(F.lit("<section><h2>"), escape_html(F.col("photo")), count, F.lit("</h2><table>\n"), body, F.lit("\n</table></section>")).alias("section")).orderBy("photo")
+
+
+def review_counts(rows: DataFrame) -> DataFrame:
+    """One row: rows, those with a price, flagged ones, those with a box to crop, and photos."""
+    n = lambda c: F.count(F.when(c, 1))
+    boxed = some(F.col("bottle_bbox")).isNotNull() | some(F.col("tag_bbox")).isNotNull()
+    photo = F.coalesce(some(F.btrim("photo")), F.lit("(unknown photo)"))
+    return rows.agg(F.count("*").alias("n_rows"), n(F.col("price").isNotNull()).alias("priced"), n(F.col("needs_review") == "yes").alias("flagged"), n(boxed).alias("boxed"), F.countDistinct(photo).alias("photos"))
 
 
 def most_common(df: DataFrame, column: str, limit: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tagwright.functions.names import fold_truth
 
 PRICE_WINDOW, VOLUME_WINDOW = 0.005, 1.0
+BLOCK = 1 << 14  # cents of a block in which runs are found by one task
 RUNS = 256  # runs of prices that one Python call assigns; they share no candidates
 
 
@@ -40,18 +41,33 @@ def _assign(pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["truth_no", "row_no", "name_ok", "volume_ok"])
 
 
+def price_runs(prices: DataFrame) -> DataFrame:
+    """(price, _g): prices whose cents follow each other without a gap are in one group, RUNS such runs at most in each.
+
+    Prices two cents apart have no candidate in common. Runs are found inside blocks of cents, each a task of its own; only one row
+    per block is looked at together, to join runs that go over a block's end.
+    """
+    cents = prices.select(F.round(F.col("price") * 100).cast("long").alias("c")).distinct().withColumn("b", F.floor(F.col("c") / BLOCK))
+    w = Window.partitionBy("b").orderBy("c")
+    own = cents.withColumn("n", F.sum(F.coalesce(F.col("c") - F.lag("c").over(w) > 1, F.lit(False)).cast("long")).over(w))
+    blocks = own.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), (F.max("n") + 1).alias("runs"))
+    before = Window.orderBy("b")
+    goes_on = F.coalesce(F.col("lo") - F.lag("hi").over(before) <= 1, F.lit(False)).cast("long")
+    blocks = blocks.withColumn("on", goes_on)
+    base = F.coalesce(F.sum("runs").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("on").over(before)
+    run = own.join(blocks.select("b", base.alias("base")), "b").select("c", F.floor((F.col("base") + F.col("n")) / RUNS).alias("_g"))
+    return prices.withColumn("c", F.round(F.col("price") * 100).cast("long")).join(run, "c").select("price", "_g")
+
+
 def verify(truth: DataFrame, rows: DataFrame, group: str | None = None) -> DataFrame:
     """Per truth row: truth_no, row_no (NULL if not found), name_ok (NULL if no token), volume_ok.
 
     The greedy part depends on order and runs per price group: truths whose
-    prices lie far apart never compete, so groups are runs of overlapping windows.
+    prices lie far apart never compete, so groups are runs of neighbouring cents.
     """
     pairs = candidates(truth, rows)
-    if group is None:  # distinct truth prices are few and small; the window sees only those
-        prices = truth.select("price").distinct()
-        apart = F.coalesce(F.col("price") - F.lag("price").over(Window.orderBy("price")) > 2 * PRICE_WINDOW + 1e-9, F.lit(True))
-        runs = prices.withColumn("_new", apart.cast("int")).withColumn("_g", F.sum("_new").over(Window.orderBy("price")))
-        t = truth.join(runs.select("price", F.floor(F.col("_g") / RUNS).alias("_g")), "price").select("truth_no", "_g")
+    if group is None:
+        t = truth.join(price_runs(truth.select("price").distinct()), "price").select("truth_no", "_g")
     else:
         t = truth.select("truth_no", F.col(group).alias("_g"))
     matched = pairs.join(t, "truth_no").groupBy("_g").applyInPandas(lambda p: _assign(p), "truth_no long, row_no long, name_ok boolean, volume_ok boolean")

@@ -91,5 +91,32 @@ def prompt(fixed: str, *parts: Column) -> Column:
     return F.array_join(F.array_compact(F.array(F.lit(fixed), *parts)), "\n")
 
 
+def _line(text: str, value: Column) -> Column:
+    """``text`` with the value at its {}; NULL, which is left out, without a value."""
+    before, after = text.split("{}")
+    shown = F.when(value != "", value)
+    return F.concat(F.lit(before), shown, F.lit(after))
+
+
+def layout_prompt(photo: Column, store: Column, taken_at: Column) -> Column:
+    """Asks for a plan of a whole photo: which bands of shelves it shows."""
+    return prompt("Find the shelves on this photo.", _line("Photo: {}", photo), _line("It was taken, we were told, at {}; report the name you see all the same.", store), _line("Taken: {}", taken_at))
+
+
+def region_prompt(photo: Column, region: Column, store: Column, currency: Column, taken_at: Column, tiled: Column, has_rail: Column) -> Column:
+    """Asks for the products of one region; tiles and regions without their rail of prices get a caution."""
+    return prompt(
+        "Read all products in this part of a photo.", _line("Part: {}", region), _line("Photo: {}", photo), _line("Shop: {}", store), _line("Unless a tag says otherwise prices are in {}.", currency), _line("Taken: {}", taken_at),
+        F.when(tiled, "Neighbouring parts overlap with this one: leave out what is cut off, unless both its name and its price can be read."),
+        F.when(~has_rail, "The prices of these products are outside this part: give none, and do not take one from another shelf."),
+    )
+
+
+def band_prompt(photo: Column, label: Column, store: Column, taken_at: Column, digest: Column, warnings: Column) -> Column:
+    """Asks for the products of one band, beside what was read on it before; its warnings close the text."""
+    notes = F.when(F.size(warnings) > 0, F.concat(F.lit("\nTo be wary of\n\n"), F.array_join(F.transform(warnings, lambda w: F.concat(F.lit("- "), w)), "\n")))
+    return prompt("Read all products on this shelf.", _line("Shelf: {}", label), _line("Photo: {}", photo), _line("Shop: {}", store), _line("Taken: {}", taken_at), F.concat(F.lit("\nText found on it\n\n"), F.coalesce(digest, F.lit(""))), notes)
+
+
 def pending_by(pending: DataFrame, column: str) -> DataFrame:
     return pending.groupBy(column).agg(F.count("*").alias("pending")).orderBy(F.col("pending").desc(), column)

@@ -210,7 +210,7 @@ def dropped_digit(spark, d):
 # --- identity and de-duplication ------------------------------------------------------
 
 
-@query("""WITH k AS (SELECT doc_id, lower(trim(source)) || '|' || trim(regexp_replace(regexp_replace(translate(lower(left(text, 20)), 'ăâîșțáéíóúüöäàèìòù', 'aaistaeiouuoaaeiou'), '[^\\pL\\pN\\pM_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) || '||' AS key, n_chars FROM documents),
+@query("""WITH k AS (SELECT doc_id, lower(trim(source)) || '|' || trim(regexp_replace(regexp_replace(translate(lower(coalesce(text, '')), 'ăâîșțáéíóúüöäàèìòù', 'aaistaeiouuoaaeiou'), '[^\\pL\\pN\\pM_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) || '||' AS key, n_chars FROM documents),
   r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n_chars DESC, doc_id) AS place, dense_rank() OVER (ORDER BY encode(key)) AS n,
         list_sort(list_distinct(list(n_chars) OVER (PARTITION BY key))) AS prices FROM k)
   SELECT doc_id, key, CASE WHEN place = 1 THEN 'W' || lpad(n::VARCHAR, 5, '0') ELSE 'W' || lpad(n::VARCHAR, 5, '0') || 'd' || (place - 1) END AS row_id,
@@ -254,18 +254,22 @@ def slugs_and_folders(spark, d):
 
 # --- brands: benchmark items as catalogue, documents as names ---------------------------
 
-_SQL_BRANDS = r"""WITH c AS (SELECT item_id AS row, list_distinct(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: upper(w)), lambda w: length(w) >= 3 AND NOT list_contains(['RED', 'IN', 'LA', 'DE'], w))) AS k FROM benchmark),
-  p AS (SELECT row, len(k) AS key_size, unnest(k) AS token FROM c), i AS (SELECT token, count(*) AS df, ln((SELECT count(*) FROM c)::DOUBLE / count(*)) AS idf FROM p GROUP BY 1)"""
 
 
-def _words(text):
-    """Plain capital words, so that engines agree; the stop list is cut to what the tables can hold."""
-    found = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0)), F.upper)
-    return F.filter(found, lambda w: (F.length(w) >= 3) & ~w.isin("RED", "IN", "LA", "DE"))
+def _sql_tokens(text: str) -> str:
+    """Brand tokens of a text, in order, in SQL."""
+    stop = ", ".join(f"'{w}'" for w in names.STOP_WORDS)
+    bare = rf"upper(strip_accents(replace(regexp_replace(coalesce({text}, ''), '\([^)]*\)', ' ', 'g'), 'ß', 'ss')))"
+    return rf"list_filter(regexp_extract_all({bare}, '[A-Z0-9]+'), lambda w: length(w) >= 2 AND NOT regexp_matches(w, '^[0-9]+[A-Z]*$') AND NOT list_contains([{stop}], w))"
+
+
+_SQL_BRANDS = f"""WITH c AS (SELECT item_id AS row, list_distinct({_sql_tokens('text')}) AS k FROM benchmark),
+  p AS (SELECT row, len(k) AS key_size, unnest(k) AS token FROM c), i AS (SELECT token, count(*) AS df, ln((SELECT count(*) FROM c WHERE len(k) > 0)::DOUBLE / count(*)) AS idf FROM p GROUP BY 1),
+  w AS (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest({_sql_tokens('text')}) AS token FROM documents) WHERE length(token) >= 3)"""
 
 
 def _index(spark, d):
-    return brands.catalogue(t(spark, d, "benchmark").select(F.col("item_id").alias("row"), "text", F.lit("").alias("label")), [F.col("text")], _words)
+    return brands.catalogue(t(spark, d, "benchmark").select(F.col("item_id").alias("row"), "text", F.lit("").alias("label")), [F.col("text")])
 
 
 @query(f"""{_SQL_BRANDS} SELECT token, df, round(idf, 9) AS idf FROM i""")
@@ -273,29 +277,32 @@ def token_idf(spark, d):
     return brands.token_idf(_index(spark, d)).select("token", "df", F.round("idf", 9).alias("idf"))
 
 
-@query(f"""{_SQL_BRANDS}, w AS (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, upper(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS token FROM documents) WHERE length(token) >= 3 AND token NOT IN ('RED', 'IN', 'LA', 'DE')),
-  s AS (SELECT doc_id, row, key_size, sum(idf) AS score FROM w JOIN p USING (token) JOIN i USING (token) WHERE idf >= 2.0 GROUP BY ALL),
+@query(f"""{_SQL_BRANDS},
+  s AS (SELECT doc_id, row, key_size, sum(idf) AS score FROM w JOIN p USING (token) JOIN i USING (token) WHERE idf >= 3.0 GROUP BY ALL),
   r AS (SELECT *, max(score) OVER (PARTITION BY doc_id) AS best FROM s), u AS (SELECT *, score >= best - 1e-9 AS tied FROM r),
   m AS (SELECT *, sum(tied::INT) OVER (PARTITION BY doc_id) AS ties, coalesce(max(CASE WHEN NOT tied THEN score END) OVER (PARTITION BY doc_id), 0) AS runner FROM u),
   f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY key_size, row) AS place FROM m WHERE tied)
   SELECT doc_id, row, round(best, 6) AS score, best >= 4.0 AND (ties > 1 OR best - runner >= 1.0) AS matched FROM f WHERE place = 1""")
 def brand_match(spark, d):
-    named = t(spark, d, "documents").select("doc_id", _words(F.col("text")).alias("tokens"))
-    got = brands.match(named, "doc_id", "tokens", brands.postings(_index(spark, d), "row"), anchor_idf=2.0)
+    named = t(spark, d, "documents").select("doc_id", names.brand_tokens(F.col("text")).alias("tokens"))
+    got = brands.match(named, "doc_id", "tokens", brands.postings(_index(spark, d), "row"))
     return got.select("doc_id", "row", F.round("score", 6).alias("score"), "matched")
 
 
-@query(f"""{_SQL_BRANDS}, w AS (SELECT DISTINCT doc_id, upper(left(word, 5)) AS word FROM (SELECT doc_id, unnest(regexp_extract_all(left(text, 200), '[A-Za-z]+')) AS word FROM documents) WHERE length(word) >= 5),
-  e AS (SELECT doc_id, word AS token, 1.0 AS w FROM w UNION ALL SELECT doc_id, token, 0.6 FROM w JOIN (SELECT DISTINCT token FROM p) q ON starts_with(token, word) AND token <> word),
-  g AS (SELECT doc_id, token, max(w) AS w FROM e GROUP BY ALL), s AS (SELECT doc_id, row, sum(idf * w) AS score FROM g JOIN p USING (token) JOIN i USING (token) GROUP BY ALL),
-  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, row) AS place FROM s) SELECT doc_id, row, round(score, 6) AS score, place FROM r WHERE place <= 3""")
+@query(f"""{_SQL_BRANDS},
+  q AS (SELECT DISTINCT token FROM p), grown AS (SELECT word, q.token FROM (SELECT DISTINCT token AS word FROM w WHERE length(token) >= 4) JOIN q ON starts_with(q.token, word) AND q.token <> word),
+  e AS (SELECT doc_id, token, 1.0::DOUBLE AS w FROM w UNION ALL SELECT doc_id, grown.token, 0.6 FROM w JOIN grown ON w.token = grown.word),
+  g AS (SELECT doc_id, token, max(w) AS w FROM e GROUP BY ALL),
+  s AS (SELECT doc_id, row, sum(idf * w) AS score, coalesce(list(token ORDER BY idf DESC, token) FILTER (WHERE w = 1.0), [])[1:4] AS shared FROM g JOIN p USING (token) JOIN i USING (token) GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, row) AS place FROM s) SELECT doc_id, row, round(score, 6) AS score, array_to_string(shared, ' ') AS shared, place FROM r WHERE place <= 3""")
 def brand_candidates(spark, d):
-    named = t(spark, d, "documents").select("doc_id", _words(F.col("text")).alias("tokens"))
+    named = t(spark, d, "documents").select("doc_id", names.brand_tokens(F.col("text")).alias("tokens"))
     index = _index(spark, d)
     post = brands.postings(index, "row").withColumn("idf", F.col("idf"))
     got = brands.candidates(named, "doc_id", "tokens", post, ["row"], index.select("row"), 40)
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "row"))
-    return got.select("doc_id", "row", F.round("score", 6).alias("score"), "shared").withColumn("place", place).filter("place <= 3")
+    got = got.select("doc_id", "row", F.round("score", 6).alias("score"), F.array_join("shared", " ").alias("shared"))
+    return got.withColumn("place", place).filter("place <= 3")
 
 
 # --- joins --------------------------------------------------------------------------
@@ -328,19 +335,18 @@ def point_in_box(spark, d):
     return shelves.points_in_boxes(points, boxes, "k", "c_acctbal", "y").select("c_custkey", "s_suppkey")
 
 
-@query("""WITH e AS (SELECT user_id, epoch_us(ts) / 1000000 AS lo, epoch_us(ts) / 1000000 + 20000 AS hi FROM events),
-  w AS (SELECT user_id, lo, max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM e)
-  SELECT user_id, b AS gap_lo, lo AS gap_hi FROM w WHERE lo - b >= 40000""")
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) / 1000000 AS lo, epoch_us(ts) / 1000000 + 20000 AS hi FROM events), u AS (SELECT DISTINCT user_id FROM events),
+  s AS (SELECT * FROM e UNION ALL SELECT user_id, 1.7e9::DOUBLE, 1.7e9::DOUBLE FROM u UNION ALL SELECT user_id, 1.9e9::DOUBLE, 1.9e9::DOUBLE FROM u),
+  w AS (SELECT user_id, lo, max(hi) OVER (PARTITION BY user_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM s WHERE hi >= 1.7e9 AND lo <= 1.9e9)
+  SELECT user_id, greatest(b, 1.7e9) AS gap_lo, lo AS gap_hi FROM w WHERE lo - greatest(b, 1.7e9) >= 40000""")
 def coverage_gaps(spark, d):
     lo = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000
     spans = t(spark, d, "events").select("user_id", lo.alias("lo"), (lo + 20000).alias("hi"))
-    got = shelves.coverage_gaps(spans, "user_id", "lo", "hi", 40000.0, -1e18, -1e18)
-    return got.filter("gap_lo > -1e17")
+    return shelves.coverage_gaps(spans, "user_id", "lo", "hi", 40000.0, 1.7e9, 1.9e9)
 
 
-@query("""WITH t AS (SELECT o_orderkey AS truth_no, round(o_totalprice, 2) AS price FROM orders WHERE o_orderkey % 10 = 0),
-  one AS (SELECT * FROM t QUALIFY count(*) OVER (PARTITION BY price) = 1)
-  SELECT count(*)::BIGINT AS truths, count(*)::BIGINT AS found, count(*)::BIGINT AS name_checked, count(CASE WHEN truth_no % 20 = 0 THEN 1 END) AS name_correct, count(CASE WHEN truth_no % 30 = 0 THEN 1 END) AS volume_correct FROM one""")
+@query("""SELECT count(*)::BIGINT AS truths, count(*)::BIGINT AS found, count(*)::BIGINT AS name_checked, count(CASE WHEN o_orderkey % 20 = 0 THEN 1 END) AS name_correct,
+  count(CASE WHEN o_orderkey % 30 = 0 THEN 1 END) AS volume_correct FROM orders""")
 def verify_greedy(spark, d):
     every = t(spark, d, "orders").select(F.col("o_orderkey").alias("truth_no"), F.round("o_totalprice", 2).alias("price"))
     truth = every.withColumn("name_contains", F.lit("Castel ")).withColumn("volume_ml", F.lit(750.0))
@@ -390,11 +396,14 @@ def row_assembly(spark, d):
     return rows.select("job_id", "wine_name", "vintage", "currency", "volume_ml", "price_per_litre", "grape_varieties", "price_check", "ocr_price_check", "bottle_bbox")
 
 
-@query("""SELECT l_returnflag AS folder, count(DISTINCT l_orderkey) AS photos, count(*) AS n_rows FROM lineitem WHERE l_linenumber > 1 GROUP BY 1""")
+@query(f"""WITH l AS (SELECT l_returnflag AS folder, l_orderkey, l_extendedprice FROM lineitem WHERE l_linenumber > 1), u AS (SELECT DISTINCT o_orderstatus AS folder FROM orders)
+  SELECT folder, count(DISTINCT l_orderkey) AS photos, count(l_orderkey) AS n_rows, {R2.format('quantile_cont(l_extendedprice, 0.5)')} AS median_price, CASE WHEN count(l_orderkey) > 0 THEN 'RON' ELSE '' END AS currency
+  FROM l FULL JOIN u USING (folder) GROUP BY folder""")
 def folder_mirror(spark, d):
     rows = t(spark, d, "lineitem").select(
         F.concat("l_returnflag", F.lit("/"), F.col("l_orderkey").cast("string")).alias("photo"), F.col("l_extendedprice").alias("price"), F.lit("RON").alias("currency"), F.lit("").alias("needs_review"), F.when(F.col("l_linenumber") == 1, "W1").alias("duplicate_of"))
-    return report.folder_index(rows, rows.select("photo").limit(0)).select("folder", "photos", "n_rows")
+    unmatched = t(spark, d, "orders").select(F.concat("o_orderstatus", F.lit("/"), F.col("o_orderkey").cast("string")).alias("photo"))
+    return report.folder_index(rows, unmatched).select("folder", "photos", "n_rows", "median_price", "currency")
 
 
 @query("""SELECT key, arg_max(brand, o) AS brand, arg_max(confidence, o) AS confidence FROM (SELECT o_custkey::VARCHAR AS key, o_orderkey AS o,

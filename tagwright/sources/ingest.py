@@ -6,6 +6,8 @@ row or stays pending. Every reader takes any path Spark can read.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,8 +116,8 @@ def _typed(entry: Column, fields: dict[str, str]) -> Column:
     return F.struct(*[cast(k, kind) for k, kind in fields.items()])
 
 
-def parse_answers(raw: DataFrame, enums: bool = True) -> DataFrame:
-    """(job_id, raw) to (job_id, valid, wines, unreadable_tags, non_wine_present, notes).
+def parse_answers(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(job_id, raw) to (job_id, valid, wines, unreadable_tags, non_wine_present, notes) and the columns to keep.
 
     Schemas of JSON readers turn what is missing into NULL, so keys, kinds and
     closed lists are checked by hand; one fault makes the whole answer invalid.
@@ -133,7 +135,7 @@ def parse_answers(raw: DataFrame, enums: bool = True) -> DataFrame:
         "job_id", valid.alias("valid"),
         F.when(valid, F.transform("_wines", lambda e: _typed(e, schemas.WINE_FIELDS))).alias("wines"),
         F.when(valid, F.transform("_unreadable_tags", lambda e: _typed(e, schemas.TAG_FIELDS))).alias("unreadable_tags"),
-        F.when(valid, flag.cast("boolean")).alias("non_wine_present"), F.when(valid, F.get_json_object("_a", "$.notes")).alias("notes"),
+        F.when(valid, flag.cast("boolean")).alias("non_wine_present"), F.when(valid, F.get_json_object("_a", "$.notes")).alias("notes"), *keep,
     )
 
 
@@ -148,6 +150,13 @@ def pending(jobs: DataFrame, found: DataFrame) -> DataFrame:
     return jobs.join(found.filter("valid"), "job_id", "left_anti")
 
 
+def batch_results(items: DataFrame, results: DataFrame) -> DataFrame:
+    """Items (custom_id, ...) with their batch result (custom_id, kind, raw): what did not succeed has an error and no answer; unknown ids are left out."""
+    good = F.col("kind") == "succeeded"
+    got = results.select("custom_id", F.when(good, F.col("raw")).alias("raw"), F.when(~good, F.concat(F.lit("batch result: "), "kind")).alias("error"))
+    return items.join(got, "custom_id")
+
+
 def missing_errors(jobs: DataFrame, found: DataFrame) -> DataFrame:
     """An error row (photo, stage, detail) for each job without a valid answer."""
     detail = F.concat(F.lit("no usable answer for job "), "job_id", F.lit(" ("), F.coalesce("band_label", F.lit("")), F.lit(")"))
@@ -184,8 +193,15 @@ def verdicts(batches: DataFrame, picks: DataFrame) -> DataFrame:
 def truth(spark: SparkSession, path: str) -> DataFrame:
     """Hand-checked rows in file order; lines that begin with #, after blanks, are remarks; rows need a price."""
     text = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value"), F.monotonically_increasing_id().alias("truth_no"))
-    rows = text.filter(~F.ltrim("value").startswith("#") & (F.btrim("value") != "") & ~F.col("value").startswith("photo,"))
-    row = rows.select("truth_no", F.from_csv("value", schemas.TRUTH).alias("r")).select("truth_no", "r.*")
+    rows = text.filter(~F.ltrim("value").startswith("#") & (F.btrim("value") != ""))
+    # the header names the columns; each file's first row is one, and its columns may stand in any order
+    head = rows.agg(F.min_by("value", "truth_no").alias("h")).first()["h"]
+    if head is None:
+        return spark.createDataFrame([], "truth_no long, photo string, rail string, position string, currency string, name_contains string, notes string, price double, volume_ml double")
+    given = [c.strip() for c in next(csv.reader([head]))]
+    fields = ", ".join(f"`{c}` STRING" for c in given)
+    row = rows.filter(F.col("value") != head).select("truth_no", F.from_csv("value", F.lit(fields)).alias("r")).select("truth_no", "r.*")
+    row = row.withColumns({c: F.lit(None).cast("string") for c in ("photo", "rail", "position", "currency", "name_contains", "notes", "price", "volume_ml") if c not in given})
     number = lambda c: F.btrim(c).try_cast("double")
     trimmed = [F.btrim(F.coalesce(c, F.lit(""))).alias(c) for c in ("photo", "rail", "position", "currency", "name_contains", "notes")]
     return row.select("truth_no", *trimmed, number("price").alias("price"), number("volume_ml").alias("volume_ml")).filter("price IS NOT NULL")
