@@ -97,9 +97,10 @@ def _by_blocks(df: DataFrame, fp: str) -> DataFrame:
 
 def block_entries(items: DataFrame) -> DataFrame:
     """items(item_fp, ...) under every (block, value) that differs from theirs in at most NEAR bits."""
-    flips = items.sparkSession.range(1 << max(BLOCKS), numPartitions=1).filter(F.bit_count("id") <= NEAR).select(F.col("id").alias("flip"))
-    near = _by_blocks(items, "item_fp").join(F.broadcast(flips), F.col("flip") < F.expr("shiftleft(1L, bits)"))  # 92 rows
-    return near.withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("bits", "flip")
+    flips = [f for f in range(1 << max(BLOCKS)) if f.bit_count() <= NEAR]
+    near = F.expr(f"transform(filter(array({', '.join(f'{f}L' for f in flips)}), f -> f < shiftleft(1L, bits)), f -> value ^ f)")
+    rows = _by_blocks(items, "item_fp")
+    return rows.withColumn("_v", F.explode(near)).select(*items.columns, "block", F.col("_v").alias("value"))
 
 
 def within_radius(windows: DataFrame, items: DataFrame, small: bool = True) -> DataFrame:
