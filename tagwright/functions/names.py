@@ -14,21 +14,22 @@ KEY_MARKED, KEY_PLAIN = "ăâîșțĂÂÎȘȚáéíóúüöäàèìòù", "aaist
 BRAND_MARKED, BRAND_PLAIN = "ăâîșțĂÂÎȘȚáéíóúüöäàèìòùçñ", "aaistAAISTaeiouuoaaeioucn"
 # Words of a tag that name no brand.
 STOP_WORDS = (
-    "VIN VINUL VINURI WINE ALB ALBA ROSU ROSIE ROZE ROSE NEGRU WHITE RED SEC SECO DEMISEC DULCE DEMIDULCE DRY SWEET "
-    "DS DD SGR NRB CC PL ST STICLA BOTTLE BIB L ML CL LT LITRU LITRI LITRE LITER LITERS LEI BUC PRET PRETUL PET "
-    "DAMIGEANA DAMIGEAN SAU DE LA SI CU DIN PE AL A R S N VOL ALC GARANTIE AMBALAJ TVA "
-    "CABERNET SAUVIGNON BLANC MERLOT CHARDONNAY RIESLING PINOT NOIR GRIGIO GRIS SYRAH SHIRAZ MUSCAT OTTONEL FETEASCA "
-    "REGALA NEAGRA TAMAIOASA ROMANEASCA BUSUIOACA BOHOTIN ALIGOTE TRAMINER SPUMANT CUPAJ BLEND ROSATO BIANCO ROSSO "
-    "VARIETAL SORT DOC DOCG CMD CMI CIB DOP IGP IGT AOC AOP VS VSO VSOC PGI PDO RESERVE REZERVA RISERVA SUPERIOR "
-    "SUPERIORE CLASSICO GRAND CRU SELECTION SELECTIE COLLECTION COLECTIA EDITION EDITIE PREMIUM "
-    "LABEL LINE ARTICLE ILIZIBIL ILIZIBILA ILLEGIBLE UNREADABLE PARTLY CREST OVAL CREM TEXT BAG BOX IN OUT ANI YEARS "
-    "UNICA MATURAT BARIC BARICURI BARRIQUE OAK STEJAR IMAGE PHOTO CROP TAG VISIBLE PARTIAL BLURRED BLUR PROMO REDUCERE OFERTA"
-).split()
+    "VIN", "VINUL", "VINURI", "WINE", "ALB", "ALBA", "ROSU", "ROSIE", "ROZE", "ROSE", "NEGRU", "WHITE", "RED", "SEC", "SECO", "DEMISEC", "DULCE",
+    "DEMIDULCE", "DRY", "SWEET", "DS", "DD", "SGR", "NRB", "CC", "PL", "ST", "STICLA", "BOTTLE", "BIB", "L", "ML", "CL", "LT", "LITRU", "LITRI",
+    "LITRE", "LITER", "LITERS", "LEI", "BUC", "PRET", "PRETUL", "PET", "DAMIGEANA", "DAMIGEAN", "SAU", "DE", "LA", "SI", "CU", "DIN", "PE", "AL", "A",
+    "R", "S", "N", "VOL", "ALC", "GARANTIE", "AMBALAJ", "TVA", "CABERNET", "SAUVIGNON", "BLANC", "MERLOT", "CHARDONNAY", "RIESLING", "PINOT", "NOIR",
+    "GRIGIO", "GRIS", "SYRAH", "SHIRAZ", "MUSCAT", "OTTONEL", "FETEASCA", "REGALA", "NEAGRA", "TAMAIOASA", "ROMANEASCA", "BUSUIOACA", "BOHOTIN",
+    "ALIGOTE", "TRAMINER", "SPUMANT", "CUPAJ", "BLEND", "ROSATO", "BIANCO", "ROSSO", "VARIETAL", "SORT", "DOC", "DOCG", "CMD", "CMI", "CIB", "DOP",
+    "IGP", "IGT", "AOC", "AOP", "VS", "VSO", "VSOC", "PGI", "PDO", "RESERVE", "REZERVA", "RISERVA", "SUPERIOR", "SUPERIORE", "CLASSICO", "GRAND",
+    "CRU", "SELECTION", "SELECTIE", "COLLECTION", "COLECTIA", "EDITION", "EDITIE", "PREMIUM", "LABEL", "LINE", "ARTICLE", "ILIZIBIL", "ILIZIBILA",
+    "ILLEGIBLE", "UNREADABLE", "PARTLY", "CREST", "OVAL", "CREM", "TEXT", "BAG", "BOX", "IN", "OUT", "ANI", "YEARS", "UNICA", "MATURAT", "BARIC",
+    "BARICURI", "BARRIQUE", "OAK", "STEJAR", "IMAGE", "PHOTO", "CROP", "TAG", "VISIBLE", "PARTIAL", "BLURRED", "BLUR", "PROMO", "REDUCERE", "OFERTA",
+)
 # Folder names that name no shop.
 GENERIC_FOLDERS = (
-    "photos photo pics pictures images img samples sample data input inputs wine wines shelf shelves new "
-    "unsorted misc tmp temp downloads camera dcim batch trip visit store stores out raw"
-).split()
+    "photos", "photo", "pics", "pictures", "images", "img", "samples", "sample", "data", "input", "inputs", "wine", "wines", "shelf", "shelves",
+    "new", "unsorted", "misc", "tmp", "temp", "downloads", "camera", "dcim", "batch", "trip", "visit", "store", "stores", "out", "raw",
+)
 
 
 def _folding() -> tuple[str, str]:

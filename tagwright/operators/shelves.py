@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -254,7 +255,8 @@ def bands(lines: DataFrame, least_conf: float = LEAST_CONFIDENCE, sizes: DataFra
     bands: photo, band, rail (NULL for a strip no rail claimed), x0..y1, index from the top. sizes (photo,
     width, height in pixels) cuts such strips into readable tiles; those without any line are left out.
     """
-    members = find_rails(price_tokens(lines, least_conf))
+    # claimed and chained in Python: kept, as bands, slots and lines all read them
+    members = find_rails(price_tokens(lines, least_conf)).persist(StorageLevel.DISK_ONLY)
     over = band_bounds(rail_extents(members))
     gaps = coverage_gaps(over, "photo", "y0", "y1", groups=lines)
     centres = lines.select("photo", ((F.col("x0") + F.col("x1")) / 2).alias("lx"), ((F.col("y0") + F.col("y1")) / 2).alias("ly"))

@@ -443,18 +443,6 @@ def boxes(spark, d):
     return t(spark, d, "part").select("p_partkey", geometry.format_bbox(box).alias("bbox"), F.round(geometry.x_overlap(s / 100.0, s / 80.0, F.lit(0.3), F.lit(0.6)), 6).alias("overlap"))
 
 
-@query(None)
-def shelf_bands(spark, d):
-    """Rails, bands and labels of synthetic pages: pages of 27 orders per customer, their prices in rows of nine."""
-    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    o = t(spark, d, "orders").withColumn("nth", nth).withColumns({"page": F.floor(F.col("nth") / 27), "line_id": F.col("nth") % 27})
-    x, y = 0.05 + 0.1 * (F.col("line_id") % 9), 0.2 + 0.25 * F.floor(F.col("line_id") / 9)
-    lines = o.select(F.concat_ws("-", F.col("o_custkey").cast("string"), F.when(F.col("page") > 0, F.col("page").cast("string"))).alias("photo"), F.col("line_id").cast("int").alias("line_id"), F.format_string("%.2f", F.pmod("o_totalprice", F.lit(1000)) + 1).alias("text"), F.lit(1.0).alias("conf"), x.alias("x0"), y.alias("y0"), (x + 0.04).alias("x1"), (y + 0.01).alias("y1"))
-    whole, slots, _ = shelves.bands(lines)
-    n = slots.groupBy("band").agg(F.count("*").alias("n_slots"))
-    return whole.join(n, "band", "left").select("photo", "index", "rail", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.round("y0", 6).alias("y0"), F.round("y1", 6).alias("y1"))
-
-
 # --- extensions: rollup, windows, approximate counts ---------------------------------------
 
 

@@ -22,11 +22,16 @@ TAG_FIELDS = {"raw_text": "string", "price": "double?", "currency": "string?", "
 WRAPPERS = ("result", "extraction", "output", "data")
 # Columns of the tables that are written, in their order.
 ROW_COLUMNS = (
-    "row_id store wine_name producer vintage wine_type sweetness price currency volume_ml price_per_litre price_kind original_price "
-    "discount_pct grape_varieties region country abv_percent promo_text unit_price_text needs_review review_reasons pairing_confidence "
-    "pairing_note brand_group brand_winery brand_label brand_match price_check unit_price_check ocr_price ocr_price_check name_source "
-    "photo photo_taken_at store_source store_read_from_photo shelf price_text raw_tag_text raw_label_text gps_lat gps_lon bottle_bbox "
-    "tag_bbox photo_sha256 model extracted_at duplicate_of"
-).split()
-NUMERIC_COLUMNS = "price price_per_litre original_price discount_pct volume_ml abv_percent gps_lat gps_lon ocr_price".split()
-UNMATCHED_COLUMNS = "store photo shelf raw_text price currency reason tag_bbox".split()
+    "row_id", "store", "wine_name", "producer", "vintage", "wine_type", "sweetness", "price", "currency", "volume_ml", "price_per_litre",
+    "price_kind", "original_price", "discount_pct", "grape_varieties", "region", "country", "abv_percent", "promo_text", "unit_price_text",
+    "needs_review", "review_reasons", "pairing_confidence", "pairing_note", "brand_group", "brand_winery", "brand_label", "brand_match",
+    "price_check", "unit_price_check", "ocr_price", "ocr_price_check", "name_source", "photo", "photo_taken_at", "store_source",
+    "store_read_from_photo", "shelf", "price_text", "raw_tag_text", "raw_label_text", "gps_lat", "gps_lon", "bottle_bbox", "tag_bbox", "photo_sha256",
+    "model", "extracted_at", "duplicate_of",
+)
+NUMERIC_COLUMNS = (
+    "price", "price_per_litre", "original_price", "discount_pct", "volume_ml", "abv_percent", "gps_lat", "gps_lon", "ocr_price",
+)
+UNMATCHED_COLUMNS = (
+    "store", "photo", "shelf", "raw_text", "price", "currency", "reason", "tag_bbox",
+)
