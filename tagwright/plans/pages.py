@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tagwright.functions import geometry, names
 from tagwright.operators import brands, report, score, shelves, workitems
-from tagwright.plans.catalog import query, t
-from tagwright.sources import ingest
+from tagwright.plans.catalog import _sql_tokens, query, t
+from tagwright.sources import ingest, sinks
+from tagwright.sources.scratch import scratch
 
 # --- whole pages ------------------------------------------------------------------
 
@@ -204,3 +205,193 @@ def request_chunks(spark, d):
     """Requests of a supplier in chunks of seven: five fill the bytes less than seven do."""
     items = t(spark, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), F.lit(10).alias("size"))
     return report.chunks(items, "l_suppkey", "item", "size", most_items=9, most_bytes=79)
+
+
+# --- names and brands -------------------------------------------------------------------
+
+
+@query(f"""SELECT doc_id, array_to_string({_sql_tokens('text')}, ' ') AS key, len({_sql_tokens('text')}) AS n FROM documents""")
+def name_keys(spark, d):
+    """Brand-bearing words of whole texts, and the key they make."""
+    return t(spark, d, "documents").select("doc_id", names.name_key(F.col("text")).alias("key"), F.size(names.brand_tokens(F.col("text"))).cast("long").alias("n"))
+
+
+_CODE = "'KX' || translate(p_partkey::VARCHAR, '0123456789', 'ABCDEFGHIJ')"
+
+
+def _code():
+    """A word that only one part has."""
+    return F.concat(F.lit("KX"), F.translate(F.col("p_partkey").cast("string"), "0123456789", "ABCDEFGHIJ"))
+
+
+def _part_postings(spark, d):
+    rows = t(spark, d, "part").select(F.col("p_partkey").alias("row"), F.concat_ws(" ", _code(), "p_name").alias("text"), F.lit("").alias("label"))
+    return brands.postings(brands.catalogue(rows, [F.col("text")]), "row")
+
+
+@query("""SELECT p_partkey, p_partkey AS row, round(ln((SELECT count(*) FROM part)), 6) AS score, p_size % 3 AS attempt FROM part""")
+def brand_cascade(spark, d):
+    """The telling word stands in the name, in the producer, or on the tag alone."""
+    k = F.col("p_size") % 3
+    word = lambda n: F.when(k == n, _code()).otherwise("vin rosu")
+    named = t(spark, d, "part").select("p_partkey", word(0).alias("name"), word(1).alias("producer"), F.concat(word(2), F.lit(" 750 ml")).alias("tag"))
+    attempts = [[F.col("name")], [F.col("name"), F.col("producer")], [F.col("name"), F.col("producer"), F.col("tag")]]
+    return brands.match_cascade(named, "p_partkey", attempts, _part_postings(spark, d)).select("p_partkey", "row", F.round("score", 6).alias("score"), "attempt")
+
+
+_ENRICHED = f"""SELECT p_partkey * 2 + i AS row_no, CASE p_partkey % 5 WHEN 0 THEN 'Big' WHEN 3 THEN p_brand WHEN 4 THEN p_brand ELSE '' END AS brand_group, CASE p_partkey % 5 WHEN 0 THEN 'Old House' WHEN 3 THEN p_type WHEN 4 THEN p_type ELSE '' END AS brand_winery,
+  CASE p_partkey % 5 WHEN 0 THEN 'Red' WHEN 3 THEN p_name WHEN 4 THEN p_name ELSE '' END AS brand_label, CASE p_partkey % 5 WHEN 0 THEN 'reviewed:high' WHEN 1 THEN 'reviewed:none' WHEN 2 THEN 'none' ELSE 'auto' END AS brand_match FROM part, (VALUES (0), (1)) v(i)"""
+
+
+def _enriched(spark, d):
+    """Two rows a part: reviewed, reviewed without a brand, nothing telling, in the index by name or by producer."""
+    k = F.col("p_partkey") % 5
+    p = t(spark, d, "part")
+    rows = p.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("i")).select(
+        (F.col("p_partkey") * 2 + F.col("i")).alias("row_no"), F.when(k.isin(2, 4), F.concat_ws(" ", F.lit("vin"), F.when(k == 4, F.concat(F.lit("Zet"), F.translate(F.col("p_partkey").cast("string"), "0123456789", "abcdefghij"))), F.lit("sec"))).otherwise(_code()).alias("wine_name"),
+        F.when(k == 4, _code()).alias("producer"), F.lit("").alias("raw_tag_text"), F.lit(None).cast("string").alias("raw_label_text"))
+    reviewed = p.filter(k < 2).select(names.name_key(_code()).alias("key"), F.when(k == 0, "Big | Old House | Red").alias("brand"), F.lit("high").alias("confidence"))
+    details = p.select(F.col("p_partkey").alias("row"), F.col("p_brand").alias("group"), F.col("p_type").alias("winery"), F.col("p_name").alias("label"))
+    columns = {"name": "wine_name", "producer": "producer", "tag": "raw_tag_text", "label": "raw_label_text"}
+    return brands.enrich(rows, "row_no", reviewed, _part_postings(spark, d), details, columns)
+
+
+@query(_ENRICHED)
+def brand_enrichment(spark, d):
+    return _enriched(spark, d).select("row_no", "brand_group", "brand_winery", "brand_label", "brand_match")
+
+
+@query("""SELECT 2 * count(CASE WHEN p_partkey % 5 = 0 THEN 1 END) AS reviewed, 2 * count(CASE WHEN p_partkey % 5 > 2 THEN 1 END) AS auto, 2 * count(CASE WHEN p_partkey % 5 IN (1, 2) THEN 1 END) AS none FROM part""")
+def brand_match_counts(spark, d):
+    return brands.match_counts(_enriched(spark, d))
+
+
+# --- scoring, reviews and work ---------------------------------------------------------
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, floor(o_totalprice / 100) + 0.5 AS price, o_orderkey % 20 = 0 AS token, o_orderkey % 30 = 0 AS volume, o_orderstatus <> 'F' AS priced FROM orders),
+  tr AS (SELECT k, price, row_number() OVER (PARTITION BY price ORDER BY k) AS n FROM o), rw AS (SELECT k + 1 AS row_no, price, token, volume, row_number() OVER (PARTITION BY price ORDER BY token DESC, k) AS n FROM o WHERE priced)
+  SELECT tr.k AS truth_no, row_no, token AS name_ok, volume AS volume_ok FROM tr LEFT JOIN rw ON tr.price = rw.price AND tr.n = rw.n""")
+def verify_assignment(spark, d):
+    """Fewer rows than truths at most prices: each truth in turn takes the first free row, those with its token first."""
+    price = F.floor(F.col("o_totalprice") / 100) + 0.5
+    o, k = t(spark, d, "orders"), F.col("o_orderkey")
+    truth = o.select(k.alias("truth_no"), price.alias("price"), F.lit("Castel").alias("name_contains"), F.lit(750.0).alias("volume_ml"))
+    rows = o.select((k + 1).alias("row_no"), F.when(F.col("o_orderstatus") != "F", price).alias("price"), F.when(k % 30 == 0, 750.4).otherwise(1500.0).alias("volume_ml"), F.when(k % 20 == 0, "VIN CAȘTEL 0.75").otherwise("x").alias("text"))
+    return score.verify(truth, rows).select("truth_no", "row_no", "name_ok", "volume_ok")
+
+
+@query("""SELECT o_orderkey + 1 AS row_no FROM orders WHERE o_orderstatus = 'F'""")
+def verify_extras(spark, d):
+    """Rows that no truth took: those without a price, as the others have a truth each."""
+    price = F.floor(F.col("o_totalprice") / 100) + 0.5
+    o, k = t(spark, d, "orders"), F.col("o_orderkey")
+    truth = o.select(k.alias("truth_no"), price.alias("price"), F.lit("").alias("name_contains"), F.lit(None).cast("double").alias("volume_ml"))
+    rows = o.select((k + 1).alias("row_no"), F.when(F.col("o_orderstatus") != "F", price).alias("price"), F.lit(750.0).alias("volume_ml"), F.lit("x").alias("text"))
+    return score.extras(score.verify(truth, rows), rows).select("row_no")
+
+
+@query("""SELECT count(*) AS n_rows, count(CASE WHEN l_linenumber < 7 THEN 1 END) AS priced, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS flagged, count(CASE WHEN l_linenumber > 1 THEN 1 END) AS boxed,
+  count(DISTINCT CASE WHEN l_linenumber = 6 THEN -1 ELSE l_orderkey END) AS photos FROM lineitem""")
+def review_stats(spark, d):
+    n = F.col("l_linenumber")
+    rows = t(spark, d, "lineitem").select(F.when(n < 7, F.col("l_extendedprice")).alias("price"), F.when(F.col("l_returnflag") == "R", "yes").otherwise("").alias("needs_review"), F.when(n == 2, "0,0,1,1").otherwise("").alias("bottle_bbox"), F.when(n > 2, "0,0,1,1").alias("tag_bbox"), F.when(n == 6, " ").otherwise(F.col("l_orderkey").cast("string")).alias("photo"))
+    return report.review_counts(rows)
+
+
+@query("""SELECT source AS photo, count(*) AS pending FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY 1""")
+def pending_by_source(spark, d):
+    jobs = t(spark, d, "documents").select(F.col("doc_id").alias("job_id"), F.col("source").alias("photo"))
+    found = t(spark, d, "labels").select(F.col("doc_id").alias("job_id"), (F.col("quality") == 1).alias("valid"))
+    return workitems.pending_by(ingest.pending(jobs, found), "photo")
+
+
+@query("""SELECT source AS photo, 'read' AS stage, 'no usable answer for job ' || doc_id || ' (' || lang || ')' AS detail FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+def missing_answers(spark, d):
+    jobs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("job_id"), F.col("source").alias("photo"), F.col("lang").alias("band_label"))
+    found = t(spark, d, "labels").select(F.col("doc_id").cast("string").alias("job_id"), (F.col("quality") == 1).alias("valid"))
+    return ingest.missing_errors(jobs, found)
+
+
+@query("""SELECT p_partkey::VARCHAR AS custom_id, CASE WHEN p_size % 3 = 0 THEN p_name END AS raw, CASE p_size % 3 WHEN 1 THEN 'batch result: errored' WHEN 2 THEN 'batch result: expired' END AS error FROM part WHERE p_partkey % 2 = 0""")
+def batch_answers(spark, d):
+    """Results come for some of the items, and for ids that nobody asked for."""
+    p, key = t(spark, d, "part"), F.col("p_partkey").cast("string")
+    results = p.select(F.when(F.col("p_partkey") % 2 == 0, key).otherwise(F.concat(F.lit("other-"), key)).alias("custom_id"), _pick(F.col("p_size") % 3, "succeeded", "errored", "expired").alias("kind"), F.col("p_name").alias("raw"))
+    return ingest.batch_results(p.select(key.alias("custom_id")), results)
+
+
+@query("""SELECT p_partkey, concat_ws(chr(10), 'Find the shelves on this photo.', 'Photo: ' || p_name, CASE WHEN p_size % 2 = 0 THEN 'It was taken, we were told, at Shop; report the name you see all the same.' END, CASE WHEN p_size % 3 = 0 THEN 'Taken: 2026' END) AS layout,
+  concat_ws(chr(10), 'Read all products in this part of a photo.', 'Part: r', 'Photo: ' || p_name, CASE WHEN p_size % 2 = 0 THEN 'Shop: Shop' END, CASE WHEN p_size % 5 = 0 THEN 'Unless a tag says otherwise prices are in RON.' END, CASE WHEN p_size % 3 = 0 THEN 'Taken: 2026' END,
+    CASE WHEN p_size % 7 = 0 THEN 'Neighbouring parts overlap with this one: leave out what is cut off, unless both its name and its price can be read.' END,
+    CASE WHEN p_size % 4 = 1 THEN 'The prices of these products are outside this part: give none, and do not take one from another shelf.' END) AS region,
+  concat_ws(chr(10), 'Read all products on this shelf.', 'Shelf: ' || p_brand, 'Photo: ' || p_name, CASE WHEN p_size % 2 = 0 THEN 'Shop: Shop' END, CASE WHEN p_size % 3 = 0 THEN 'Taken: 2026' END, chr(10) || 'Text found on it' || chr(10) || chr(10) || p_type,
+    CASE WHEN p_size % 4 > 1 THEN chr(10) || 'To be wary of' || chr(10) || chr(10) || '- one' || CASE WHEN p_size % 4 = 3 THEN chr(10) || '- two' ELSE '' END END) AS band FROM part""")
+def prompts(spark, d):
+    s, photo = F.col("p_size"), F.col("p_name")
+    shop, taken, warned = F.when(s % 2 == 0, "Shop").otherwise(""), F.when(s % 3 == 0, "2026"), F.when(s % 4 == 2, F.array(F.lit("one"))).when(s % 4 == 3, F.array(F.lit("one"), F.lit("two"))).otherwise(F.array().cast("array<string>"))
+    rail = F.when(s % 4 == 1, False).when(s % 4 == 2, True)
+    return t(spark, d, "part").select(
+        "p_partkey", workitems.layout_prompt(photo, shop, taken).alias("layout"), workitems.region_prompt(photo, F.lit("r"), shop, F.when(s % 5 == 0, "RON"), taken, s % 7 == 0, rail).alias("region"),
+        workitems.band_prompt(photo, F.col("p_brand"), shop, taken, F.col("p_type"), warned).alias("band"),
+    )
+
+
+# --- files, written and read again -------------------------------------------------------
+
+
+@query("""SELECT 'W' || p_partkey AS row_id, CASE WHEN p_size % 4 > 0 THEN p_name || ', "' || p_brand || '"' || CASE WHEN p_size % 3 = 0 THEN chr(10) || 'două' ELSE '' END END AS wine_name, CASE WHEN p_size % 5 > 0 THEN p_retailprice END AS price,
+  CASE WHEN p_size % 3 = 1 THEN 'W1' END AS duplicate_of FROM part WHERE p_size % 3 <> 1""")
+def table_files(spark, d):
+    """A written table again, typed, blanks NULL, duplicates left out."""
+    s = F.col("p_size")
+    name = F.concat(F.col("p_name"), F.lit(', "'), F.col("p_brand"), F.lit('"'), F.when(s % 3 == 0, "\ndouă").otherwise(""))
+    rows = t(spark, d, "part").select(F.concat(F.lit("W"), F.col("p_partkey").cast("string")).alias("row_id"), F.when(s % 4 > 0, name).alias("wine_name"), F.when(s % 5 > 0, F.col("p_retailprice")).alias("price"), F.when(s % 3 == 1, "W1").alias("duplicate_of"))
+    path = scratch(spark, "table")
+    sinks.write_csv_table(rows, path, ("row_id", "wine_name", "price", "duplicate_of"))
+    return ingest.primaries(ingest.table(spark, path)).select("row_id", "wine_name", "price", "duplicate_of")
+
+
+@query("""SELECT p_partkey::VARCHAR AS job_id, p_name AS photo, p_size AS band_index, p_retailprice / 2 AS price, CASE WHEN p_size % 2 = 0 THEN 'w' END AS warning FROM part WHERE p_partkey % 3 > 0""")
+def manifest_files(spark, d):
+    """A manifest as JSON lines; entries without an id are left out."""
+    rows = t(spark, d, "part").select(F.when(F.col("p_partkey") % 3 > 0, F.col("p_partkey").cast("string")).alias("job_id"), F.col("p_name").alias("photo"), F.col("p_size").cast("int").alias("band_index"), F.array(F.col("p_retailprice"), F.col("p_retailprice") / 2).alias("ocr_prices"), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("w"))).alias("warnings"))
+    path = scratch(spark, "manifest")
+    sinks.write_jsonl(rows, path)
+    return ingest.manifest(spark, path).select("job_id", "photo", F.col("band_index").cast("long").alias("band_index"), F.get("ocr_prices", F.lit(1)).alias("price"), F.get("warnings", F.lit(0)).alias("warning"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS photo, CASE WHEN c_custkey % 4 = 0 THEN 'the recogniser returned no record' WHEN c_custkey % 4 = 1 THEN 'broken' END AS error, CASE WHEN c_custkey % 4 > 1 THEN i END AS line_id, CASE WHEN c_custkey % 4 > 1 THEN c_name || i END AS text,
+  CASE WHEN c_custkey % 4 > 1 THEN 0.1 + i END AS x0 FROM customer, (VALUES (0), (1)) v(i) WHERE c_custkey % 4 > 1 OR i = 0""")
+def page_files(spark, d):
+    """Pages of text lines as JSON: missing, broken and read ones, with their lines."""
+    k = F.col("c_custkey")
+    line = lambda i: F.struct(F.concat(F.col("c_name"), F.lit(str(i))).alias("t"), F.lit(0.9).alias("c"), F.lit(12).alias("h"), F.array(*map(F.lit, (0.1 + i, 0.2, 0.3, 0.4))).alias("b"))
+    found = t(spark, d, "customer").filter(k % 4 > 0).select(k.cast("string").alias("path"), F.lit(640).alias("width"), F.lit(480).alias("height"), F.when(k % 4 == 1, "broken").alias("error"), F.when(k % 4 > 1, F.array(line(0), line(1))).alias("lines"))
+    path = scratch(spark, "pages")
+    sinks.write_jsonl(found, path)
+    wanted = t(spark, d, "customer").select(k.alias("ordinal"), k.cast("string").alias("path"))
+    pages = ingest.pages_for(wanted, ingest.pages(spark, path))
+    read = ingest.lines(pages).select("photo", "line_id", "text", "x0")
+    return pages.select(F.col("path").alias("photo"), "error").join(read, "photo", "left").select("photo", "error", "line_id", "text", "x0")
+
+
+@query("""SELECT p_type AS category, p_brand AS group, p_name AS winery, 'L' || p_partkey AS label FROM part""")
+def catalogue_files(spark, d):
+    rows = t(spark, d, "part").select(F.concat(F.lit(" "), "p_type", F.lit(" ")).alias("Category"), F.col("p_brand").alias("Group"), F.col("p_name").alias("Winery"), F.concat(F.lit("L"), F.col("p_partkey").cast("string")).alias("Label"), F.lit("x").alias("Other"))
+    path = scratch(spark, "catalogue")
+    rows.write.option("sep", "\t").option("header", "true").csv(path)
+    return ingest.catalogue(spark, path).select("category", "group", "winery", "label")
+
+
+@query("""SELECT s_suppkey::VARCHAR AS photo, s_acctbal AS price, CASE WHEN s_suppkey % 2 = 0 THEN 750.0 END AS volume_ml, 'Castel, "' || s_suppkey || '"' AS name_contains FROM supplier WHERE s_suppkey % 3 > 0""")
+def truth_files(spark, d):
+    """Hand-checked rows, their columns in an order of their own; remarks, blank lines and rows without a price are passed over."""
+    k = F.col("s_suppkey").cast("string")
+    number = F.when(F.col("s_suppkey") % 3 > 0, F.col("s_acctbal").cast("string")).otherwise("")
+    row = F.concat_ws(",", number, k, F.when(F.col("s_suppkey") % 2 == 0, " 750 ").otherwise(""), F.concat(F.lit('"Castel, ""'), k, F.lit('"""')))
+    body = t(spark, d, "supplier").select((F.col("s_suppkey") + 10).alias("at"), F.explode(F.array(row, F.lit("  # a remark, 1"), F.lit(""))).alias("value"))
+    lines = spark.createDataFrame([(0, "# checked by hand"), (1, "price,photo,volume_ml,name_contains")], "at long, value string").unionByName(body)
+    path = scratch(spark, "truth")
+    lines.repartitionByRange(1, "at").sortWithinPartitions("at").select("value").write.text(path)  # a file somebody wrote
+    return ingest.truth(spark, path).select("photo", "price", "volume_ml", "name_contains")

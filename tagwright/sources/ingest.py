@@ -200,7 +200,7 @@ def truth(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "truth_no long, photo string, rail string, position string, currency string, name_contains string, notes string, price double, volume_ml double")
     given = [c.strip() for c in next(csv.reader([head]))]
     fields = ", ".join(f"`{c}` STRING" for c in given)
-    row = rows.filter(F.col("value") != head).select("truth_no", F.from_csv("value", F.lit(fields)).alias("r")).select("truth_no", "r.*")
+    row = rows.filter(F.col("value") != head).select("truth_no", F.from_csv("value", F.lit(fields), {"escape": '"'}).alias("r")).select("truth_no", "r.*")
     row = row.withColumns({c: F.lit(None).cast("string") for c in ("photo", "rail", "position", "currency", "name_contains", "notes", "price", "volume_ml") if c not in given})
     number = lambda c: F.btrim(c).try_cast("double")
     trimmed = [F.btrim(F.coalesce(c, F.lit(""))).alias(c) for c in ("photo", "rail", "position", "currency", "name_contains", "notes")]
