@@ -2,9 +2,10 @@ import math
 
 from pyspark.sql import functions as F
 
+from tagwright.functions import names
 from tagwright.functions.names import brand_tokens
 from tagwright.operators import brands, dedupe, referee, report, score, shelves
-from tagwright.plans import catalog
+from tagwright.plans import catalog, pages
 
 C = F.col
 
@@ -143,11 +144,11 @@ def test_verify_greedy_takes_all_orders(spark, tmp_path):
 
 
 def test_brand_candidates_read_whole_texts(spark, tmp_path):
-    bench = ["castel huniade merlot rosu sec", "vulturul negru merlot", "cotnari grasa dulce", "eticheta galbena cotnari"]
-    texts = ["filler " * 60 + "huniade", "word cot " * 30 + "merlot castel huniade rosu sec", "grasa cotn", None, "nothing here"]
+    bench = ["castel huniade murfat roua seva", "vulturul negos murfat", "cotnari grasa dulau", "eticheta galbena cotnari"]
+    texts = ["filler " * 60 + "huniade", "word cot " * 30 + "murfat castel huniade roua seva", "grasa cotn", None, "nothing here"]
     _table(spark, tmp_path, "benchmark", list(enumerate(bench)), "item_id long, text string")
     _table(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
-    split = lambda text: {w.upper() for w in (text or "").split() if len(w) >= 3} - {"RED"}
+    split = lambda text: {w.upper() for w in (text or "").split() if len(w) >= 3} - set(names.STOP_WORDS)
     keys = [split(b) for b in bench]
     idf = {w: math.log(len(keys) / sum(w in k for k in keys)) for k in keys for w in k}
     want = {}
@@ -157,7 +158,7 @@ def test_brand_candidates_read_whole_texts(spark, tmp_path):
         found = sorted((-round(sum(idf[w] * weight[w] for w in k if w in weight), 6), j) for j, k in enumerate(keys) if k & set(weight))
         for place, (score_, j) in enumerate(found[:3], 1):
             want[i, place] = (j, -score_, sorted(own & keys[j], key=lambda w: (-idf[w], w))[:4])
-    got = {(r["doc_id"], r["place"]): (r["row"], r["score"], r["shared"]) for r in catalog.brand_candidates(spark, str(tmp_path)).collect()}
+    got = {(r["doc_id"], r["place"]): (r["row"], r["score"], r["shared"].split()) for r in catalog.brand_candidates(spark, str(tmp_path)).collect()}
     assert got == want and {i for i, _ in want} == {0, 1, 2} and len(want[1, 1][2]) == 4
 
 
@@ -171,5 +172,48 @@ def test_dedupe_documents_reads_whole_texts(spark, tmp_path):
 
 def test_shelf_bands_pages_hold_all_orders(spark, tmp_path):
     _table(spark, tmp_path, "orders", [(k, 7, 100.0 + k) for k in range(63)] + [(100 + k, 8, 50.0 + k) for k in range(9)], "o_orderkey long, o_custkey long, o_totalprice double")
-    got = [(r["photo"], r["n_slots"]) for r in catalog.shelf_bands(spark, str(tmp_path)).collect() if r["rail"] is not None]
+    got = [(r["photo"], r["n_slots"]) for r in pages.shelf_bands(spark, str(tmp_path)).collect() if r["rail"] is not None]
     assert sorted(got) == sorted([("7", 9)] * 3 + [("7-1", 9)] * 3 + [("7-2", 9)] + [("8", 9)])
+
+
+def test_dedupe_of_a_hot_key(spark):
+    """A key with most of the rows goes over several partitions; ranks and numbers are as if it did not."""
+    import random
+
+    from tagwright.operators import dedupe
+
+    rng = random.Random(3)
+    rows = [(i, "hot" if rng.random() < 0.7 else f"k{rng.randint(0, 60)}", rng.choice([1.5, 2.5, 3.5])) for i in range(3000)]
+    made = spark.createDataFrame(rows, "n long, key string, price double").repartition(7)
+    got = {r["n"]: (r["row_id"], r["duplicate_of"], r["price_conflict"]) for r in dedupe.deduplicate(made, F.col("key"), [F.col("price").desc()], F.col("n"), "price").collect()}
+    want, keys = {}, sorted({k for _, k, _ in rows})
+    for no, key in enumerate(keys, 1):
+        own = sorted((r for r in rows if r[1] == key), key=lambda r: (-r[2], r[0]))
+        prices = sorted({r[2] for r in own})
+        for rank, (n, *_) in enumerate(own):
+            first = f"W{no:05d}"
+            want[n] = (first if rank == 0 else f"{first}d{rank}", None if rank == 0 else first, prices if rank == 0 and len(prices) > 1 else None)
+    assert got == want
+
+
+def test_price_runs_do_not_part_competitors(spark, monkeypatch):
+    import random
+
+    from tagwright.operators import score
+
+    monkeypatch.setattr(score, "BLOCK", 8)
+    monkeypatch.setattr(score, "RUNS", 1)
+    rng = random.Random(5)
+    prices = sorted({round(rng.randint(0, 400) / 100, 2) for _ in range(150)})
+    got = {r["price"]: r["_g"] for r in score.price_runs(spark.createDataFrame([(p,) for p in prices], "price double")).collect()}
+    for a, b in zip(prices, prices[1:]):
+        assert (got[a] == got[b]) == (round(b * 100) - round(a * 100) <= 1)
+
+
+def test_recogniser_tiles(values):
+    from tagwright.functions import geometry
+
+    cut = lambda length, budget: geometry.recogniser_spans(F.lit(length), F.lit(budget))
+    one, two, most, off = values([cut(900, 900), cut(1000, 600), F.size(cut(10**6, 100)), cut(900, 0)], [(1,)], "n int")[0]
+    assert [tuple(x) for x in one] == [(0, 900)] == [tuple(x) for x in off] and most == 41
+    assert [tuple(x) for x in two] == [(0, 541), (459, 1000)]

@@ -59,7 +59,7 @@ def test_rows_from_answers(spark, tmp_path):
     assert (index["folder"], index["n_rows"], index["median_price"], index["currency"]) == ("shop", 1, 54.59, "RON")
     n = sinks.write_csv_file(rows, str(tmp_path / "out.csv"))
     again = ingest.table(spark, str(tmp_path / "out.csv"))
-    assert n == 1 and again.columns == schemas.ROW_COLUMNS and again.first()["price"] == 54.59 and again.first()["producer"] is None
+    assert n == 1 and again.columns == list(schemas.ROW_COLUMNS) and again.first()["price"] == 54.59 and again.first()["producer"] is None
     assert "Castel Huniade" in report.review_html(rows.withColumn("row_id", F.lit("W1"))).first()["section"]
 
 
@@ -72,6 +72,35 @@ def test_stream_collects_new_files(spark, tmp_path):
     assert sorted(r["job_id"] for r in streaming.latest_answers(spark, target).collect()) == ["j1", "j3"]
 
 
+def test_a_repeated_batch_adds_nothing_and_quiet_ends_the_collection(spark, tmp_path):
+    folder, target, mark = _files(tmp_path), str(tmp_path / "table"), str(tmp_path / "mark")
+    assert streaming.collect_available(spark, str(folder), target, mark) > 0
+    before = spark.read.parquet(target).count()
+    streaming.collect_available(spark, str(folder), target, str(tmp_path / "other-mark"))  # the same first batch again
+    assert spark.read.parquet(target).count() == before
+    assert streaming.collect_until_quiet(spark, str(folder), target, mark, quiet=2, every=0.0) == 2
+
+
+def test_latest_answer_by_file_time(spark, tmp_path):
+    rows = [("a", True, "new", 200, 0), ("a", True, "old", 100, 5), ("b", True, "first", 100, 1), ("b", True, "second", 100, 2)]
+    made = spark.createDataFrame(rows, "job_id string, valid boolean, notes string, at long, batch int").withColumn("landed_at", F.timestamp_seconds("at")).drop("at")
+    made.write.partitionBy("batch").parquet(str(tmp_path / "t"))
+    assert {r["job_id"]: r["notes"] for r in streaming.latest_answers(spark, str(tmp_path / "t")).collect()} == {"a": "new", "b": "second"}
+
+
+def test_batch_results(spark):
+    items = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "custom_id string, n int")
+    results = spark.createDataFrame([("a", "succeeded", "{}"), ("b", "errored", "x"), ("z", "succeeded", "{}")], "custom_id string, kind string, raw string")
+    got = {r["custom_id"]: (r["raw"], r["error"]) for r in ingest.batch_results(items, results).collect()}
+    assert got == {"a": ("{}", None), "b": (None, "batch result: errored")}
+
+
+def test_photo_metadata_arithmetic(values):
+    south, east = ingest.signed_degrees(F.lit(44), F.lit(30), F.lit(36), F.lit("s")), ingest.signed_degrees(F.lit(26), F.lit(6), F.lit(0), F.lit("E"))
+    taken, never = ingest.taken_at(F.lit("rubbish"), F.lit("2026:06:14 10:11:12"), F.lit("2025:01:01 00:00:00")), ingest.taken_at(F.lit(None).cast("string"))
+    assert values([south, east, taken, never], [(1,)], "n int") == [(-44.51, 26.1, "2026-06-14 10:11:12", None)]
+
+
 def test_pages(spark, tmp_path):
     page = {"path": "a", "width": 10, "height": 10, "error": None, "lines": [{"t": "54,59", "c": 1.0, "h": 9, "b": [0.1, 0.2, 0.3, 0.4]}]}
     (tmp_path / "p.jsonl").write_text(json.dumps(page))
