@@ -76,10 +76,10 @@ def referee_reasons(verdict: Column, price: Column, volume_ml: Column, rail: Col
     """Ordered array of what the checks have against a row."""
     litre, tier = per_litre_siblings(price, rail), multibuy_siblings(price, rail)
     reasons = (
-        F.when(verdict.isin("disagrees", "not_on_rail", "index_mismatch"), F.concat(F.lit("price "), verdict, F.lit(" local OCR"))),
-        F.when(dropped_digit(price, volume_ml), F.concat(F.lit("price "), price.cast("string"), F.lit(" is too low for a bottle this size — likely a digit dropped from the tag"))),
-        F.when(F.size(litre) > 0, F.concat(F.lit("a per-litre figure ("), _shown(litre, 2), F.lit(") sits on this rail — confirm the price is not the LEI/L line"))),
-        F.when(F.size(tier) > 0, F.concat(F.lit("multibuy tier on this rail ("), _shown(tier, 3), F.lit(") — confirm this is the single-bottle price"))),
+        F.when(verdict.isin("disagrees", "not_on_rail", "index_mismatch"), F.concat(F.lit("against the rail: "), verdict)),
+        F.when(dropped_digit(price, volume_ml), F.concat(price.cast("string"), F.lit(" is little for this volume: a digit may be missing"))),
+        F.when(F.size(litre) > 0, F.concat(F.lit("the rail has a price per litre as well: "), _shown(litre, 2))),
+        F.when(F.size(tier) > 0, F.concat(F.lit("the rail has prices of several pieces as well: "), _shown(tier, 3))),
     )
     return F.array_compact(F.array(*reasons))
 
@@ -112,8 +112,9 @@ def reconcile(price: Column, tag_text: Column) -> Column:
 def reconcile_text(check: Column, price: Column) -> Column:
     """The verdict in words."""
     two = lambda c: F.format_string("%.2f", c)
+    product = F.concat(F.lit("price per litre times volume is "), two(check["expected"]))
     return (
-        F.when(check["verdict"] == "confirmed", F.concat(F.lit("confirmed by the tag's own per-litre line ("), two(check["expected"]), F.lit(")")))
-        .when(check["verdict"] == "leading_digit", F.concat(F.lit("DISAGREES with the tag's own per-litre line: "), two(check["expected"]), F.lit(", not "), two(price), F.lit(". Dropping the leading digit gives "), two(check["trimmed"]), F.lit(", which does reconcile")))
-        .when(check["verdict"] == "disagrees", F.concat(F.lit("disagrees with the tag's own per-litre line: "), two(check["expected"]), F.lit(", not "), two(price)))
+        F.when(check["verdict"] == "confirmed", F.concat(product, F.lit(": confirmed")))
+        .when(check["verdict"] == "leading_digit", F.concat(product, F.lit(", not "), two(price), F.lit("; without its first digit it is "), two(check["trimmed"])))
+        .when(check["verdict"] == "disagrees", F.concat(product, F.lit(", not "), two(price)))
     )
