@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +21,25 @@ REVIEW_COLUMNS = (
 )
 
 
+def median_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median): exact, from counts of distinct values and their running sums, which spill; no task holds all values of a key in memory."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(*keys)
+    ranked = counts.withColumn("_upto", F.sum("_n").over(own.orderBy(value))).withColumn("_all", F.sum("_n").over(own))
+    at = lambda place: F.min(F.when(F.col("_upto") >= place, F.col(value)))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))
+
+
 def price_index(df: DataFrame, keys: list[str], photo: str, price: str, flag: Column, label: str) -> DataFrame:
     """Per key: photos (distinct), rows, priced, flagged, exact median of the prices, sorted distinct labels of priced rows."""
-    return df.groupBy(*keys).agg(
+    counts = df.groupBy(*keys).agg(
         F.countDistinct(photo).alias("photos"), F.count("*").alias("n_rows"), F.count(price).alias("priced"), F.count(F.when(flag, 1)).alias("needs_review"),
-        round_half_up(F.percentile(price, 0.5), 2).alias("median_price"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col(price).isNotNull(), some(F.col(label))))), "; ").alias("currency"),
     )
+    medians = median_by(df, keys, price).select(*[F.col(k).alias(f"_{k}") for k in keys], "median")
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return counts.join(medians, same, "left").select(*keys, "photos", "n_rows", "priced", "needs_review", round_half_up(F.col("median"), 2).alias("median_price"), "currency")
 
 
 def folder_index(rows: DataFrame, unmatched: DataFrame) -> DataFrame:

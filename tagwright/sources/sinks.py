@@ -7,7 +7,7 @@ import io
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -41,15 +41,55 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_mirror(rows: DataFrame, unmatched: DataFrame, out_root: str) -> None:
-    """One folder of CSV parts per source folder (a ``folder`` partition column each), written in parallel, and the index."""
+    """A tree like that of the photos: per source folder one CSV named after it (the root's is rows.csv), beside it unmatched.csv if there is any, and index/.
+
+    Spark writes a part for each folder, in parallel; the driver only moves the files to their names, a few metadata operations per folder.
+    """
+    from tagwright.functions.names import folder_of
     from tagwright.operators.report import folder_index
 
+    spark = rows.sparkSession
+    staging = f"{out_root}/_parts"
+    rows = rows.filter("duplicate_of IS NULL")
     for df, columns, name in ((rows, schemas.ROW_COLUMNS, "rows"), (unmatched, schemas.UNMATCHED_COLUMNS, "unmatched")):
-        from tagwright.functions.names import folder_of
-
-        keyed = in_order(df, columns).withColumn("folder", folder_of(F.col("photo")))
-        keyed.write.mode("overwrite").partitionBy("folder").option("header", "true").csv(f"{out_root}/{name}")
-    folder_index(rows, unmatched).write.mode("overwrite").option("header", "true").csv(f"{out_root}/index")
+        keyed = in_order(df, columns).withColumn("folder", folder_of(F.col("photo"))).repartition("folder")
+        keyed.write.mode("overwrite").partitionBy("folder").option("header", "true").option("escape", '"').csv(f"{staging}/{name}")
+    index = folder_index(rows, unmatched).withColumn("csv", mirror_path(F.col("folder")))
+    index.write.mode("overwrite").option("header", "true").csv(f"{out_root}/index")
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(out_root).getFileSystem(spark._jsc.hadoopConfiguration())
+    plain = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    found = {}
+    for name in ("rows", "unmatched"):
+        for status in fs.listStatus(path(f"{staging}/{name}")):
+            if status.isDirectory():
+                folder = plain(status.getPath().getName().split("=", 1)[1])
+                found[folder, name] = next(f.getPath() for f in fs.listStatus(status.getPath()) if f.getPath().getName().startswith("part-"))
+    for folder in sorted({f for f, _ in found}):
+        home = out_root if folder == "." else f"{out_root}/{folder}"
+        fs.mkdirs(path(home))
+        target = path(f"{home}/{'rows' if folder == '.' else folder.rsplit('/', 1)[-1]}.csv")
+        if (folder, "rows") in found:
+            _move(fs, found[folder, "rows"], target)
+        else:  # nothing but unmatched tags: a table without rows
+            out = fs.create(target, True)
+            out.write(csv_text([], schemas.ROW_COLUMNS).encode())
+            out.close()
+        if (folder, "unmatched") in found:
+            _move(fs, found[folder, "unmatched"], path(f"{home}/unmatched.csv"))
+    fs.delete(path(staging), True)
+
+
+def _move(fs, source, target) -> None:
+    fs.delete(target, False)
+    if not fs.rename(source, target):
+        raise OSError(f"could not move {source} to {target}")
+
+
+def mirror_path(folder: Column) -> Column:
+    """Where ``write_mirror`` puts the table of a folder, below its root."""
+    return F.when(folder == ".", "rows.csv").otherwise(F.concat(folder, F.lit("/"), F.regexp_extract(folder, "([^/]*)$", 1), F.lit(".csv")))
 
 
 def sheets(rows: DataFrame, unmatched: DataFrame, errors: DataFrame) -> dict[str, DataFrame]:

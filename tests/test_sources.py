@@ -81,6 +81,21 @@ def test_a_repeated_batch_adds_nothing_and_quiet_ends_the_collection(spark, tmp_
     assert streaming.collect_until_quiet(spark, str(folder), target, mark, quiet=2, every=0.0) == 2
 
 
+def test_mirror_tree(spark, tmp_path):
+    rows = [("W1", "Castel, \"x\"", "a/b/1.jpg", 2.5, None), ("W2", "Vin", "a/b/2.jpg", 3.5, None), ("W1d1", "Castel", "a/b/3.jpg", 2.5, "W1"), ("W3", "Rosu", "4.jpg", None, None)]
+    made = spark.createDataFrame(rows, "row_id string, wine_name string, photo string, price double, duplicate_of string").withColumns({"needs_review": F.lit(""), "currency": F.lit("RON")})
+    stray = spark.createDataFrame([("a/b/1.jpg", "9,99"), ("c d/5.jpg", "1")], "photo string, raw_text string")
+    for _ in range(2):  # a second run replaces the first
+        sinks.write_mirror(made, stray, str(tmp_path / "out"))
+    found = sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.csv") if "index" not in p.parts and not p.name.startswith("."))
+    assert found == ["a/b/b.csv", "a/b/unmatched.csv", "c d/c d.csv", "c d/unmatched.csv", "rows.csv"]
+    table = lambda name: ingest.table(spark, str(tmp_path / "out" / name))
+    assert sorted((r["row_id"], r["wine_name"]) for r in table("a/b/b.csv").collect()) == [("W1", "Castel, \"x\""), ("W2", "Vin")]
+    assert table("c d/c d.csv").count() == 0 and [r["raw_text"] for r in table("a/b/unmatched.csv").collect()] == ["9,99"]
+    index = {r["folder"]: (r["csv"], r["n_rows"]) for r in spark.read.option("header", "true").csv(str(tmp_path / "out" / "index")).collect()}
+    assert index == {"a/b": ("a/b/b.csv", "2"), ".": ("rows.csv", "1"), "c d": ("c d/c d.csv", "0")}
+
+
 def test_latest_answer_by_file_time(spark, tmp_path):
     rows = [("a", True, "new", 200, 0), ("a", True, "old", 100, 5), ("b", True, "first", 100, 1), ("b", True, "second", 100, 2)]
     made = spark.createDataFrame(rows, "job_id string, valid boolean, notes string, at long, batch int").withColumn("landed_at", F.timestamp_seconds("at")).drop("at")
