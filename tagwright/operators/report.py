@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tagwright.functions.geometry import format_bbox, pixel_region, to_full
 from tagwright.functions.money import (
-    check_price, check_unit_price, detect_currency, discount_pct, normalize_vintage, normalize_volume, price_per_litre, review_reasons, round_half_up, some,
+    check_price, check_unit_price, detect_currency, discount_pct, normalize_vintage, normalize_volume, parse_price, price_per_litre, review_reasons, round_half_up, some,
 )
 from tagwright.functions.names import folder_of
 from tagwright.operators.referee import referee, referee_reasons
@@ -61,7 +61,8 @@ def assemble(jobs: DataFrame, answers: DataFrame, model: str, extracted_at: str)
     w = lambda c: F.col(f"w.{c}")
     volume = normalize_volume(w("volume_ml"), w("raw_tag_text"), w("raw_label_text"), w("wine_name"))
     e = e.withColumn("_volume", volume).withColumn("_currency", F.coalesce(some(w("currency")), detect_currency(w("price_text"), w("raw_tag_text"))))
-    e = e.withColumn("_litre", price_per_litre(w("price"), F.col("_volume"))).withColumn("_check", check_price(w("price"), w("price_text")))
+    e = e.withColumn("_litre", price_per_litre(w("price"), F.col("_volume"))).withColumn("_reading", parse_price(w("price_text")))
+    e = e.withColumn("_check", check_price(w("price"), w("price_text"), F.col("_reading")))
     e = e.withColumn("_unit", check_unit_price(F.col("_litre"), w("unit_price_text"))).withColumn("_ref", referee(w("price"), F.col("ocr_prices"), w("ocr_price_index")))
     own = review_reasons(w("pairing_confidence"), w("price"), F.col("_check"), F.col("_unit"), w("wine_name"), F.col("_currency"), F.col("_volume"), F.col("_litre"))
     e = e.withColumn("_reasons", F.concat(own, referee_reasons(F.col("_ref.verdict"), w("price"), F.col("_volume"), F.col("ocr_prices"))))

@@ -107,7 +107,8 @@ def price_check(spark, d):
     k, p = F.pmod("l_orderkey", F.lit(6)), F.col("p").cast("double")
     text = F.when(k == 3, F.replace(F.col("p").cast("string"), F.lit("."), F.lit(""))).when(k == 4, "sold out").otherwise(F.col("p").cast("string"))
     price = F.when(k == 1, p * 100).when(k == 2, p + 1).when(k != 5, p)
-    return _priced(spark, d).select("l_orderkey", "l_linenumber", money.check_price(price, text).alias("price_check"))
+    read = _priced(spark, d).select("l_orderkey", "l_linenumber", price.alias("price"), text.alias("text")).withColumn("reading", money.parse_price(F.col("text")))
+    return read.select("l_orderkey", "l_linenumber", money.check_price(F.col("price"), F.col("text"), F.col("reading")).alias("price_check"))
 
 
 @query(f"""WITH x AS (SELECT p_partkey, p_retailprice AS price, (ARRAY[750.0, 1500.0, 0.0, 330.0])[1 + p_size % 4] AS v FROM part)
