@@ -23,6 +23,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 _own_dirs: dict[str, str] = {}
+_kept: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,11 +60,14 @@ def keep(df: DataFrame) -> DataFrame:
 
     For small results of a narrow pass that are read twice; they stay for the session, as they are read lazily.
     """
-    return df.persist(StorageLevel.DISK_ONLY)
+    _kept.append(df.persist(StorageLevel.DISK_ONLY))
+    return df
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Removes all tables that ``materialize`` has written for this application; for when nothing that reads them is needed any more."""
+    """Removes all that ``materialize`` and ``keep`` have left for this application; for when nothing that reads them is needed any more."""
+    while _kept:
+        _kept.pop().unpersist()
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_tables(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
