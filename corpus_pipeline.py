@@ -5,6 +5,11 @@
 Every stage works on all that its predecessor kept. The first three drop
 documents, the fourth masks what it found in the texts, and the last returns
 the packed pieces (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+
+Defined cases, the same in every stage: NULL and empty texts fail the quality rules; of repeated rows one stays, of
+different texts under one doc_id each is a document of its own; rows without a doc_id are judged by their text, and near-dedup leaves them as they are;
+very long texts are worked on whole; of equally good rows the one with the least doc_id stays; an empty table gives an
+empty one; columns beyond those of documents are passed through up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
