@@ -93,14 +93,18 @@ def litres_on_tag(text: Column) -> Column:
     return F.get(F.filter(litres, lambda v: v.between(0.1, 20)), F.lit(0))
 
 
-def reconcile(price: Column, tag_text: Column) -> Column:
-    """struct(verdict, expected, trimmed) of a price against unit price times volume on its tag, NULL if the tag does not say.
+def expected_on_tag(tag_text: Column) -> Column:
+    """Unit price times volume, as a tag prints them; NULL if it does not say."""
+    first = F.regexp_extract(tag_text, UNIT_PRICE, 1)
+    unit = parse_price(F.when(first != "", first).otherwise(F.regexp_extract(tag_text, UNIT_PRICE, 2)))
+    return F.when(unit > 0, unit) * litres_on_tag(tag_text)
+
+
+def reconcile_with(price: Column, expected: Column) -> Column:
+    """struct(verdict, expected, trimmed) of a price against what its tag lets expect, NULL without that; for expected as a column.
 
     verdict: confirmed, leading_digit (it agrees without its first digit) or disagrees.
     """
-    first = F.regexp_extract(tag_text, UNIT_PRICE, 1)
-    unit = parse_price(F.when(first != "", first).otherwise(F.regexp_extract(tag_text, UNIT_PRICE, 2)))
-    expected = F.when(unit > 0, unit) * litres_on_tag(tag_text)
     off = lambda v: F.abs(v - expected) / expected <= RECONCILE_SHARE
     digits = F.replace(F.format_string("%.2f", price), F.lit("."), F.lit(""))
     trimmed = F.when(F.length(digits) > 3, digits.substr(2, 20).try_cast("double") / 100.0)
@@ -109,6 +113,11 @@ def reconcile(price: Column, tag_text: Column) -> Column:
     return F.when(expected > 0, F.struct(verdict.alias("verdict"), expected.alias("expected"), F.when(helps & ~off(price), trimmed).alias("trimmed")))
 
 
+def reconcile(price: Column, tag_text: Column) -> Column:
+    """``reconcile_with`` in one expression."""
+    return reconcile_with(price, expected_on_tag(tag_text))
+
+
 def reconcile_text(check: Column, price: Column) -> Column:
     """The verdict in words."""
     two = lambda c: F.format_string("%.2f", c)

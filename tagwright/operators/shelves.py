@@ -249,15 +249,19 @@ def suppress_overlaps(lines: DataFrame, most: float = 0.45) -> DataFrame:
     return lines.groupBy("photo").applyInPandas(lambda p: _suppress(p, most), lines.schema)
 
 
+def once(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept on the executors' disks: later steps join it with itself in many ways, and each way would compute it anew."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def bands(lines: DataFrame, least_conf: float = LEAST_CONFIDENCE, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(bands, slots, lines) of every photo: rails' bands and fallback strips, prices by band, and what each line is to them.
 
     bands: photo, band, rail (NULL for a strip no rail claimed), x0..y1, index from the top. sizes (photo,
     width, height in pixels) cuts such strips into readable tiles; those without any line are left out.
     """
-    # claimed and chained in Python: kept, as bands, slots and lines all read them
-    members = find_rails(price_tokens(lines, least_conf)).persist(StorageLevel.DISK_ONLY)
-    over = band_bounds(rail_extents(members))
+    members = once(find_rails(price_tokens(lines, least_conf)))
+    over = once(band_bounds(rail_extents(members)))
     gaps = coverage_gaps(over, "photo", "y0", "y1", groups=lines)
     centres = lines.select("photo", ((F.col("x0") + F.col("x1")) / 2).alias("lx"), ((F.col("y0") + F.col("y1")) / 2).alias("ly"))
     if sizes is None:
@@ -269,14 +273,14 @@ def bands(lines: DataFrame, least_conf: float = LEAST_CONFIDENCE, sizes: DataFra
     strips = tiles.join(centres, "photo").filter(held).select(*tiles.columns).distinct()
     order = Window.partitionBy("photo").orderBy("y0", "x0", F.col("rail").asc_nulls_last())
     whole = over.unionByName(strips).withColumn("index", F.row_number().over(order) - 1)
-    whole = whole.withColumn("band", F.struct("photo", "index"))
+    whole = once(whole.withColumn("band", F.struct("photo", "index")))
     slot = F.row_number().over(Window.partitionBy("photo", "rail").orderBy(F.col("x0") + F.col("x1"), "line_id"))
-    slots = members.withColumn("slot", slot).join(whole.filter("rail IS NOT NULL").select("photo", "rail", "band"), ["photo", "rail"])
+    slots = once(members.withColumn("slot", slot).join(whole.filter("rail IS NOT NULL").select("photo", "rail", "band"), ["photo", "rail"]))
     box = whole.select("photo", "band", *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
     cx, cy = centre(F.col("x0"), F.col("x1")), centre(F.col("y0"), F.col("y1"))
     inside = lines.join(box, "photo").filter(cx.between(F.col("b_x0"), F.col("b_x1")) & cy.between(F.col("b_y0"), F.col("b_y1")))
     inside = inside.join(slots.select("band", "line_id"), ["band", "line_id"], "left_anti")
-    return whole, slots, inside.select("band", "line_id", "text", "conf", "x0", "y0", "x1", "y1")
+    return whole, slots, once(inside.select("band", "line_id", "text", "conf", "x0", "y0", "x1", "y1"))
 
 
 def band_label(index: Column, n_slots: Column, y0: Column, y1: Column, fallback: Column) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tagwright.functions.geometry import centre, rescale
 from tagwright.functions.names import job_id
 
-from .referee import reconcile, reconcile_text
-from .shelves import BARE_PRICE, LEAST_CONFIDENCE, PRICE, assign_lines, band_label, bands, looks_flipped, tag_box
+from .referee import expected_on_tag, reconcile_text, reconcile_with
+from .shelves import BARE_PRICE, LEAST_CONFIDENCE, PRICE, assign_lines, band_label, bands, looks_flipped, once, tag_box
 
 # How much of a tag is shown, and when a crop is thin or a rail repetitive.
 SHOWN_LINES, SHOWN_PRICES, SHOWN_STRAYS = 6, 4, 12
@@ -50,8 +50,9 @@ def slot_digests(slots: DataFrame, placed: DataFrame, lines: DataFrame, whole: D
     ordered = lambda how: F.transform(F.array_sort(F.collect_list(F.when(F.col("how") == how, F.struct("y0", "x0", F.btrim("text").alias("t"))))), lambda x: x["t"])
     around = placed.filter("slot IS NOT NULL").groupBy("band", "slot").agg(ordered("tag").alias("tag_texts"), ordered("label").alias("label_texts"))
     s = slots.join(around, ["band", "slot"], "left").join(other_prices(slots, lines), ["band", "slot"], "left").join(whole.select("band", F.col("x0").alias("bx0"), F.col("x1").alias("bx1")), "band")
-    check = reconcile_text(reconcile(F.col("value"), F.array_join("tag_texts", " ")), F.col("value"))
-    s = s.withColumn("check", check)
+    # step by step: in one expression every verdict would read the tag again
+    s = s.withColumn("_expected", expected_on_tag(F.array_join("tag_texts", " "))).withColumn("_check", reconcile_with(F.col("value"), F.col("_expected")))
+    s = s.withColumn("check", reconcile_text(F.col("_check"), F.col("value")))
     x = rescale(centre(F.col("x0"), F.col("x1")), F.col("bx0"), F.col("bx1"))
     head = F.format_string("%d. price %.2f (read as '%s', confidence %.1f, x=%.3f)", F.col("slot"), F.col("value"), F.btrim("text"), F.col("conf"), x)
     part = lambda texts, name, most: F.when(F.size(texts) > 0, F.concat(F.lit(f"   {name}: "), _quoted(F.col(texts), most)))
@@ -66,7 +67,7 @@ def jobs(lines: DataFrame, photos: DataFrame, version: str, least_conf: float =
     photos: photo, photo_sha256, width, height. A photo without a rail has its unread strips as bands.
     """
     whole, slots, inside = bands(lines, least_conf, photos)
-    placed = assign_lines(inside, slots.select("band", "slot", "x0", "y0", "x1", "y1")).join(inside, ["band", "line_id"])
+    placed = once(assign_lines(inside, slots.select("band", "slot", "x0", "y0", "x1", "y1")).join(inside, ["band", "line_id"]))
     each = slot_digests(slots, placed, lines, whole)
     read = each.groupBy("band").agg(F.array_sort(F.collect_list(F.struct("slot", "value", "digest"))).alias("s"))
     strays = placed.filter("slot IS NULL").groupBy("band").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_id", F.btrim("text").alias("t")))), lambda x: x["t"]).alias("strays"))
