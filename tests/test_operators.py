@@ -222,6 +222,34 @@ def test_verify_of_one_price_makes_no_pairs(spark, tmp_path):
     assert {r["row_no"] for r in pages.verify_extras(spark, str(tmp_path)).collect()} == {k + 1 for k in range(2, n + 1, 2)}
 
 
+def test_verify_like_the_plain_loop(spark):
+    """Prices that are no whole cents, tokens, texts and prices that are missing, truths in groups."""
+    import random
+
+    rng = random.Random(11)
+    price = lambda: rng.choice([None, float("nan"), -0.0, 1e300, *[round(rng.randint(0, 60) / 1000 + 5, 3) for _ in range(9)]])
+    truth = [(i, price(), rng.choice(["", None, "ca", "b", "-"]), rng.choice([None, 750.0, 0.5]), rng.randint(0, 1)) for i in range(150)]
+    rows = [(1000 + i, price(), rng.choice([None, 750.4, 1.0]), rng.choice(["Castel", "bă", "x", None, ""])) for i in range(150)]
+    norm = lambda text: "".join(c if c.isalnum() else " " for c in (text or "").upper().replace("Ă", "A"))
+
+    def plain(truths):
+        used, out = set(), {}
+        for no, p, token, volume, _ in truths:
+            fits = [r for r in rows if None not in (p, r[1]) and r[0] not in used and abs(r[1] - p) <= 0.005 + 1e-12]
+            fits.sort(key=lambda r: not (token and norm(token) in norm(r[3])))
+            out[no] = (None, None, None)
+            if fits:
+                used.add(fits[0][0])
+                out[no] = (fits[0][0], norm(token) in norm(fits[0][3]) if token else None, None if volume is None else abs((fits[0][2] or 0) - volume) < 1)
+        return out
+
+    t = spark.createDataFrame(truth, "truth_no long, price double, name_contains string, volume_ml double, part int")
+    r = spark.createDataFrame(rows, "row_no long, price double, volume_ml double, text string")
+    found = lambda df: {x["truth_no"]: (x["row_no"], x["name_ok"], x["volume_ok"]) for x in df.collect()}
+    assert found(score.verify(t, r)) == plain(truth)
+    assert found(score.verify(t, r, "part")) == plain([x for x in truth if x[4] == 0]) | plain([x for x in truth if x[4] == 1])
+
+
 def test_recogniser_tiles(values):
     from tagwright.functions import geometry
 
