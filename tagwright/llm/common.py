@@ -58,8 +58,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept on the executors' disks; what a lost executor held is computed again.
 
-    For small results of a narrow pass that are read twice; they stay for the session, as they are read lazily.
+    For small results of a narrow pass that are read twice; they stay for the session, as they are read lazily. Those that
+    were released elsewhere (clearCache) are let go here, else the driver would hold their plans and the broadcasts of these.
     """
+    _kept[:] = [x for x in _kept if x.storageLevel.useDisk]
     _kept.append(df.persist(StorageLevel.DISK_ONLY))
     return df
 

@@ -448,3 +448,14 @@ def test_pipeline_stages_on_empty_and_odd_tables(spark, tmp_path):
         assert sorted((r["doc_id"] for r in at.collect()), key=str) == left
         packed = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path))
         assert {r["doc_id"] for r in packed.collect()} == set(left)
+
+
+def test_kept_results_released_elsewhere_are_let_go(spark):
+    from tagwright.llm import common
+
+    common.drop_tables(spark)
+    assert common.keep(spark.range(3)).count() == 3
+    spark.catalog.clearCache()
+    assert common.keep(spark.range(4)).count() == 4 and common.keep(spark.range(5)).count() == 5
+    assert [x.count() for x in common._kept] == [4, 5]
+    common.drop_tables(spark)
